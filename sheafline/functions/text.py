@@ -63,3 +63,19 @@ def starts_with_any(c: Column, prefixes: list[str]) -> Column:
     for prefix in prefixes:
         out = out | c.startswith(prefix)
     return out
+
+
+def squared_norm(toks: Column) -> Column:
+    """Sum of the squared token counts, in one pass over the sorted tokens."""
+    start = F.struct(
+        F.lit(None).cast("string").alias("prev"), F.lit(0).alias("run"), F.lit(0).alias("total")
+    )
+
+    def step(acc: Column, t: Column) -> Column:
+        # One more of a run of r adds (r + 1)^2 - r^2 = 2r + 1.
+        run = F.when(acc["prev"] == t, acc["run"]).otherwise(0)
+        return F.struct(
+            t.alias("prev"), (run + 1).alias("run"), (acc["total"] + 2 * run + 1).alias("total")
+        )
+
+    return F.aggregate(F.array_sort(toks), start, step, lambda acc: acc["total"])

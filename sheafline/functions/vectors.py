@@ -23,14 +23,3 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; a zero vector is similar to nothing (0)."""
     return F.coalesce(dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0)), F.lit(0.0))
 
-
-def term_counts(tokens: Column) -> Column:
-    """map<token, count> of a token array."""
-    return F.map_from_entries(
-        F.transform(
-            F.array_distinct(tokens),
-            lambda t: F.struct(
-                t.alias("key"), F.size(F.filter(tokens, lambda x: x == t)).alias("value")
-            ),
-        )
-    )

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from . import relevance as rv
+from .outline import outline
+from .summary import extractive_summary
+
 
 def stage_counts(stages: dict[str, DataFrame], doc: str = "doc_id") -> DataFrame:
     """Documents that reached each stage."""
@@ -15,3 +20,134 @@ def stage_counts(stages: dict[str, DataFrame], doc: str = "doc_id") -> DataFrame
         for name, df in stages.items()
     ]
     return reduce(DataFrame.unionByName, counts)
+
+
+def listed_documents(manifest: DataFrame, documents: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Documents of each request that exist, with their columns."""
+    return manifest.join(documents, doc)
+
+
+def missing_documents(manifest: DataFrame, documents: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Requested documents that do not exist."""
+    return manifest.join(documents.select(doc), doc, "left_anti")
+
+
+def unprocessed(documents: DataFrame, done: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Documents without a stored result."""
+    return documents.join(done.select(doc), doc, "left_anti")
+
+
+def page_bodies(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Body text of each page in file order, joined by blanks."""
+    body = blocks.filter((F.col("label") == "Body") & (tx.strip(F.col("text")) != ""))
+    lines = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    return body.groupBy(doc, "page").agg(
+        F.array_join(F.transform(lines, lambda x: x["text"]), " ").alias("content")
+    )
+
+
+def section_content(sections: DataFrame, blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Each section with the body text of its page; the stored labels decide what is body.
+
+    The bodies are joined to text once a page, before the join, not once a section.
+    """
+    return sections.join(page_bodies(blocks, doc), [doc, "page"], "left").withColumn(
+        "content", F.coalesce("content", F.lit(""))
+    )
+
+
+def job_answer(
+    blocks: DataFrame,
+    manifest: DataFrame,
+    jobs: DataFrame,
+    largest: int | None = None,
+    docs_per_job: int | None = None,
+) -> DataFrame:
+    """Top sections of every job with a summary of the body text of their pages.
+
+    Scores need only heading texts; body text is read for the pages of the winners alone.
+    """
+    sections = outline(blocks, largest=largest)
+    scored = rv.relevance_scores(
+        sections, manifest, jobs, largest=largest, docs_per_job=docs_per_job
+    )
+    top = rv.top_sections(scored).select(
+        "job_id", "rank", "doc_id", F.col("text").alias("section_title"), "page", "category", "score"
+    )
+    pages = top.select("doc_id", "page").distinct()
+    contents = page_bodies(blocks.join(pages, ["doc_id", "page"], "left_semi"))
+    summaries = extractive_summary(contents, ["doc_id", "page"])
+    return top.join(summaries, ["doc_id", "page"], "left").withColumnRenamed("summary", "refined_text")
+
+
+def job_answer_nearest(
+    blocks: DataFrame,
+    manifest: DataFrame,
+    jobs: DataFrame,
+    largest: int | None = None,
+    docs_per_job: int | None = None,
+) -> DataFrame:
+    """Top headings of every document of a job, each with the body blocks nearest to it."""
+    top = rv.top_sections_per_doc(
+        blocks, manifest, jobs, largest=largest, docs_per_job=docs_per_job
+    ).select("job_id", "rank", "doc_id", "page", "y_center", "line_no", F.col("text").alias("section_title"))
+    heads = top.select("doc_id", "page", "y_center", F.col("line_no").alias("head_no")).distinct()
+    near = rv.nearest_bodies(heads, blocks, largest=largest).withColumnRenamed("head_no", "line_no")
+    return top.join(near, ["doc_id", "page", "line_no"], "left").select(
+        "job_id", "rank", "doc_id", "section_title", "page", "near_rank",
+        F.col("body_text").alias("refined_text"),
+    )
+
+
+def nested_answer(
+    answer: DataFrame, manifest: DataFrame, jobs: DataFrame, stamp: Column
+) -> DataFrame:
+    """One row a job in the exchange form: metadata, extracted_sections, subsection_analysis.
+
+    ``stamp`` is the processing time, passed in so that runs can be repeated.
+    """
+    documents = manifest.groupBy("job_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("doc_ord", "doc_id"))),
+            lambda d: d["doc_id"].cast("string"),
+        ).alias("_docs")
+    )
+    entries = answer.groupBy("job_id").agg(
+        F.array_sort(
+            F.collect_list(F.struct("rank", "doc_id", "section_title", "page", "refined_text"))
+        ).alias("_top")
+    )
+    top = F.coalesce(F.col("_top"), F.array().cast(entries.schema["_top"].dataType))
+    sections = F.transform(
+        top,
+        lambda s: F.struct(
+            s["doc_id"].cast("string").alias("document"),
+            s["section_title"].alias("section_title"),
+            s["rank"].alias("importance_rank"),
+            s["page"].alias("page_number"),
+        ),
+    )
+    analysis = F.transform(
+        F.filter(top, lambda s: s["refined_text"].isNotNull()),
+        lambda s: F.struct(
+            s["doc_id"].cast("string").alias("document"),
+            s["refined_text"].alias("refined_text"),
+            s["page"].alias("page_number"),
+        ),
+    )
+    metadata = F.struct(
+        F.coalesce("_docs", F.array().cast("array<string>")).alias("input_documents"),
+        F.col("persona"),
+        F.col("task").alias("job_to_be_done"),
+        F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("processing_timestamp"),
+    )
+    return (
+        jobs.join(documents, "job_id", "left")
+        .join(entries, "job_id", "left")
+        .select(
+            "job_id",
+            metadata.alias("metadata"),
+            sections.alias("extracted_sections"),
+            analysis.alias("subsection_analysis"),
+        )
+    )

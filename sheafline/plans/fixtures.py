@@ -124,3 +124,13 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
         F.floor(F.col("doc_id") / n_jobs).cast("bigint").alias("doc_ord"),
         "doc_id",
     )
+
+
+@lru_cache(maxsize=32)
+def _request_profile(sf: str, app: str) -> int:
+    return group_profile(manifest(SparkSession.getActiveSession(), sf), ["job_id"])[1]
+
+
+def largest_request(spark: SparkSession, sf: str) -> int:
+    """Documents of the longest request."""
+    return _request_profile(sf, spark.sparkContext.applicationId)

@@ -195,6 +195,69 @@ CTES["manifest"] = """select doc_id % n job_id, cast(floor(doc_id / n) as bigint
  from documents, (select max(item_id) + 1 n from benchmark)"""
 
 
+# Cosine of token counts between the headings of a request and its task.
+CTES["job_terms"] = f"""select job_id, t, count(*) c from (select job_id, unnest({tokens('task')}) t from jobs)
+ group by all"""
+
+CTES["job_norms"] = "select job_id, sqrt(sum(c * c)::double) nj from job_terms group by job_id"
+
+
+def scored(sections: str, doc: str, pos: str) -> str:
+    """Rows of ``sections`` (doc, pos, text) times the jobs that list the document, with the score."""
+    return f"""select m.job_id, m.doc_ord, s.*, coalesce(p.score, 0) as score
+ from {sections} s join manifest m on m.doc_id = s.{doc} left join (
+  select job_id, {doc}, {pos}, sum(h.c * j.c)::double / (sqrt(any_value(h.q)::double) * any_value(nj)) as score
+  from (select *, sum(c * c) over (partition by {doc}, {pos}) q from (
+         select {doc}, {pos}, t, count(*) c
+         from (select {doc}, {pos}, unnest({tokens('text')}) t from {sections}) group by all)) h
+  join job_terms j using (t) join job_norms using (job_id) group by all
+ ) p on p.job_id = m.job_id and p.{doc} = s.{doc} and p.{pos} = s.{pos}"""
+
+
+CTES["scored_sections"] = scored("outline", "doc_id", "seq")
+
+CTES["top_sections"] = f"""select * from (
+ select *, cast(row_number() over (partition by job_id order by importance, score desc, doc_ord, seq) as int) as rank
+ from (select *, {importance('category')} as importance from
+  (select *, {category('text')} as category from scored_sections))) where rank <= 5"""
+
+CTES["head_blocks"] = f"""select doc_id, line_no, page, y_center, text from labelled
+ where label in ('title', 'H1', 'H2', 'H3', 'H4') and length({strip('text')}) > 3"""
+
+CTES["scored_heads"] = scored("head_blocks", "doc_id", "line_no")
+
+CTES["top_heads"] = """select *, cast(row_number() over (partition by job_id order by doc_ord, doc_rank) as int) as rank
+ from (select *, cast(row_number() over (partition by job_id, doc_id order by score desc, line_no) as int) as doc_rank
+  from scored_heads) where doc_rank <= 5"""
+
+CTES["near"] = """select * from (select h.doc_id, h.page, h.line_no as head_no, b.line_no as body_no, b.text as body_text,
+  cast(row_number() over (partition by h.doc_id, h.line_no order by abs(b.y_center - h.y_center), b.line_no) as int) near_rank
+ from head_blocks h join labelled b on b.doc_id = h.doc_id and b.page = h.page and b.label = 'Body')
+ where near_rank <= 3"""
+
+CTES["page_bodies"] = f"""select doc_id, page, string_agg(text, ' ' order by line_no) as content
+ from labelled where label = 'Body' and {strip('text')} <> '' group by doc_id, page"""
+
+CTES["page_sentences"] = f"""select doc_id, page, idx, {strip('s')} as s from (
+  select doc_id, page, unnest(ss) as s, generate_subscripts(ss, 1) as idx
+  from (select doc_id, page, regexp_extract_all(content, '[^.!?]+[.!?]*') ss from page_bodies))
+ where {strip('s')} <> ''"""
+
+CTES["page_scores"] = f"""select doc_id, page, idx, sum(tf)::double / count(*) as score from (
+  select doc_id, page, idx, sum(c) over (partition by doc_id, page, t) tf from (
+   select doc_id, page, idx, t, count(*) c from (
+    select doc_id, page, idx, unnest({tokens('s')}) t from page_sentences) group by all)) group by all"""
+
+CTES["page_taken"] = f"""select * from (select *, sum(n) over (partition by doc_id, page order by score desc, idx
+   rows unbounded preceding) cum from (select *, {n_words('s')} n from page_sentences join page_scores
+   using (doc_id, page, idx))) where cum <= 120 or cum - n < 50"""
+
+CTES["page_summaries"] = f"""select doc_id, page, array_to_string(list_slice(list_filter(
+  regexp_split_to_array(string_agg(s, ' ' order by idx), '{SPACE}+'), lambda w: w <> ''), 1, 120), ' ') as summary
+ from page_taken group by doc_id, page"""
+
+
+
 def sql(body: str) -> str:
     """``body`` with the named sub-queries it needs, directly or through others."""
     wanted: set[str] = set()
