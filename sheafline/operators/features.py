@@ -164,7 +164,9 @@ def block_features(
                 F.max("y_center").alias("ymax"),
             ).alias("s")
         ).scalar()
-        mean, std, ymax = one["mean"], one["std"], one["ymax"]
+        # Held in a column, so that the sub-query is planned once, not once a use.
+        feats = feats.withColumn("_one", one)
+        mean, std, ymax = F.col("_one.mean"), F.col("_one.std"), F.col("_one.ymax")
         keys = []
     share = F.col("y_center") / F.nullif(ymax, F.lit(0.0))
     feats = feats.withColumns(
@@ -173,7 +175,7 @@ def block_features(
             "normalized_y_pos": F.coalesce(share, F.lit(0.0)),
             "is_top_third": nb.flag(share <= TOP_THIRD),
         }
-    ).drop("_mean", "_std", "_ymax")
+    ).drop("_mean", "_std", "_ymax", "_one")
     return category_codes(feats, "font_name", "font_name_code", keys)
 
 
@@ -268,26 +270,36 @@ def heading_cues(df: DataFrame) -> DataFrame:
     )
 
 
-def scaler(df: DataFrame, columns: Sequence[str]) -> Column:
-    """Means and population deviations of ``columns`` as one scalar struct."""
+def fit_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: a struct of the mean and population deviation of each column."""
     parts = []
     for c in columns:
         parts.append(F.avg(c).alias(f"m_{c}"))
         parts.append(F.stddev_pop(c).alias(f"s_{c}"))
-    return df.agg(F.struct(*parts).alias("s")).scalar()
+    return df.agg(F.struct(*parts).alias("s"))
 
 
 def standardize(
-    df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None, prefix: str = "z_"
+    df: DataFrame, columns: Sequence[str], fitted: DataFrame | dict[str, float], prefix: str = "z_"
 ) -> DataFrame:
-    """``(x - mean) / population deviation`` of the fitted frame; a constant column gives 0."""
-    fitted = scaler(fit_on if fit_on is not None else df, columns)
-    return df.withColumns(
+    """``(x - mean) / population deviation``; a constant column gives 0.
+
+    ``fitted`` is a ``fit_scaler`` frame, planned into the same job, or its values once known.
+    """
+    if isinstance(fitted, dict):
+        return df.withColumns(
+            {
+                f"{prefix}{c}": nb.ratio(F.col(c) - F.lit(fitted[f"m_{c}"]), F.lit(fitted[f"s_{c}"]))
+                for c in columns
+            }
+        )
+    held = df.withColumn("_fit", fitted.scalar())
+    return held.withColumns(
         {
-            f"{prefix}{c}": nb.ratio(F.col(c) - fitted[f"m_{c}"], fitted[f"s_{c}"])
+            f"{prefix}{c}": nb.ratio(F.col(c) - F.col(f"_fit.m_{c}"), F.col(f"_fit.s_{c}"))
             for c in columns
         }
-    )
+    ).drop("_fit")
 
 
 def stratified_split(
@@ -332,6 +344,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, n, weight) with the balanced weight ``all / (classes * n)``."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
     total = counts.agg(F.struct(F.sum("n").alias("n"), F.count("*").alias("k")).alias("t")).scalar()
-    return counts.withColumn(
-        "weight", total["n"].cast("double") / (total["k"] * F.col("n")).cast("double")
-    )
+    held = counts.withColumn("_t", total)
+    return held.withColumn(
+        "weight", F.col("_t.n").cast("double") / (F.col("_t.k") * F.col("n")).cast("double")
+    ).drop("_t")

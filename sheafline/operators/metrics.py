@@ -152,12 +152,13 @@ def confidence_histogram(df: DataFrame, confidence: str, bins: int = BINS) -> Da
     ends = df.agg(
         F.struct(F.min(confidence).alias("lo"), F.max(confidence).alias("hi")).alias("e")
     ).scalar()
-    place = (F.col(confidence) - ends["lo"]) / F.nullif(ends["hi"] - ends["lo"], F.lit(0.0))
+    held = df.filter(F.col(confidence).isNotNull()).withColumn("_e", ends)
+    width = F.nullif(F.col("_e.hi") - F.col("_e.lo"), F.lit(0.0))
+    place = (F.col(confidence) - F.col("_e.lo")) / width
     # Where all values are equal they sit in the middle, the range being half a unit to each side.
     number = F.least(F.lit(bins), F.floor(F.coalesce(place, F.lit(0.5)) * bins) + 1)
     counted = (
-        df.filter(F.col(confidence).isNotNull())
-        .groupBy(number.cast("int").alias("bin"))
+        held.groupBy(number.cast("int").alias("bin"))
         .agg(F.count("*").alias("n"))
     )
     frame = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))

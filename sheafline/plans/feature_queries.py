@@ -221,7 +221,7 @@ _SCALED = ["font_size", "weight", "page", "x_center", "y_center", "n_words"]
 def standardize(spark, sf):
     columns = [*_SCALED, "constant"]
     b = fx.blocks(spark, sf).withColumn("constant", F.lit(7.0))
-    out = ft.standardize(b, columns)
+    out = ft.standardize(b, columns, ft.fit_scaler(b, columns))
     return out.select(*ID, *[nb.r6(F.col(f"z_{c}")).alias(f"z_{c}") for c in columns])
 
 

@@ -1 +1,188 @@
-"""Queries."""
+"""Queries through the readers and writers; what they read is first written from the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import answers as an
+from ..operators import features as ft
+from ..operators import labels as lb
+from ..session import scratch_path
+from ..sources import blocks_json as bj
+from ..sources import requests as rq
+from ..sources import spans as sp
+from ..sources import tabular as tb
+from ..streaming.incremental import incremental_classify as stream_classify
+from . import fixtures as fx
+from . import oracles as oc
+from .answer_queries import job_answer
+from .catalog import register
+
+
+def fixture_spans(spark, sf):
+    """Every word of every line as a span, with ragged blanks and a larger font after the first."""
+    b = fx.blocks(spark, sf)
+    word = F.posexplode(F.split("text", " ")).alias("span_no", "word")
+    return b.select(
+        "doc_id", "page", F.lit(0).alias("block"), F.lit(0).alias("block_type"),
+        F.col("line_no").alias("line"), "font_size", "font_name", "x0", "y0", "x1", "y1", word,
+    ).select(
+        "doc_id", "page", "block", "block_type", "line", "span_no",
+        F.concat(F.lit(" "), "word", F.lit("  ")).alias("text"),
+        (F.col("font_size") + F.col("span_no")).alias("size"),
+        F.col("font_name").alias("font"),
+        (F.col("x0") + F.col("span_no")).alias("x0"), "y0", "x1", "y1",
+    )
+
+
+@register(
+    "lines_from_spans",
+    oc.sql(
+        f"""select doc_id, page, 0 as block, line_no as line, {oc.strip('text')} as text, font_size, font_name,
+ x0, y0, x1, y1 from blocks"""
+    ),
+)
+def lines_from_spans(spark, sf):
+    return sp.lines_from_spans(fixture_spans(spark, sf))
+
+
+_PAGE = "<(title|h1|p|li|div|footer)[^>]*>([^<]*)"
+
+
+@register(
+    "blocks_from_pages",
+    f"""select page_id, line_no, tag, text, case tag when 'title' then 24.0 when 'h1' then 16.5 when 'footer' then 8.0
+  else 12.0 end::double as font_size, case when tag in ('title', 'h1') then 700 else 400 end as weight
+ from (select page_id, unnest(tags) as tag, {oc.strip('unnest(texts)')} as text,
+   cast(generate_subscripts(tags, 1) as bigint) as line_no
+  from (select page_id, regexp_extract_all(html, '{_PAGE}', 1) tags, regexp_extract_all(html, '{_PAGE}', 2) texts
+   from pages)) where text <> ''""",
+)
+def blocks_from_pages(spark, sf):
+    return sp.blocks_from_pages(fx.table(spark, sf, "pages"))
+
+
+_BLOCK_COLUMNS = [
+    "doc_id", "line_no", "page", "text", "font_size", "font_name", "weight", "x0", "y0", "x1", "y1",
+    "x_center", "y_center",
+]
+
+
+@register("scan_blocks_json", oc.sql(f"select {', '.join(_BLOCK_COLUMNS)} from blocks"))
+def scan_blocks_json(spark, sf):
+    path = scratch_path(spark, "blocks")
+    bj.write_blocks(fx.blocks(spark, sf), path)
+    blocks, _ = bj.read_blocks(spark, path, whole_files=False, glob="*.txt")
+    return bj.with_box_columns(blocks).select(*_BLOCK_COLUMNS)
+
+
+@register(
+    "scan_folder",
+    oc.sql(
+        """select count(*) as n_blocks, count(distinct b.doc_id) as n_documents, sum(length(text))::bigint as n_chars,
+ lang from blocks b join (select doc_id, lang from documents) using (doc_id) group by lang"""
+    ),
+)
+def scan_folder(spark, sf):
+    """A folder of sub-folders, one a language, read as one table."""
+    path = scratch_path(spark, "folder")
+    langs = fx.table(spark, sf, "documents").select("doc_id", "lang")
+    arrays = bj.block_arrays(fx.blocks(spark, sf), bj.nested_block(("doc_id", "line_no")))
+    arrays.join(langs, "doc_id").select("value", "lang").write.partitionBy("lang").text(path)
+    blocks, _ = bj.read_blocks(spark, path, whole_files=False, glob="*.txt")
+    return (
+        blocks.select("doc_id", "text").join(langs, "doc_id")
+        .groupBy("lang")
+        .agg(
+            F.count("*").alias("n_blocks"),
+            F.countDistinct("doc_id").alias("n_documents"),
+            F.sum(F.char_length("text")).alias("n_chars"),
+        )
+    )
+
+
+@register(
+    "manifest_explode",
+    oc.sql(
+        """select m.job_id, persona, task, doc_ord, doc_id || '.pdf' as filename, 'Document ' || doc_id as title
+ from manifest m join jobs j on j.job_id = m.job_id"""
+    ),
+)
+def manifest_explode(spark, sf):
+    path = scratch_path(spark, "requests")
+    bj.write_documents(rq.request_records(fx.manifest(spark, sf), fx.jobs(spark, sf)), path)
+    return rq.explode_manifest(rq.read_requests(spark, path, multi_line=False))
+
+
+@register(
+    "scan_csv",
+    oc.sql("select doc_id, line_no, text, font_size, font_name, weight, page, y_center, label from labelled"),
+)
+def scan_csv(spark, sf):
+    path = scratch_path(spark, "training")
+    columns = ["doc_id", "line_no", "text", "font_size", "font_name", "weight", "page", "y_center", "label"]
+    tb.write_csv(fx.labelled(spark, sf).select(*columns), path)
+    return tb.read_csv(
+        spark,
+        path,
+        "doc_id bigint, line_no bigint, text string, font_size double, font_name string, weight int, "
+        "page int, y_center double, label string",
+    )
+
+
+@register(
+    "alias_columns",
+    oc.sql(
+        """select doc_id, line_no, (abs(x_center - 300) < 100)::int as is_center_aligned,
+ (abs(x_center - 300) >= 100)::int as is_left_aligned, (weight >= 700)::int as is_bold, 0 as is_italic from blocks"""
+    ),
+)
+def alias_columns(spark, sf):
+    """The same features from a table with other column names, and without an italic column."""
+    b = fx.blocks(spark, sf).select(
+        "doc_id", "line_no", "text", "x0", "y0", "x1", "y1",
+        F.col("weight").cast("string").alias("font_weight"),
+        F.when(lb.is_centred(F.col("x_center")), "Center").otherwise("Left").alias("text_align"),
+    )
+    return ft.network_features(b).select(
+        "doc_id", "line_no", "is_center_aligned", "is_left_aligned", "is_bold", "is_italic"
+    )
+
+
+@register(
+    "answer_json",
+    oc.sql(
+        """select t.job_id, 'reader ' || t.job_id as persona, rank as importance_rank, t.doc_id::varchar as document,
+ text as section_title, t.page as page_number, n as n_documents
+ from top_sections t join (select job_id, count(*) n from manifest group by job_id) m on m.job_id = t.job_id"""
+    ),
+)
+def answer_json(spark, sf):
+    """Nested answers written as JSON, read back and laid flat again."""
+    path = scratch_path(spark, "answers")
+    nested = an.nested_answer(
+        job_answer(spark, sf), fx.manifest(spark, sf), fx.jobs(spark, sf), F.lit("2025-01-01 00:00:00").cast("timestamp")
+    )
+    bj.write_documents(nested, path)
+    back = spark.read.schema(nested.schema).json(path)
+    return back.select(
+        "job_id",
+        F.col("metadata.persona").alias("persona"),
+        F.size("metadata.input_documents").alias("n_documents"),
+        F.inline("extracted_sections"),
+    )
+
+
+@register(
+    "incremental_classify",
+    oc.sql("select t.doc_id, title, seq, level, text, page from titles t left join outline o using (doc_id)"),
+)
+def incremental_classify(spark, sf):
+    """Blocks arrive as files in a folder and are labelled and outlined batch by batch."""
+    inbox, out = scratch_path(spark, "inbox"), scratch_path(spark, "outlines")
+    bj.write_blocks(fx.blocks(spark, sf).repartition(4, "doc_id"), inbox)
+    run = stream_classify(
+        spark, inbox, out, scratch_path(spark, "progress"), whole_files=False, files_per_batch=4
+    )
+    run.awaitTermination()
+    return spark.read.parquet(f"{out}/outlines").drop("batch")
