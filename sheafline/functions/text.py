@@ -17,8 +17,17 @@ TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 SENTENCE = r"[^.!?]+[.!?]*"
 
 
+SPACES = "".join(
+    chr(x)
+    for x in (
+        *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
+        0x2029, 0x202F, 0x205F, 0x3000,
+    )
+)
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE_CLASS}+|{SPACE_CLASS}+\z", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def clean_text(c: Column) -> Column:
@@ -35,6 +44,12 @@ def word_count(c: Column) -> Column:
     return F.size(words(c))
 
 
+def at_most_words(stripped: Column, n: int) -> Column:
+    """Whether a stripped text has at most ``n`` words; gives up at the first word beyond."""
+    gap, word = f"{SPACE_CLASS}++", f"[^{SPACE_CLASS[1:-1]}]++"
+    return (stripped == "") | stripped.rlike(rf"^{word}(?:{gap}{word}){{0,{n - 1}}}+\z")
+
+
 def tokens(c: Column) -> Column:
     """Lower-cased runs of letters and digits, in text order with repeats."""
     return F.filter(F.split(F.lower(c), TOKEN_BREAK), lambda w: w != "")

@@ -84,13 +84,23 @@ def bbox_features(x0: Column, y0: Column, x1: Column, y1: Column) -> dict[str, C
 
 
 def category_codes(
-    df: DataFrame, column: str, out: str, keys: Sequence[str] = (), line_col: str = "line_no"
+    df: DataFrame,
+    column: str,
+    out: str,
+    keys: Sequence[str] = (),
+    line_col: str = "line_no",
+    largest: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """0-based rank among the sorted distinct values (per ``keys``, or over all rows); null is -1.
 
     Only distinct values are ranked. Over all rows they are ranked inside their first character and
     shifted by the values before it, so no task sorts them all.
     """
+    if keys and od.is_bounded(largest, limit):
+        w = W.partitionBy(*keys).orderBy(F.col(column).asc_nulls_last())
+        code = F.when(F.col(column).isNotNull(), F.dense_rank().over(w) - 1).otherwise(-1)
+        return df.withColumn(out, code)
     if keys:
         chunk = od.line_chunk(line_col)
         values = (
@@ -135,7 +145,12 @@ def text_features(text: Column, compat: bool = False) -> dict[str, Column]:
 
 
 def block_features(
-    blocks: DataFrame, scope: str = "global", compat: bool = False, doc: str = "doc_id"
+    blocks: DataFrame,
+    scope: str = "global",
+    compat: bool = False,
+    doc: str = "doc_id",
+    largest: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Features of one block each; size z-score, height share and font codes per document or global.
 
@@ -148,12 +163,12 @@ def block_features(
         }
     ).withColumn("avg_word_length", nb.ratio(F.col("text_length"), F.col("word_count")))
     if scope == "document":
-        stats = [
-            F.avg("font_size").alias("_mean"),
-            F.stddev_samp("font_size").alias("_std"),
-            F.max("y_center").alias("_ymax"),
-        ]
-        feats = od.attach_stats(feats, [doc], stats)
+        stats = {
+            "_mean": F.avg("font_size"),
+            "_std": F.stddev_samp("font_size"),
+            "_ymax": F.max("y_center"),
+        }
+        feats = od.attach_stats(feats, [doc], stats, largest, limit)
         mean, std, ymax = F.col("_mean"), F.col("_std"), F.col("_ymax")
         keys = [doc]
     else:
@@ -176,7 +191,7 @@ def block_features(
             "is_top_third": nb.flag(share <= TOP_THIRD),
         }
     ).drop("_mean", "_std", "_ymax", "_one")
-    return category_codes(feats, "font_name", "font_name_code", keys)
+    return category_codes(feats, "font_name", "font_name_code", keys, largest=largest, limit=limit)
 
 
 def network_features(df: DataFrame) -> DataFrame:

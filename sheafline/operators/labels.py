@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .ordering import attach_stats, line_chunk
+from .ordering import attach_stats, is_bounded, line_chunk
 
 # The label domain, outermost level first.
 LEVELS = ["title", "H1", "H2", "H3", "H4"]
@@ -98,9 +99,15 @@ def font_stats(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
     )
 
 
-def with_rule_labels(blocks: DataFrame, doc: str = "doc_id", out: str = "label") -> DataFrame:
+def with_rule_labels(
+    blocks: DataFrame,
+    doc: str = "doc_id",
+    out: str = "label",
+    largest: int | None = None,
+    limit: int | None = None,
+) -> DataFrame:
     with_stats = attach_stats(
-        blocks, [doc], [F.avg("font_size").alias("_avg"), F.max("font_size").alias("_max")]
+        blocks, [doc], {"_avg": F.avg("font_size"), "_max": F.max("font_size")}, largest, limit
     )
     label = rule_label(
         F.col("font_size"), F.col("weight"), F.col("x_center"), F.col("_avg"), F.col("_max")
@@ -136,49 +143,51 @@ def size_shares(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
     )
 
 
-def uniform_relabel(label: Column, raw_text: Column, bold: Column, italic: Column) -> Column:
+def uniform_relabel(label: Column, t: Column, low: Column, bold: Column, italic: Column) -> Column:
     """Style-only labels for documents ruled by one font size (titles are kept).
 
-    Each style test claims its block: a bold block is never looked at as italic, and a block that
+    ``t`` is the trimmed text and ``low`` its lower case. Each style test claims its block: a bold block is never looked at as italic, and a block that
     opens with a capital is never searched for guide phrases.
     """
-    t = tx.strip(raw_text)
-    low = F.lower(t)
-    n = tx.word_count(t)
     bold_label = F.when(
-        tx.starts_with_any(low, OPENING_WORDS) | (tx.is_upper(t) & (n <= 6)), "H1"
+        tx.starts_with_any(low, OPENING_WORDS) | (tx.is_upper(t) & tx.at_most_words(t, 6)), "H1"
     ).otherwise("H2")
     restyled = (
         F.when(bold, bold_label)
-        .when(italic, F.when(n <= 8, "H3").otherwise(label))
-        .when(t.rlike("^[A-Z]"), F.when(n <= 6, "H3").otherwise(label))
-        .when(tx.contains_any(low, GUIDE_PHRASES), "H2")
+        .when(italic, F.when(tx.at_most_words(t, 8), "H3").otherwise(label))
+        .when(t.rlike("^[A-Z]"), F.when(tx.at_most_words(t, 6), "H3").otherwise(label))
+        .when(low.rlike("|".join(GUIDE_PHRASES)), "H2")
         .otherwise(label)
     )
     return F.when(label == "title", label).otherwise(restyled)
 
 
-def with_uniform_relabel(
-    blocks: DataFrame, doc: str = "doc_id", label: str = "label", out: str = "label"
+def _dominated(
+    blocks: DataFrame, doc: str, largest: int | None, limit: int | None
 ) -> DataFrame:
-    """Apply ``uniform_relabel`` to the documents whose dominant font size exceeds the share."""
-    bold = F.coalesce(F.col("is_bold"), F.lit(False)) if "is_bold" in blocks.columns else F.lit(False)
-    italic = (
-        F.coalesce(F.col("is_italic"), F.lit(False)) if "is_italic" in blocks.columns else F.lit(False)
-    )
-    chunks = blocks.groupBy(doc, F.bround("font_size", 1).alias("_size")).agg(
-        F.count("*").alias("_n"),
-        F.min(line_chunk()).alias("_lo"),
-        F.max(line_chunk()).alias("_hi"),
-    )
+    """Add ``_uniform``: one rounded font size covers more than the share of the document's blocks."""
+    sized = blocks.withColumn("_size", F.bround("font_size", 1))
     known = F.col("_size").isNotNull()
+    if is_bounded(largest, limit):
+        per_size = F.count("_size").over(W.partitionBy(doc, "_size"))
+        whole = W.partitionBy(doc)
+        share = F.max("_n").over(whole) / F.nullif(F.count("_size").over(whole), F.lit(0))
+        return (
+            sized.withColumn("_n", per_size)
+            .withColumn("_uniform", share > F.lit(DOMINANT_SHARE))
+            .drop("_size", "_n")
+        )
+    n = F.when(known, F.col("_n"))
     uniform = (
-        chunks.groupBy(doc)
+        sized.groupBy(doc, "_size")
+        .agg(
+            F.count("*").alias("_n"),
+            F.min(line_chunk()).alias("_lo"),
+            F.max(line_chunk()).alias("_hi"),
+        )
+        .groupBy(doc)
         .agg(
-            (
-                F.max(F.when(known, F.col("_n"))) / F.sum(F.when(known, F.col("_n")))
-                > F.lit(DOMINANT_SHARE)
-            ).alias("_uniform"),
+            (F.max(n) / F.sum(n) > F.lit(DOMINANT_SHARE)).alias("_uniform"),
             F.min("_lo").alias("_lo"),
             F.max("_hi").alias("_hi"),
         )
@@ -186,11 +195,35 @@ def with_uniform_relabel(
         .select(doc, "_uniform", F.explode(F.sequence("_lo", "_hi")).alias("_salt"))
     )
     salted = blocks.withColumn("_salt", line_chunk())
-    joined = salted.join(uniform, [doc, "_salt"], "left")
+    return salted.join(uniform, [doc, "_salt"], "left").drop("_salt")
+
+
+def with_uniform_relabel(
+    blocks: DataFrame,
+    doc: str = "doc_id",
+    label: str = "label",
+    out: str = "label",
+    largest: int | None = None,
+    limit: int | None = None,
+) -> DataFrame:
+    """Apply ``uniform_relabel`` to the documents whose dominant font size exceeds the share."""
     relabelled = F.when(
-        F.col("_uniform"), uniform_relabel(F.col(label), F.col("text"), bold, italic)
+        F.col("_uniform"),
+        uniform_relabel(
+            F.col(label), F.col("_t"), F.col("_low"), _style(blocks, "is_bold"), _style(blocks, "is_italic")
+        ),
     ).otherwise(F.col(label))
-    return joined.withColumn(out, relabelled).drop("_uniform", "_salt")
+    # Trimmed and lowered once, for the documents that need it.
+    trimmed = F.when(F.col("_uniform"), tx.strip(F.col("text")))
+    marked = _dominated(blocks, doc, largest, limit).withColumn("_t", trimmed)
+    return (
+        marked.withColumn("_low", F.lower("_t")).withColumn(out, relabelled).drop("_uniform", "_t", "_low")
+    )
+
+
+def _style(df: DataFrame, name: str) -> Column:
+    """An optional style flag; absent or null is false."""
+    return F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
 
 
 def repair_relabel(label: Column, raw_text: Column, bold: Column, italic: Column) -> Column:
@@ -207,18 +240,22 @@ def repair_relabel(label: Column, raw_text: Column, bold: Column, italic: Column
 
 
 def with_repair_relabel(
-    blocks: DataFrame, doc: str = "doc_id", label: str = "label", out: str = "label"
+    blocks: DataFrame,
+    doc: str = "doc_id",
+    label: str = "label",
+    out: str = "label",
+    largest: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
-    stats = attach_stats(
-        blocks, [doc], [F.countDistinct(F.bround("font_size", 1)).alias("_n_sizes")]
+    """Apply ``repair_relabel`` to the documents with at most two rounded font sizes."""
+    # Sizes rounded to a tenth of a point are a small set however long the document is.
+    sizes = F.collect_set(F.bround("font_size", 1))
+    stats = attach_stats(blocks, [doc], {"_sizes": sizes}, largest, limit)
+    few = F.size("_sizes") <= FEW_SIZES
+    restyled = repair_relabel(
+        F.col(label), F.col("text"), _style(blocks, "is_bold"), _style(blocks, "is_italic")
     )
-    bold = F.coalesce(F.col("is_bold"), F.lit(False))
-    italic = F.coalesce(F.col("is_italic"), F.lit(False))
-    few = F.col("_n_sizes") <= FEW_SIZES
-    return stats.withColumn(
-        out,
-        F.when(few, repair_relabel(F.col(label), F.col("text"), bold, italic)).otherwise(F.col(label)),
-    ).drop("_n_sizes")
+    return stats.withColumn(out, F.when(few, restyled).otherwise(F.col(label))).drop("_sizes")
 
 
 def category(heading: Column) -> Column:

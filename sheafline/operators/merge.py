@@ -135,7 +135,7 @@ def merge_titles(
     """
     keys = [doc, "page"]
     order = ["y_center", "line_no"]
-    marked = attach_stats(blocks, [doc], [F.avg("font_size").alias("_avg")])
+    marked = attach_stats(blocks, [doc], {"_avg": F.avg("font_size")}, largest, limit)
     marked = marked.withColumn("_titleish", title_like(F.col("_avg"))).drop("_avg")
     cut = _segments(
         marked,

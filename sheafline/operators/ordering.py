@@ -137,24 +137,38 @@ def line_chunk(line_col: str = "line_no", rows: int = ROWS_PER_CHUNK) -> Column:
     return F.floor(F.col(line_col) / rows).cast("int")
 
 
+def is_bounded(largest: int | None, limit: int | None = None) -> bool:
+    """Whether a known bound on the rows of a group allows a plain window over it."""
+    return largest is not None and largest <= (MAX_GROUP_ROWS if limit is None else limit)
+
+
 def attach_stats(
     df: DataFrame,
     keys: Sequence[str],
-    aggs: Sequence[Column],
+    aggs: dict[str, Column],
+    largest: int | None = None,
+    limit: int | None = None,
     line_col: str = "line_no",
     rows_per_chunk: int = ROWS_PER_CHUNK,
-    source: DataFrame | None = None,
 ) -> DataFrame:
-    """Group statistics joined back to the rows, without a window over the group.
+    """Group statistics on every row.
 
-    The aggregate is combined map-side; the join runs on (keys, line chunk), with the one statistics
-    row of a group repeated for the chunks that group has, so a hot group is spread evenly.
+    Groups of a known small size take a window: one read and one shuffle, whose partitioning the next
+    operators on the same document reuse. Otherwise the statistics are aggregated (combined map-side)
+    and joined back on (keys, line chunk), the one row of a group repeated for the chunks that group
+    has, so that a hot group is spread evenly.
     """
+    if is_bounded(largest, limit):
+        w = W.partitionBy(*keys)
+        return df.select("*", *[agg.over(w).alias(name) for name, agg in aggs.items()])
     chunk = line_chunk(line_col, rows_per_chunk)
     stats = (
-        (source if source is not None else df)
-        .groupBy(*keys)
-        .agg(*aggs, F.min(chunk).alias("_lo"), F.max(chunk).alias("_hi"))
+        df.groupBy(*keys)
+        .agg(
+            *[agg.alias(name) for name, agg in aggs.items()],
+            F.min(chunk).alias("_lo"),
+            F.max(chunk).alias("_hi"),
+        )
         .withColumn("_salt", F.explode(F.sequence("_lo", "_hi")))
         .drop("_lo", "_hi")
     )

@@ -161,7 +161,7 @@ def outline(
     limit: int | None = None,
 ) -> DataFrame:
     """(doc, seq, level, text, page): style relabel, headings, first occurrences, skipped levels."""
-    relabelled = with_uniform_relabel(blocks, doc)
+    relabelled = with_uniform_relabel(blocks, doc, largest=largest, limit=limit)
     kept = fix_skips(first_headings(relabelled, doc), doc, largest, limit)
     return kept.select(doc, "seq", "level", F.col("clean").alias("text"), "page")
 

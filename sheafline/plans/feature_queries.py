@@ -98,7 +98,9 @@ def category_codes(spark, sf):
     ),
 )
 def font_zscore(spark, sf):
-    out = ft.block_features(fx.blocks(spark, sf), scope="document")
+    out = ft.block_features(
+        fx.blocks(spark, sf), scope="document", largest=fx.largest_document(spark, sf)
+    )
     return out.select(*ID, nb.r6(F.col("font_size_zscore")).alias("font_size_zscore"))
 
 
@@ -110,7 +112,9 @@ def font_zscore(spark, sf):
     ),
 )
 def y_norm(spark, sf):
-    out = ft.block_features(fx.blocks(spark, sf), scope="document")
+    out = ft.block_features(
+        fx.blocks(spark, sf), scope="document", largest=fx.largest_document(spark, sf)
+    )
     return out.select(*ID, nb.r6(F.col("normalized_y_pos")).alias("normalized_y_pos"), "is_top_third")
 
 
@@ -146,7 +150,11 @@ def _rounded(df, columns=_FEATURES):
     _features_sql("partition by doc_id", "partition by doc_id", r"starts_with(text, '\d')"),
 )
 def features_serving(spark, sf):
-    return _rounded(ft.block_features(fx.blocks(spark, sf), scope="document", compat=True))
+    return _rounded(
+        ft.block_features(
+            fx.blocks(spark, sf), scope="document", compat=True, largest=fx.largest_document(spark, sf)
+        )
+    )
 
 
 @register("features_training", _features_sql("", "", r"regexp_matches(text, '^\d')"))

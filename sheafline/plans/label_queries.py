@@ -136,7 +136,7 @@ def uniform_distinct(spark, sf):
 )
 def uniform_relabel(spark, sf):
     b = fx.uniform_blocks(spark, sf)
-    return lb.with_uniform_relabel(b, out="new_label").select(
+    return lb.with_uniform_relabel(b, out="new_label", largest=fx.largest_document(spark, sf)).select(
         *ID, F.col("label").alias("old_label"), "new_label"
     )
 
@@ -154,7 +154,7 @@ def uniform_relabel(spark, sf):
 )
 def uniform_relabel_repair(spark, sf):
     b = fx.uniform_blocks(spark, sf)
-    return lb.with_repair_relabel(b, out="new_label").select(
+    return lb.with_repair_relabel(b, out="new_label", largest=fx.largest_document(spark, sf)).select(
         *ID, F.col("label").alias("old_label"), "new_label"
     )
 

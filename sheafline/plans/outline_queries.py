@@ -58,7 +58,8 @@ def repair_levels(spark, sf):
 def dedup_headings(spark, sf):
     from ..operators.labels import with_uniform_relabel
 
-    return ol.first_headings(with_uniform_relabel(fx.labelled(spark, sf))).select(
+    bound = fx.largest_document(spark, sf)
+    return ol.first_headings(with_uniform_relabel(fx.labelled(spark, sf), largest=bound)).select(
         "doc_id", "line_no", "clean", "page", "label"
     )
 
@@ -73,8 +74,9 @@ def dedup_headings(spark, sf):
 def fix_skips(spark, sf):
     from ..operators.labels import with_uniform_relabel
 
-    heads = ol.first_headings(with_uniform_relabel(fx.labelled(spark, sf)))
-    return ol.fix_skips(heads, largest=fx.largest_document(spark, sf)).select(
+    bound = fx.largest_document(spark, sf)
+    heads = ol.first_headings(with_uniform_relabel(fx.labelled(spark, sf), largest=bound))
+    return ol.fix_skips(heads, largest=bound).select(
         "doc_id", "line_no", F.col("label").alias("old_label"), F.col("level").alias("new_label"), "seq"
     )
 
