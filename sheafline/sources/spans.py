@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as tx
 
@@ -88,15 +90,15 @@ def parse_files(
         .load(path)
         .select("path", "content")
     )
-    names = [f.split()[0] for f in schema.split(", ")]
+    shape = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for file, content in zip(pdf["path"], pdf["content"]):
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch["path"], batch["content"]):
                 try:
-                    rows = list(parser(file.rsplit("/", 1)[-1], content))
+                    rows = list(parser(file.as_py().rsplit("/", 1)[-1], content.as_py()))
                 except Exception:  # noqa: BLE001 - one bad file must not end the job
                     rows = []
-                yield pd.DataFrame(rows, columns=names)
+                yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
-    return files.mapInPandas(parse, schema)
+    return files.mapInArrow(parse, schema)

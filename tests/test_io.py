@@ -1,6 +1,7 @@
 import json
+import sys
 
-import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from sheafline.operators import encoders as en
@@ -9,6 +10,8 @@ from sheafline.sources import requests as rq
 from sheafline.sources import spans as sp
 from sheafline.sources import tabular as tb
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def block(text, page=1):
     return {
