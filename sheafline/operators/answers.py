@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut_lineage
 from . import relevance as rv
 from .outline import outline
 from .summary import extractive_summary
@@ -65,14 +66,17 @@ def job_answer(
 ) -> DataFrame:
     """Top sections of every job with a summary of the body text of their pages.
 
-    Scores need only heading texts; body text is read for the pages of the winners alone.
+    Scores need only heading texts; body text is read for the pages of the winners alone. The winners
+    (five rows a job) are stored, as they are used more than once.
     """
     sections = outline(blocks, largest=largest)
     scored = rv.relevance_scores(
         sections, manifest, jobs, largest=largest, docs_per_job=docs_per_job
     )
-    top = rv.top_sections(scored).select(
-        "job_id", "rank", "doc_id", F.col("text").alias("section_title"), "page", "category", "score"
+    top = cut_lineage(
+        rv.top_sections(scored).select(
+            "job_id", "rank", "doc_id", F.col("text").alias("section_title"), "page", "category", "score"
+        )
     )
     pages = top.select("doc_id", "page").distinct()
     contents = page_bodies(blocks.join(pages, ["doc_id", "page"], "left_semi"))
@@ -88,9 +92,13 @@ def job_answer_nearest(
     docs_per_job: int | None = None,
 ) -> DataFrame:
     """Top headings of every document of a job, each with the body blocks nearest to it."""
-    top = rv.top_sections_per_doc(
-        blocks, manifest, jobs, largest=largest, docs_per_job=docs_per_job
-    ).select("job_id", "rank", "doc_id", "page", "y_center", "line_no", F.col("text").alias("section_title"))
+    top = cut_lineage(
+        rv.top_sections_per_doc(
+            blocks, manifest, jobs, largest=largest, docs_per_job=docs_per_job
+        ).select(
+            "job_id", "rank", "doc_id", "page", "y_center", "line_no", F.col("text").alias("section_title")
+        )
+    )
     heads = top.select("doc_id", "page", "y_center", F.col("line_no").alias("head_no")).distinct()
     near = rv.nearest_bodies(heads, blocks, largest=largest).withColumnRenamed("head_no", "line_no")
     return top.join(near, ["doc_id", "page", "line_no"], "left").select(

@@ -15,18 +15,28 @@ from ..operators import labels as lb
 from ..operators.ordering import group_profile
 
 
+@lru_cache(maxsize=256)
+def _layout(path: str, app: str):
+    """Schema and number of scan pieces of a stored table, looked up once a session."""
+    df = SparkSession.getActiveSession().read.parquet(path)
+    return df.schema, df.rdd.getNumPartitions()
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    return spark.read.schema(_layout(path, spark.sparkContext.applicationId)[0]).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def dealt(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A table stored in fewer pieces than there are cores is dealt out first; others stay put."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = spark.sparkContext.defaultParallelism
+    pieces = _layout(f"{sf}/{name}.parquet", spark.sparkContext.applicationId)[1]
+    df = table(spark, sf, name)
+    return df.repartition(cores) if pieces < cores else df
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = dealt(spark, sf, "documents").select("doc_id", "text")
     parts = docs.select("doc_id", F.split("text", "\n").alias("parts"))
     return (
         parts.select("doc_id", F.posexplode("parts").alias("pos", "line"))

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 SMALL = "/root/testdata/sf0.001"
 EAGER = {
     "knn_cosine", "model_lr", "model_rf", "model_gbt", "model_mlp", "classify_all", "scan_blocks_json",
-    "scan_folder", "manifest_explode", "scan_csv", "answer_json", "incremental_classify",
+    "job_answer", "job_answer_nearest", "scan_folder", "manifest_explode", "scan_csv", "answer_json", "incremental_classify",
 }
 # Running sums over at most one row a first character, and counts of at most classes x classes rows.
 BOUNDED = {"category_codes", "features_training"}
@@ -41,3 +41,8 @@ def test_outline_shuffles_once(spark):
 def test_reads_only_what_it_needs(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan_of(spark, "outline")
     assert "ReadSchema: struct<doc_id:bigint,source:string>" in plan_of(spark, "unprocessed_docs")
+
+
+def test_ranks_are_limited_before_the_shuffle(spark):
+    for name in ("top_sections", "top_sections_per_doc"):
+        assert "WindowGroupLimit" in plan_of(spark, name)
