@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import ordering as od
 from .labels import BOLD_WEIGHT, is_centred
@@ -24,7 +27,13 @@ SIZE_REACH = 1
 CENTRE_GAP = 50
 WEIGHT_REACH = 100
 
-_BOX = ["x0", "y0", "x1", "y1", "x_center", "y_center"]
+# Segments up to this many lines are folded by an array expression, longer ones line by line.
+FOLD_ROWS = 2_000
+
+
+def _within(a, b, reach):
+    """|a - b| <= reach, for columns and for numbers."""
+    return (a - b <= reach) & (b - a <= reach)
 
 
 def _segments(
@@ -71,9 +80,53 @@ def _fold(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    joins: Callable[[Column, Column], Column],
+    joins: Callable,
+    largest: int | None,
+) -> DataFrame:
+    """Greedy left fold of every segment; ``joins(group, line)`` decides.
+
+    The array expression copies its groups at every step, which suits short segments. Where a document
+    may hold longer ones, those go line by line through a linear loop.
+    """
+    if largest is not None and largest <= FOLD_ROWS:
+        return _fold_arrays(df, keys, order, joins)
+    sized = df.withColumn("_length", F.count("*").over(W.partitionBy(*keys, "_segment")))
+    short = sized.filter(F.col("_length") <= FOLD_ROWS).drop("_length")
+    long = sized.filter(F.col("_length") > FOLD_ROWS).drop("_length")
+    folded = _fold_arrays(short, keys, order, joins)
+    return folded.unionByName(_fold_lines(long, keys, order, joins, folded.schema))
+
+
+def _fold_lines(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], joins: Callable, schema: T.StructType
+) -> DataFrame:
+    names = [f.name for f in schema.fields]
+
+    def fold(lines: pd.DataFrame) -> pd.DataFrame:
+        groups: list[dict] = []
+        texts: list[list[str]] = []
+        for line in lines.sort_values(list(order)).to_dict("records"):
+            group = groups[-1] if groups else None
+            if group is not None and joins(group, line):
+                group["x0"], group["y0"] = min(group["x0"], line["x0"]), min(group["y0"], line["y0"])
+                group["x1"], group["y1"] = max(group["x1"], line["x1"]), max(group["y1"], line["y1"])
+                group["x_center"] = (group["x0"] + group["x1"]) / 2
+                group["y_center"] = (group["y0"] + group["y1"]) / 2
+                group["n_lines"] += 1
+                texts[-1].append(line["text"])
+            else:
+                groups.append({**line, "y_head": line["y_center"], "n_lines": 1})
+                texts.append([line["text"]])
+        for group, parts in zip(groups, texts):
+            group["text"] = " ".join(parts)
+        return pd.DataFrame(groups)[names]
+
+    return df.groupBy(*keys, "_segment").applyInPandas(fold, schema)
+
+
+def _fold_arrays(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], joins: Callable
 ) -> DataFrame:
-    """Greedy left fold of every segment; ``joins(group, line)`` decides."""
     payload = [c for c in df.columns if c not in (*keys, *order, "_segment")]
     line = F.struct(*order, *payload, F.col("y_center").alias("y_head"), F.lit(1).alias("n_lines"))
     fields = [*order, *payload, "y_head", "n_lines"]
@@ -154,16 +207,16 @@ def merge_titles(
     )
     plain = cut.filter(~F.col("_titleish")).select(*blocks.columns, F.lit(1).alias("n_lines"))
 
-    def joins(group: Column, nxt: Column) -> Column:
+    def joins(group, nxt):
         gap = nxt["y0"] - group["y1"]
         return (
             (gap >= 0)
             & (gap <= TITLE_GAP)
             & (group["font_name"] == nxt["font_name"])
-            & (F.abs(group["font_size"] - nxt["font_size"]) <= SIZE_REACH)
+            & _within(group["font_size"], nxt["font_size"], SIZE_REACH)
         )
 
-    folded = _fold(cut.filter("_titleish").drop("_titleish"), keys, order, joins)
+    folded = _fold(cut.filter("_titleish").drop("_titleish"), keys, order, joins, largest)
     return plain.unionByName(folded.select(*blocks.columns, "n_lines"))
 
 
@@ -195,14 +248,14 @@ def merge_blocks(
 
     cut = _segments(blocks, keys, order, look_back, apart, largest, limit)
 
-    def joins(group: Column, nxt: Column) -> Column:
+    def joins(group, nxt):
         out = (
-            (F.abs(group["font_size"] - nxt["font_size"]) <= SIZE_REACH)
+            _within(group["font_size"], nxt["font_size"], SIZE_REACH)
             & (group["font_name"] == nxt["font_name"])
-            & (F.abs(nxt["y_center"] - group["y_center"]) <= CENTRE_GAP)
+            & _within(nxt["y_center"], group["y_center"], CENTRE_GAP)
         )
         if weighted:
-            out = out & (F.abs(group["merge_weight"] - nxt["merge_weight"]) <= WEIGHT_REACH)
+            out = out & _within(group["merge_weight"], nxt["merge_weight"], WEIGHT_REACH)
         return out
 
-    return _fold(cut, keys, order, joins).select(*blocks.columns, "n_lines", "y_head")
+    return _fold(cut, keys, order, joins, largest).select(*blocks.columns, "n_lines", "y_head")

@@ -108,6 +108,14 @@ def test_one_hot_page_spans_chunks(spark):
     assert facts(r.asDict() for r in mg.merge_titles(df, limit=60).collect()) == facts(plain_titles(as_dicts(rows)))
 
 
+def test_long_segments_go_line_by_line(spark, monkeypatch):
+    monkeypatch.setattr(mg, "FOLD_ROWS", 2)
+    rows = random_blocks(4)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert facts(r.asDict() for r in mg.merge_titles(df).collect()) == facts(plain_titles(as_dicts(rows)))
+    assert facts(r.asDict() for r in mg.merge_blocks(df).collect()) == facts(plain_blocks(as_dicts(rows)))
+
+
 def column(spark, sizes, step=20.0):
     rows = [
         (1, i, 1, str(i), s, "A", 400, 0.0, step * i, 10.0, step * i + 10, 5.0, step * i + 5, "Body")
