@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import labels as lb
 from ..operators import outline as ol
+from ..operators.ordering import group_profile
 from ..sources import blocks_json as bj
 
 
@@ -50,7 +51,8 @@ def incremental_classify(
         labels = f"{out}/labels/batch={batch_id}"
         lb.with_rule_labels(blocks).write.mode("overwrite").parquet(labels)
         stored = spark.read.parquet(labels)
-        ol.titled_outline(stored).write.mode("overwrite").parquet(f"{out}/outlines/batch={batch_id}")
+        _, largest = group_profile(stored, ["doc_id"])
+        ol.titled_outline(stored, largest=largest).write.mode("overwrite").parquet(f"{out}/outlines/batch={batch_id}")
 
     return (
         parsed.writeStream.foreachBatch(run)

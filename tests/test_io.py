@@ -21,7 +21,7 @@ def block(text, page=1):
 
 
 def test_folder_of_documents(spark, tmp_path):
-    (tmp_path / "Dinner Ideas - 1_classified.json").write_text(json.dumps([block("aé"), block("b")], indent=2))
+    (tmp_path / "Weekly Plan - 1_classified.json").write_text(json.dumps([block("aé"), block("b")], indent=2))
     (tmp_path / "two.json").write_text(json.dumps([]))
     (tmp_path / "three.json").write_text(json.dumps([block("c")]))
     (tmp_path / "bad.json").write_text('{"not": "a list"}')
@@ -30,7 +30,7 @@ def test_folder_of_documents(spark, tmp_path):
     (tmp_path / "note.txt").write_text("[]")
     blocks, broken = bj.read_blocks(spark, str(tmp_path))
     got = sorted((r["document"], r["line_no"], r["text"]) for r in blocks.collect())
-    assert got == [("Dinner Ideas - 1", 1, "aé"), ("Dinner Ideas - 1", 2, "b"), ("three", 1, "c")]
+    assert got == [("Weekly Plan - 1", 1, "aé"), ("Weekly Plan - 1", 2, "b"), ("three", 1, "c")]
     assert "bad" in {r["document"] for r in broken.collect()}
     flat = bj.with_box_columns(blocks).filter("text = 'c'").first()
     assert (flat["x1"], flat["y1"], flat["weight"]) == (2.0, 3.0, 700)

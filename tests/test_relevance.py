@@ -37,7 +37,7 @@ def request_data(spark):
         (d, s, " ".join(rng.choices(words, k=rng.randint(1, 4))), rng.randint(1, 3)) for d in range(30) for s in range(1, 5)
     ]
     manifest = [(j, o, d) for j in range(3) for o, d in enumerate(range(j, 30, 2))]
-    jobs = [(0, "p0", "plan a dinner menu with soup"), (1, "p1", "city tips"), (2, "p2", "!!")]
+    jobs = [(0, "p0", "plan a menu with soup"), (1, "p1", "city tips"), (2, "p2", "!!")]
     return (
         spark.createDataFrame(sections, "doc_id bigint, seq int, text string, page int"),
         spark.createDataFrame(manifest, "job_id bigint, doc_ord bigint, doc_id bigint"),
