@@ -33,7 +33,11 @@ NETWORK_FEATURES = [
 
 
 def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
-    """Nested structs to ``parent_child`` columns, by a walk over the schema alone."""
+    """Nested structs to ``parent_child`` columns, by a walk over the schema alone.
+
+    A name that another column has, whatever its case, gets the suffix ``_nested`` (again until it is free), so that the
+    result can be selected, united and written; columns that were flat before keep their names.
+    """
 
     def walk(schema: T.StructType, parents: tuple[str, ...]):
         for field in schema.fields:
@@ -41,9 +45,19 @@ def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
             if isinstance(field.dataType, T.StructType):
                 yield from walk(field.dataType, path)
             else:
-                yield F.col(".".join(f"`{p}`" for p in path)).alias(sep.join(path))
+                yield path
 
-    return df.select(*walk(df.schema, ()))
+    paths = list(walk(df.schema, ()))
+    taken = {path[0].lower() for path in paths if len(path) == 1}
+    columns = []
+    for path in paths:
+        name = sep.join(path)
+        if len(path) > 1:
+            while name.lower() in taken:
+                name += f"{sep}nested"
+            taken.add(name.lower())
+        columns.append(F.col(".".join(f"`{p}`" for p in path)).alias(name))
+    return df.select(*columns)
 
 
 def field_names(*frames: DataFrame) -> list[str]:
@@ -115,7 +129,7 @@ def category_codes(
             (F.row_number().over(w) - 1).alias(out),
             F.explode(F.sequence("_lo", "_hi")).alias("_salt"),
         )
-        joined = df.withColumn("_salt", chunk).join(codes, [*keys, column, "_salt"], "left")
+        joined = od.join_keys(df.withColumn("_salt", chunk), codes, [*keys, column, "_salt"])
         return joined.drop("_salt").withColumn(out, F.coalesce(out, F.lit(-1)))
     first = F.substring(column, 1, 1)
     values = df.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("_p", first)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .ordering import attach_stats, is_bounded, line_chunk
+from .ordering import attach_stats, is_bounded, join_keys, line_chunk
 
 # The label domain, outermost level first.
 LEVELS = ["title", "H1", "H2", "H3", "H4"]
@@ -195,7 +195,7 @@ def _dominated(
         .select(doc, "_uniform", F.explode(F.sequence("_lo", "_hi")).alias("_salt"))
     )
     salted = blocks.withColumn("_salt", line_chunk())
-    return salted.join(uniform, [doc, "_salt"], "left").drop("_salt")
+    return join_keys(salted, uniform, [doc, "_salt"]).drop("_salt")
 
 
 def with_uniform_relabel(

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -85,6 +86,9 @@ def _fold(
 ) -> DataFrame:
     """Greedy left fold of every segment; ``joins(group, line)`` decides.
 
+    Both ways treat nulls alike: a null text counts as empty inside a group, a null side of a box is passed over, a null in
+    a test does not join, and null places come first.
+
     The array expression copies its groups at every step, which suits short segments. Where a document
     may hold longer ones, those go line by line through a linear loop.
     """
@@ -105,11 +109,14 @@ def _fold_lines(
     def fold(lines: pd.DataFrame) -> pd.DataFrame:
         groups: list[dict] = []
         texts: list[list[str]] = []
-        for line in lines.sort_values(list(order)).to_dict("records"):
+        # Not-a-number compares like a null: it is neither equal to anything nor within any reach.
+        unknown = float("nan")
+        for line in lines.sort_values(list(order), na_position="first").to_dict("records"):
+            line = {k: unknown if v is None else v for k, v in line.items()}
             group = groups[-1] if groups else None
             if group is not None and joins(group, line):
-                group["x0"], group["y0"] = min(group["x0"], line["x0"]), min(group["y0"], line["y0"])
-                group["x1"], group["y1"] = max(group["x1"], line["x1"]), max(group["y1"], line["y1"])
+                for side, pick in (("x0", np.fmin), ("y0", np.fmin), ("x1", np.fmax), ("y1", np.fmax)):
+                    group[side] = float(pick(group[side], line[side]))
                 group["x_center"] = (group["x0"] + group["x1"]) / 2
                 group["y_center"] = (group["y0"] + group["y1"]) / 2
                 group["n_lines"] += 1
@@ -118,8 +125,10 @@ def _fold_lines(
                 groups.append({**line, "y_head": line["y_center"], "n_lines": 1})
                 texts.append([line["text"]])
         for group, parts in zip(groups, texts):
-            group["text"] = " ".join(parts)
-        return pd.DataFrame(groups)[names]
+            if len(parts) > 1:
+                group["text"] = " ".join("" if p is unknown or p != p else p for p in parts)
+        out = pd.DataFrame(groups)[names].astype(object)
+        return out.where(out.notna(), None)
 
     return df.groupBy(*keys, "_segment").applyInPandas(fold, schema)
 
@@ -143,7 +152,7 @@ def _fold_arrays(
         }
         changed = {
             **box,
-            "text": F.concat(group["text"], F.lit(" "), nxt["text"]),
+            "text": F.concat(F.coalesce(group["text"], F.lit("")), F.lit(" "), F.coalesce(nxt["text"], F.lit(""))),
             "x_center": (box["x0"] + box["x1"]) / 2,
             "y_center": (box["y0"] + box["y1"]) / 2,
             "n_lines": group["n_lines"] + nxt["n_lines"],
@@ -189,7 +198,8 @@ def merge_titles(
     keys = [doc, "page"]
     order = ["y_center", "line_no"]
     marked = attach_stats(blocks, [doc], {"_avg": F.avg("font_size")}, largest, limit)
-    marked = marked.withColumn("_titleish", title_like(F.col("_avg"))).drop("_avg")
+    # An unknown size, weight or place is not title-like, so every line is on one side.
+    marked = marked.withColumn("_titleish", F.coalesce(title_like(F.col("_avg")), F.lit(False))).drop("_avg")
     cut = _segments(
         marked,
         keys,

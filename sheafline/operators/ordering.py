@@ -70,6 +70,16 @@ def chunk_window(keys: Sequence[str], order: Sequence[Column | str]):
     return W.partitionBy(*keys, CHUNK).orderBy(*_columns(order))
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on ``keys`` where nulls meet nulls, as they do in a window; the left side's keys stay."""
+    named = right.select(*[F.col(k).alias(f"_right_{k}") if k in keys else F.col(k) for k in right.columns])
+    same = [left[k].eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    condition = same[0]
+    for part in same[1:]:
+        condition = condition & part
+    return left.join(named, condition, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def carry(
     df: DataFrame,
     keys: Sequence[str],
@@ -84,7 +94,7 @@ def carry(
     per_chunk = df.groupBy(*keys, CHUNK).agg(*summary)
     over = W.partitionBy(*keys).orderBy(CHUNK)
     shifts = per_chunk.select(*keys, CHUNK, *carried(over))
-    return df.join(shifts, [*keys, CHUNK], "left")
+    return join_keys(df, shifts, [*keys, CHUNK])
 
 
 BEFORE = (W.unboundedPreceding, -1)
@@ -133,8 +143,8 @@ def numbered(
 
 
 def line_chunk(line_col: str = "line_no", rows: int = ROWS_PER_CHUNK) -> Column:
-    """Salt of bounded size: at most ``rows`` lines of a document share a value."""
-    return F.floor(F.col(line_col) / rows).cast("int")
+    """Salt of bounded size: at most ``rows`` lines of a document share a value; lines without a number share one."""
+    return F.coalesce(F.floor(F.col(line_col) / rows).cast("int"), F.lit(0))
 
 
 def is_bounded(largest: int | None, limit: int | None = None) -> bool:
@@ -172,4 +182,4 @@ def attach_stats(
         .withColumn("_salt", F.explode(F.sequence("_lo", "_hi")))
         .drop("_lo", "_hi")
     )
-    return df.withColumn("_salt", chunk).join(stats, [*keys, "_salt"], "left").drop("_salt")
+    return join_keys(df.withColumn("_salt", chunk), stats, [*keys, "_salt"]).drop("_salt")

@@ -57,7 +57,7 @@ def attach_jobs(
         docs_per_job = largest_request(manifest, job)
     if docs_per_job <= docs_per_chunk:
         return sections.join(vectors, job, "left")
-    chunk = F.floor(F.col("doc_ord") / docs_per_chunk).cast("int")
+    chunk = F.coalesce(F.floor(F.col("doc_ord") / docs_per_chunk).cast("int"), F.lit(0))
     spans = manifest.groupBy(job).agg(F.max(chunk).alias("_hi"))
     spread = vectors.join(spans, job).select(
         *vectors.columns, F.explode(F.sequence(F.lit(0), "_hi")).alias("_salt")

@@ -40,7 +40,7 @@ FLAT = """select doc_id, line_no, page, text, round_even(font_size, 2) as font_s
  'en' as "Lang", split_part(font_name, '-', 1) as "Font_alt_family_name", false as "Font_embedded",
  'WinAnsiEncoding' as "Font_encoding", split_part(font_name, '-', 1) as "Font_family_name",
  'TrueType' as "Font_font_type", contains(lower(font_name), 'italic') as "Font_italic",
- false as "Font_monospaced", font_name as "Font_name", false as "Font_subset",
+ false as "Font_monospaced", font_name as "Font_name_nested", false as "Font_subset",
  case when regexp_matches(lower(font_name), '(bold|black)') then 700 else 400 end as "Font_weight",
  round_even(font_size * 1.2::double, 1) as "attributes_LineHeight", 0.0::double as "attributes_SpaceAfter",
  case when abs(x_center - 300) < 100 then 'Center' else 'Left' end as "attributes_TextAlign" from blocks"""

@@ -46,16 +46,16 @@ def lines_from_spans(spark, sf):
     return sp.lines_from_spans(fixture_spans(spark, sf))
 
 
-_PAGE = "<(title|h1|p|li|div|footer)[^>]*>([^<]*)"
+_SHOWN = f"regexp_replace(html, '{sp.HIDDEN}', '', 'g')"
 
 
 @register(
     "blocks_from_pages",
     f"""select page_id, line_no, tag, text, case tag when 'title' then 24.0 when 'h1' then 16.5 when 'footer' then 8.0
   else 12.0 end::double as font_size, case when tag in ('title', 'h1') then 700 else 400 end as weight
- from (select page_id, unnest(tags) as tag, {oc.strip('unnest(texts)')} as text,
+ from (select page_id, unnest(tags) as tag, {oc.strip("regexp_replace(unnest(texts), '<[^>]*>', '', 'g')")} as text,
    cast(generate_subscripts(tags, 1) as bigint) as line_no
-  from (select page_id, regexp_extract_all(html, '{_PAGE}', 1) tags, regexp_extract_all(html, '{_PAGE}', 2) texts
+  from (select page_id, regexp_extract_all({_SHOWN}, '{sp.TAGGED}', 1) tags, regexp_extract_all({_SHOWN}, '{sp.TAGGED}', 2) texts
    from pages)) where text <> ''""",
 )
 def blocks_from_pages(spark, sf):

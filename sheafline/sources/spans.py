@@ -22,6 +22,9 @@ PAGE_TAGS = {
     "title": (24.0, 700), "h1": (16.5, 700), "p": (12.0, 400), "li": (12.0, 400), "div": (12.0, 400),
     "footer": (8.0, 400),
 }
+INLINE_TAGS = "a|abbr|b|br|cite|code|em|font|i|img|mark|q|s|small|span|strong|sub|sup|tt|u"
+HIDDEN = "(?is)<(script|style)[^>]*>.*?</(script|style)>"
+TAGGED = rf"<({'|'.join(PAGE_TAGS)})(?:\s[^>]*)?>((?:[^<]+|</?(?:{INLINE_TAGS})(?:[\s/][^>]*)?>)*)"
 
 
 def lines_from_spans(spans: DataFrame, keys: tuple[str, ...] = ("doc_id", "page", "block", "line")) -> DataFrame:
@@ -50,11 +53,14 @@ def lines_from_spans(spans: DataFrame, keys: tuple[str, ...] = ("doc_id", "page"
 
 
 def blocks_from_pages(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """Tagged text of a page as blocks; the tag gives size and weight, empty texts are dropped."""
-    pattern = F.lit(rf"<({'|'.join(PAGE_TAGS)})[^>]*>([^<]*)")
+    """Tagged text of a page as blocks; the tag gives size and weight, empty texts are dropped.
+
+    A block's text goes on over inline tags, which are stripped; scripts and styles are left out.
+    """
+    shown = F.regexp_replace(html, HIDDEN, "")
     pairs = F.arrays_zip(
-        F.regexp_extract_all(html, pattern, F.lit(1)).alias("tag"),
-        F.regexp_extract_all(html, pattern, F.lit(2)).alias("text"),
+        F.regexp_extract_all(shown, F.lit(TAGGED), F.lit(1)).alias("tag"),
+        F.transform(F.regexp_extract_all(shown, F.lit(TAGGED), F.lit(2)), lambda t: F.regexp_replace(t, "<[^>]*>", "")).alias("text"),
     )
     sizes = F.create_map(*[F.lit(x) for t, (s, _) in PAGE_TAGS.items() for x in (t, s)])
     weights = F.create_map(*[F.lit(x) for t, (_, w) in PAGE_TAGS.items() for x in (t, w)])
@@ -80,9 +86,24 @@ def parse_files(
 ) -> DataFrame:
     """Rows a user's ``parser(file name, bytes)`` makes of each file, e.g. the spans of a PDF.
 
-    A file the parser fails on gives no rows and does not stop the others; it is found again as a
-    requested document without blocks.
+    A file the parser fails on gives no rows and does not stop the others; ``failed_files`` names it.
     """
+    return _parsed(spark, path, parser, glob, schema).filter("_error is null").drop("_file", "_error")
+
+
+def failed_files(
+    spark: SparkSession,
+    path: str,
+    parser: Callable[[str, bytes], Iterable[dict]],
+    glob: str = "*.pdf",
+    schema: str = SPAN_SCHEMA,
+) -> DataFrame:
+    """(file, error) of the files that the parser fails on."""
+    failed = _parsed(spark, path, parser, glob, schema).filter("_error is not null")
+    return failed.select(F.col("_file").alias("file"), F.col("_error").alias("error"))
+
+
+def _parsed(spark: SparkSession, path: str, parser, glob: str, schema: str) -> DataFrame:
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
@@ -90,15 +111,17 @@ def parse_files(
         .load(path)
         .select("path", "content")
     )
+    schema = f"{schema}, _file string, _error string"
     shape = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"]):
+                name = file.as_py().rsplit("/", 1)[-1]
                 try:
-                    rows = list(parser(file.as_py().rsplit("/", 1)[-1], content.as_py()))
-                except Exception:  # noqa: BLE001 - one bad file must not end the job
-                    rows = []
+                    rows = list(parser(name, content.as_py()))
+                except Exception as error:  # noqa: BLE001 - one bad file must not end the job
+                    rows = [{"_file": name, "_error": f"{type(error).__name__}: {error}"}]
                 yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
     return files.mapInArrow(parse, schema)

@@ -24,27 +24,24 @@ def incremental_classify(
     whole_files: bool = True,
     files_per_batch: int = 10_000,
 ) -> StreamingQuery:
-    """Read the files of ``inbox`` not seen before, and append ``labels`` and ``outlines`` to ``out``.
+    """Read the files of ``inbox`` not seen before, and append ``labels``, ``outlines`` and ``broken`` to ``out``.
 
-    All lines of a document must arrive together. A batch that is run again writes its own folder
-    again, so a restart neither loses nor repeats rows.
+    A document is its file's name unless its blocks carry an id. All lines of a document must arrive together. What is not
+    an array goes to ``broken`` with its name. A batch that is run again writes its own folders again, so a restart
+    neither loses nor repeats rows.
     """
     arrivals = (
         spark.readStream.format("text")
         .option("wholetext", whole_files)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(inbox)
-    )
-    parsed = (
-        arrivals.withColumn("blocks", F.from_json("value", f"array<struct<{bj.BLOCK_FIELDS}>>"))
-        .select(F.posexplode("blocks").alias("_pos", "_b"))
-        .select("_pos", "_b.*")
-        .withColumn("line_no", F.coalesce("line_no", F.col("_pos") + F.lit(1).cast("bigint")))
-        .drop("_pos")
+        .select(F.col("_metadata.file_path").alias("file"), "value")
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        blocks = bj.with_box_columns(batch).select(
+        good, broken = bj.split_arrays(batch, whole_files)
+        broken.write.mode("overwrite").parquet(f"{out}/broken/batch={batch_id}")
+        blocks = bj.with_box_columns(good).select(
             "doc_id", "line_no", "page", "text", "font_size", "font_name", "weight",
             "x0", "y0", "x1", "y1", "x_center", "y_center",
         )
@@ -55,7 +52,7 @@ def incremental_classify(
         ol.titled_outline(stored, largest=largest).write.mode("overwrite").parquet(f"{out}/outlines/batch={batch_id}")
 
     return (
-        parsed.writeStream.foreachBatch(run)
+        arrivals.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -26,12 +26,14 @@ def test_folder_of_documents(spark, tmp_path):
     (tmp_path / "three.json").write_text(json.dumps([block("c")]))
     (tmp_path / "bad.json").write_text('{"not": "a list"}')
     (tmp_path / "worse.json").write_text("[{")
+    (tmp_path / "tail.json").write_text(json.dumps([block("t")]) + " and more")
     (tmp_path / "x_outline.json").write_text(json.dumps([block("skip")]))
     (tmp_path / "note.txt").write_text("[]")
     blocks, broken = bj.read_blocks(spark, str(tmp_path))
     got = sorted((r["document"], r["line_no"], r["text"]) for r in blocks.collect())
     assert got == [("Weekly Plan - 1", 1, "aé"), ("Weekly Plan - 1", 2, "b"), ("three", 1, "c")]
-    assert "bad" in {r["document"] for r in broken.collect()}
+    assert {"bad", "worse", "tail"} <= {r["document"] for r in broken.collect()}
+    assert {r["doc_id"] for r in blocks.collect()} == {"Weekly Plan - 1", "three"}
     flat = bj.with_box_columns(blocks).filter("text = 'c'").first()
     assert (flat["x1"], flat["y1"], flat["weight"]) == (2.0, 3.0, 700)
 
@@ -84,6 +86,14 @@ def test_bytes_through_a_parser(spark, tmp_path):
     rows = sp.parse_files(spark, str(tmp_path), read_words)
     lines = sp.lines_from_spans(rows, ("document", "page", "block", "line")).collect()
     assert [(r["document"], r["text"]) for r in lines] == [("a.pdf", "some words here")]
+    failed = sp.failed_files(spark, str(tmp_path), read_words).collect()
+    assert [(r["file"], r["error"]) for r in failed] == [("b.pdf", "ValueError: b.pdf")]
+
+
+def test_page_text_goes_on_over_inline_tags(spark):
+    html = "<title>T</title><script>var p = '<p>no</p>';</script><ul><li><a href='#'>one</a> two</li></ul><p>x <b>y</b> z</p><pre>q</pre><link>"
+    got = sp.blocks_from_pages(spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")).orderBy("line_no").collect()
+    assert [(r["tag"], r["text"]) for r in got] == [("title", "T"), ("li", "one two"), ("p", "x y z")]
 
 
 def load_length_model():
@@ -110,7 +120,7 @@ def test_stream_skips_what_it_has_seen(spark, tmp_path):
     from sheafline.streaming.incremental import incremental_classify
 
     def arrive(name, doc):
-        lines = [{**block(f"Heading {doc}"), "font_size": 20.0, "doc_id": doc}, {**block("body"), "doc_id": doc}]
+        lines = [{**block(f"Heading {doc}"), "font_size": 20.0}, block("body")]
         (tmp_path / "in" / name).write_text(json.dumps(lines))
 
     (tmp_path / "in").mkdir()
@@ -118,7 +128,12 @@ def test_stream_skips_what_it_has_seen(spark, tmp_path):
     arrive("a.json", 1)
     incremental_classify(spark, *paths).awaitTermination()
     arrive("b.json", 2)
+    (tmp_path / "in" / "cut.json").write_text('[{"text": "cut')
     incremental_classify(spark, *paths).awaitTermination()
     labels = spark.read.parquet(str(tmp_path / "out" / "labels"))
-    assert sorted((r["doc_id"], r["batch"]) for r in labels.select("doc_id", "batch").distinct().collect()) == [(1, 0), (2, 1)]
+    assert sorted((r["doc_id"], r["batch"]) for r in labels.select("doc_id", "batch").distinct().collect()) == [("a", 0), ("b", 1)]
     assert labels.count() == 4
+    outlines = spark.read.parquet(str(tmp_path / "out" / "outlines"))
+    assert {r["doc_id"] for r in outlines.collect()} == {"a", "b"}
+    broken = spark.read.parquet(str(tmp_path / "out" / "broken")).collect()
+    assert [(r["document"], r["batch"]) for r in broken] == [("cut", 1)]
