@@ -7,7 +7,8 @@ finds the roles of the lines, the majority of its lines a turn's; a turn is rend
 
 Scale: a conversation of any length. Lines are dealt into chunks of ``CHUNK`` turns; each chunk gives the best score from every
 state before it to every state at its end, chunks of chunks are combined in levels of ``CHUNK``, and the states at the
-borders go back down the levels, so no task holds more than one chunk and the path is the exact Viterbi path.
+borders go back down the levels, so no call holds more than some chunks of ``CALL_ROWS`` lines together (a chunk is never cut)
+and the path is the exact Viterbi path.
 
 Defined results: a null or empty line is a blank line and belongs to the turn around it; an unknown marker is text; ties go to
 the state named first; a null conversation id is a conversation of its own; null turns come first; repeated lines stay.
@@ -27,6 +28,7 @@ from .frames import stored
 
 ROLES = ("system", "user", "assistant")
 CHUNK = 64
+CALL_ROWS = 20_000
 
 # Marker words of each role, in lower case.
 MARKERS = {
@@ -130,14 +132,34 @@ def _steps(tables: Tables, obs) -> list[np.ndarray]:
     return [tables.move[o & 1] + tables.emit[:, o][None, :] for o in obs]
 
 
-def _summed(rows: DataFrame, keys: list[str], matrices: Callable[[pd.DataFrame], list[np.ndarray]]) -> DataFrame:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        total = _fold(matrices(group))
-        out = {k: [group[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**out, "matrix": [total.ravel().tolist()]})
+def _grouped(df: DataFrame, keys: list[str], order: list[str], run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, n_rows: int) -> DataFrame:
+    """``run`` on frames of many whole groups of ``keys``, sorted, with the row at which each group starts (and the end).
+
+    Groups are dealt by hash into calls of about ``CALL_ROWS`` rows: most conversations are short, and a call each would cost
+    more than its work. ``n_rows`` is the number of rows of ``df``; the number of calls grows with it.
+    """
+    calls = F.pmod(F.xxhash64(*keys), F.lit(-(-max(n_rows, 1) // CALL_ROWS)))
+
+    def each(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([*keys, *order], na_position="first", ignore_index=True)
+        at = frame.groupby(keys, sort=False).ngroup().to_numpy()
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        return run(frame, np.append(starts, len(frame)))
+
+    return df.withColumn("_call", calls).groupBy("_call").applyInPandas(each, schema)
+
+
+def _summed(rows: DataFrame, keys: list[str], order: list[str], values: str, matrices: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """The product of the matrices of each group's ``values``."""
+
+    def run(frame: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+        held = frame[values].to_numpy()
+        totals = [_fold(matrices(held[lo:hi])).ravel().tolist() for lo, hi in zip(edges, edges[1:])]
+        return frame.loc[edges[:-1], keys].assign(matrix=totals)
 
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, matrix array<double>")
+    narrow = rows.select(*keys, *order, values)
+    return _grouped(narrow, keys, order, run, f"{kinds}, matrix array<double>", rows.count())
 
 
 def decode(lines: DataFrame, tables: Tables) -> DataFrame:
@@ -148,16 +170,16 @@ def decode(lines: DataFrame, tables: Tables) -> DataFrame:
     rows = stored(rows, "lines")
     square = lambda m: np.array(m).reshape(n, n)
 
-    def of_lines(group: pd.DataFrame) -> list[np.ndarray]:
-        return _steps(tables, group.sort_values(_ORDER, na_position="first")["obs"])
+    def of_lines(obs: np.ndarray) -> list[np.ndarray]:
+        return _steps(tables, obs)
 
-    def of_chunks(group: pd.DataFrame) -> list[np.ndarray]:
-        return [square(m) for m in group.sort_values("chunk")["matrix"]]
+    def of_chunks(held: np.ndarray) -> list[np.ndarray]:
+        return [square(m) for m in held]
 
-    levels = [stored(_summed(rows, ["conv_key", "chunk"], of_lines), "chunks")]
+    levels = [stored(_summed(rows, ["conv_key", "chunk"], _ORDER, "obs", of_lines), "chunks")]
     while (levels[-1].agg(F.max("chunk")).first()[0] or 0) > 0:
         up = levels[-1].withColumn("part", F.floor(F.col("chunk") / CHUNK).cast("bigint"))
-        up = _summed(up, ["conv_key", "part"], of_chunks).withColumnRenamed("part", "chunk")
+        up = _summed(up, ["conv_key", "part"], ["chunk"], "matrix", of_chunks).withColumnRenamed("part", "chunk")
         levels.append(stored(up, "chunks"))
     # The path starts in a role that stands before the first line; any is as likely.
     before = tables.start
@@ -173,29 +195,30 @@ def decode(lines: DataFrame, tables: Tables) -> DataFrame:
 
     borders = levels[-1].mapInPandas(ends_of, "conv_key string, chunk bigint, first int, last int")
 
-    def down(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk")
-        path = _trace([square(m) for m in group["matrix"]], int(group["first"].iloc[0]), int(group["last"].iloc[0]))
-        return pd.DataFrame(
-            {"conv_key": group["conv_key"], "chunk": group["chunk"], "first": [int(group["first"].iloc[0]), *path[:-1]], "last": path}
-        )
+    def down(frame: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+        first, last = frame["first"].to_numpy(copy=True), frame["last"].to_numpy(copy=True)
+        held = frame["matrix"].to_numpy()
+        for lo, hi in zip(edges, edges[1:]):
+            path = _trace([square(m) for m in held[lo:hi]], int(first[lo]), int(last[lo]))
+            first[lo:hi], last[lo:hi] = [first[lo], *path[:-1]], path
+        return frame[["conv_key", "chunk"]].assign(first=first, last=last)
 
     for level in reversed(levels[:-1]):
         own = level.withColumn("part", F.floor(F.col("chunk") / CHUNK).cast("bigint"))
         above = borders.withColumnRenamed("chunk", "part")
-        borders = own.join(above, ["conv_key", "part"]).groupBy("conv_key", "part").applyInPandas(
-            down, "conv_key string, chunk bigint, first int, last int"
-        )
+        kinds = "conv_key string, chunk bigint, first int, last int"
+        borders = _grouped(own.join(above, ["conv_key", "part"]), ["conv_key", "part"], ["chunk"], down, kinds, level.count())
 
     names = rows.columns
 
-    def roles(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(_ORDER, na_position="first")
-        path = _trace(_steps(tables, group["obs"]), int(group["first"].iloc[0]), int(group["last"].iloc[0]))
-        return group[names].assign(role_pred=[ROLES[k] for k in path])
+    def roles(frame: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+        obs, first, last = (frame[c].to_numpy() for c in ("obs", "first", "last"))
+        path = [k for lo, hi in zip(edges, edges[1:]) for k in _trace(_steps(tables, obs[lo:hi]), int(first[lo]), int(last[lo]))]
+        return frame[names].assign(role_pred=[ROLES[k] for k in path])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    found = rows.join(borders, ["conv_key", "chunk"]).groupBy("conv_key", "chunk").applyInPandas(roles, f"{kinds}, role_pred string")
+    placed = rows.join(borders, ["conv_key", "chunk"])
+    found = _grouped(placed, ["conv_key", "chunk"], _ORDER, roles, f"{kinds}, role_pred string", rows.count())
     return found.drop("conv_key", "chunk")
 
 

@@ -134,6 +134,7 @@ def _plain_viterbi(tables, obs):
 
 def test_chat_viterbi_over_chunks(spark, monkeypatch):
     monkeypatch.setattr(chat_hmm, "CHUNK", 3)
+    monkeypatch.setattr(chat_hmm, "CALL_ROWS", 40)
     talks = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     long = [(10_000, t, ("user", "assistant")[t % 2], None if t % 7 == 3 else f"text {t}\nmore?" * (1 + t % 4)) for t in range(60)]
     odd = [(None, 0, "user", "no id"), (None, 1, "assistant", ""), (10_001, None, "user", "no turn")]
