@@ -107,8 +107,8 @@ def test_histogram_of_equal_values_sits_in_the_middle(spark):
     assert len(got) == 20 and got[11] == 4
 
 
-@pytest.mark.parametrize("block_rows", [4096, 16])
-def test_neighbours_equal_brute_force(spark, block_rows):
+@pytest.mark.parametrize("block_rows, shared", [(4096, 0), (16, 0), (16, 10**6)])
+def test_neighbours_equal_brute_force(spark, block_rows, shared):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(8, 12))
     train = np.vstack([base[i % 8] + 0.3 * rng.normal(size=12) for i in range(300)])
@@ -117,7 +117,7 @@ def test_neighbours_equal_brute_force(spark, block_rows):
     queries = np.vstack([train[0], np.zeros(12), *(base[i % 8] + 0.3 * rng.normal(size=12) for i in range(30))])
     t = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(train)], "id bigint, v array<double>, c int")
     q = spark.createDataFrame([(1000 + i, v.tolist()) for i, v in enumerate(queries)], "id bigint, v array<double>")
-    got = knn.nearest_neighbours(q, t, "id", "v", ["c"], block_rows=block_rows).collect()
+    got = knn.nearest_neighbours(q, t, "id", "v", ["c"], block_rows=block_rows, shared_values=shared).collect()
 
     def unit(m):
         n = np.linalg.norm(m, axis=1, keepdims=True)
