@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -63,15 +64,25 @@ def job_answer(
     jobs: DataFrame,
     largest: int | None = None,
     docs_per_job: int | None = None,
+    encode: Callable[[Column], Column] | None = None,
+    summarize: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Top sections of every job with a summary of the body text of their pages.
 
+    ``encode`` (text to dense vector, see ``encoders.encoder``) replaces the token counts of the ranking; every section and
+    task is encoded once, before they meet. ``summarize`` (text to text, ``encoders.summarizer``) replaces the built-in summary.
+
     Scores need only heading texts; body text is read for the pages of the winners alone. The winners
     (five rows a job) are stored, as they are used more than once.
     """
     sections = outline(blocks, largest=largest)
+    vector = None
+    if encode is not None:
+        vector = "_vector"
+        sections = sections.withColumn(vector, encode(F.col("text")))
+        jobs = jobs.withColumn(vector, encode(F.col("task")))
     scored = rv.relevance_scores(
-        sections, manifest, jobs, largest=largest, docs_per_job=docs_per_job
+        sections, manifest, jobs, largest=largest, docs_per_job=docs_per_job, vector=vector
     )
     top = cut_lineage(
         rv.top_sections(scored).select(
@@ -80,7 +91,10 @@ def job_answer(
     )
     pages = top.select("doc_id", "page").distinct()
     contents = page_bodies(blocks.join(pages, ["doc_id", "page"], "left_semi"))
-    summaries = extractive_summary(contents, ["doc_id", "page"])
+    if summarize is not None:
+        summaries = contents.select("doc_id", "page", summarize(F.col("content")).alias("summary"))
+    else:
+        summaries = extractive_summary(contents, ["doc_id", "page"])
     return top.join(summaries, ["doc_id", "page"], "left").withColumnRenamed("summary", "refined_text")
 
 

@@ -72,6 +72,12 @@ def repair_levels(
     )
 
 
+def modified_documents(repaired: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, modified): whether the repair changed a level of the document."""
+    changed = ~F.col("label").eqNullSafe(F.col("new_label"))
+    return repaired.groupBy(doc).agg(F.bool_or(changed).alias("modified"))
+
+
 def first_headings(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
     """First occurrence of each cleaned heading text of a document; empty texts are dropped."""
     heads = blocks.filter(F.col("label").isin(OUTLINE_LEVELS)).select(

@@ -2,7 +2,8 @@
 
 A request (job) lists its documents, so a heading is scored once for every request that lists its
 document: the scored rows are the manifest's rows, never jobs x headings. Scores are cosine
-similarities of token counts; the job side is one row a job (a map of counts).
+similarities of token counts; the job side is one row a job (a map of counts). Where both sides carry a
+column of dense vectors, the cosine of those is taken over the same join.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions import vectors as vc
 from . import ordering as od
 from .labels import LEVELS, category, importance
 
@@ -107,9 +109,17 @@ def relevance_scores(
     ordinal: str = "seq",
     largest: int | None = None,
     docs_per_job: int | None = None,
+    vector: str | None = None,
 ) -> DataFrame:
-    """Every section of every request with its ``score``."""
+    """Every section of every request with its ``score``.
+
+    ``vector`` names a column of dense vectors in ``sections`` and in ``jobs``; a missing vector scores 0.
+    """
     listed = request_sections(sections, manifest, ordinal=ordinal, largest=largest)
+    if vector is not None:
+        asked = jobs.select("job_id", F.col(vector).alias("_asked"))
+        scored = attach_jobs(listed, manifest, asked, docs_per_job=docs_per_job)
+        return scored.withColumn("score", vc.cosine(F.col(vector), F.col("_asked"))).drop(vector, "_asked")
     scored = attach_jobs(listed, manifest, job_vectors(jobs), docs_per_job=docs_per_job)
     return (
         scored.withColumn("_toks", tx.tokens(F.col(text)))
@@ -145,13 +155,18 @@ def top_sections_per_doc(
     largest: int | None = None,
     docs_per_job: int | None = None,
     limit: int | None = None,
+    vector: str | None = None,
 ) -> DataFrame:
-    """The ``k`` most similar headings of each document of a request, numbered through the request."""
+    """The ``k`` most similar headings of each document of a request, numbered through the request.
+
+    ``vector`` as in ``relevance_scores``, a column of ``blocks`` and ``jobs``.
+    """
     if docs_per_job is None:
         docs_per_job = largest_request(manifest)
-    heads = headings(blocks).select("doc_id", "line_no", "page", "y_center", "text")
+    dense = [vector] if vector is not None else []
+    heads = headings(blocks).select("doc_id", "line_no", "page", "y_center", "text", *dense)
     scored = relevance_scores(
-        heads, manifest, jobs, ordinal="line_no", largest=largest, docs_per_job=docs_per_job
+        heads, manifest, jobs, ordinal="line_no", largest=largest, docs_per_job=docs_per_job, vector=vector
     )
     w = W.partitionBy("job_id", "doc_id").orderBy(F.desc("score"), "line_no")
     best = scored.withColumn("doc_rank", F.row_number().over(w)).filter(F.col("doc_rank") <= k)

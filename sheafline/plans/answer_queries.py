@@ -101,6 +101,26 @@ def relevance_scores(spark, sf):
     return scored.select("job_id", "doc_id", "seq", nb.r6(F.col("score")).alias("score"))
 
 
+@register(
+    "relevance_dense",
+    """select j.vec_id as job_id, d.vec_id as doc_id,
+ round(list_cosine_similarity(d.embedding::double[], j.embedding::double[]), 6) as score
+ from embeddings d join embeddings j on j.vec_id % 20 = 0
+  and j.vec_id in (d.vec_id - d.vec_id % 20 - 20, d.vec_id - d.vec_id % 20, d.vec_id - d.vec_id % 20 + 20)""",
+)
+def relevance_dense(spark, sf):
+    """Stored vectors as sections; every twentieth is a request that lists the vectors around it, so each is in up to three."""
+    e = fx.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    jobs = e.filter(F.col("vec_id") % 20 == 0).withColumnRenamed("vec_id", "job_id")
+    own = F.col("vec_id") - F.col("vec_id") % 20
+    manifest = e.select(
+        F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("doc_ord"), F.explode(F.array(own - 20, own, own + 20)).alias("job_id")
+    ).join(jobs.select("job_id"), "job_id", "left_semi")
+    sections = e.select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("seq"), "embedding")
+    scored = rv.relevance_scores(sections, manifest, jobs, largest=1, docs_per_job=60, vector="embedding")
+    return scored.select("job_id", "doc_id", nb.r6(F.col("score")).alias("score"))
+
+
 @register(
     "top_sections",
     oc.sql(

@@ -52,6 +52,23 @@ def repair_levels(spark, sf):
     )
 
 
+@register(
+    "repair_flags",
+    oc.sql(
+        f"""select doc_id, coalesce(bool_or(cur <> rn + low), false) as modified
+ from (select distinct doc_id from labelled) left join (
+  select doc_id, cur, rn, least(0, min(cur - rn) over
+    (partition by doc_id order by page, y_center, line_no rows unbounded preceding)) as low
+  from (select *, {oc.LEVEL.format(x='label')} as cur,
+    row_number() over (partition by doc_id order by page, y_center, line_no) rn
+    from labelled where label in ('title', 'H1', 'H2', 'H3', 'H4'))) using (doc_id) group by doc_id"""
+    ),
+)
+def repair_flags(spark, sf):
+    out = ol.repair_levels(fx.labelled(spark, sf), largest=fx.largest_document(spark, sf))
+    return ol.modified_documents(out)
+
+
 @register(
     "dedup_headings", oc.sql("select doc_id, line_no, clean, page, label from first_headings")
 )

@@ -127,3 +127,12 @@ def test_rule_labels_with_and_without_a_bound(spark, data, largest):
     got = lb.with_rule_labels(df, largest=largest).groupBy("label").count().collect()
     want = lb.with_rule_labels(df, largest=100).groupBy("label").count().collect()
     assert {tuple(r) for r in got} == {tuple(r) for r in want}
+
+
+def test_documents_whose_levels_were_repaired(spark):
+    rows = spark.createDataFrame(
+        [(1, "H1", "H1"), (1, "H4", "H2"), (2, "H1", "H1"), (3, None, None), (None, "H2", "H1")],
+        "doc_id bigint, label string, new_label string",
+    )
+    got = {r["doc_id"]: r["modified"] for r in ol.modified_documents(rows).collect()}
+    assert got == {1: True, 2: False, 3: False, None: True}

@@ -110,3 +110,33 @@ def test_missing_and_unprocessed(spark):
     d = spark.createDataFrame([(5,)], "doc_id bigint")
     assert [r["doc_id"] for r in an.missing_documents(m, d).collect()] == [6]
     assert [r["doc_id"] for r in an.listed_documents(m, d).collect()] == [5]
+
+
+def test_own_encoder_and_summarizer_reach_the_answer(spark):
+    from sheafline.operators import encoders as en
+
+    blocks = spark.createDataFrame(
+        [
+            (d, n, 1, text, label, 10.0 * n, size)
+            for d in (1, 2)
+            for n, text, label, size in [
+                (1, "Salad menu", "H1", 16.0), (2, "cut the leaves. then wash.", "Body", 12.0), (3, "Night bar", "H2", 15.0)
+            ]
+        ],
+        "doc_id bigint, line_no bigint, page int, text string, label string, y_center double, font_size double",
+    )
+    manifest = spark.createDataFrame([(7, 0, 1), (7, 1, 2), (8, 0, 2)], "job_id bigint, doc_ord bigint, doc_id bigint")
+    jobs = spark.createDataFrame([(7, "p", "bar"), (8, "q", "salad")], "job_id bigint, persona string, task string")
+
+    def load_encoder():
+        import numpy as np
+
+        return lambda texts: np.array([["bar" in t.lower(), "salad" in t.lower()] for t in texts], dtype="float32")
+
+    encode = en.encoder(load_encoder)
+    summarize = en.summarizer(lambda: lambda texts: [t.upper() for t in texts])
+    out = an.job_answer(blocks, manifest, jobs, largest=3, docs_per_job=2, encode=encode, summarize=summarize).collect()
+    scores = {(r["job_id"], r["doc_id"], r["section_title"]): r["score"] for r in out}
+    assert scores[7, 1, "Night bar"] == scores[7, 2, "Night bar"] == scores[8, 2, "Salad menu"] == 1.0
+    assert scores[7, 1, "Salad menu"] == scores[8, 2, "Night bar"] == 0.0
+    assert {r["refined_text"] for r in out} == {"CUT THE LEAVES. THEN WASH."}
