@@ -158,6 +158,59 @@ def test_simhash_edges(odd, none):
     assert simhash_tiles.keep_first(none).count() == 0
 
 
+def overlapping(n, shared, key):
+    """Two texts of ``n`` five-word shingles each, of which they share ``shared``."""
+    one = [f"w{key}x{i}" for i in range(n + 4)]
+    return " ".join(one), " ".join(one[: shared + 4] + [f"v{key}x{i}" for i in range(n - shared)])
+
+
+def test_keep_first_decides_on_the_shingle_sets(spark):
+    cases = {0.75: (70, 60), 0.79: (179, 158), 0.80: (90, 80), 0.82: (91, 82), 0.85: (185, 170), 0.90: (95, 90)}
+    rows, gone = [], set()
+    for k, (index, (n, shared)) in enumerate(cases.items()):
+        for i in range(20):
+            key = 1000 * k + 2 * i
+            rows += zip((key, key + 1), overlapping(n, shared, key))
+            if index >= 0.8:
+                gone.add(key + 1)
+    # 4 of 5 shingles; one much repeated line in texts that share nothing else.
+    rows += [(9000, "a b c d e f g h"), (9001, "a b c d e f g h i")]
+    gone.add(9001)
+    for i in range(2):
+        rows.append((9010 + i, "read more of this here now " * 200 + " ".join(f"own{i}x{j}" for j in range(100))))
+    # A chain: 0.85 between neighbours, less than 0.8 between the ends.
+    chain = [f"c{i}" for i in range(234)]
+    rows += [(9020 + i, " ".join(chain[15 * i : 15 * i + 189])) for i in range(4)]
+    gone |= {9021, 9022, 9023}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for tiles in ({}, {"tile_rows": 25, "tile_shingles": 300}):
+        kept = {r["doc_id"] for r in simhash_tiles.keep_first(docs, **tiles).collect()}
+        assert {i for i, _ in rows} - kept == gone
+
+
+def test_keep_first_against_all_pairs(docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    rows += [(10**6 + i, " ".join(w for j, w in enumerate(words(t)) if (j + i) % 40)) for i, t in rows[::3]]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) else set() for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    made = docs.sparkSession.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in simhash_tiles.keep_first(made).collect()}
+    assert kept == {find(i) for i in ids} and len(kept) < len(ids)
+
+
 def test_viterbi_streams_like_the_whole_table():
     for seed in range(150):
         r = random.Random(seed)
