@@ -46,4 +46,42 @@ SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op6_decontaminate": OP6, "op9_substring": OP9}
+_BREAKS = "[.,;:!?\\x0A-\\x0D]"
+
+OP11 = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_BREAKS}')) AS p
+  FROM documents
+), d AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM d GROUP BY lang),
+often AS (
+  SELECT lang, m AS size, list_aggregate(list_slice(w, i, i + m - 1), 'string_agg', ' ') AS phrase, count(*)::HUGEINT AS f
+  FROM d, unnest(range(1, 6)) AS s(m), unnest(range(1, len(w) - m + 2)) AS t(i) GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT o.lang, o.phrase, o.f AS a, k, x.f AS l, y.f AS r, n, (1000 * o.f * n) // (x.f * y.f) AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS w FROM often WHERE size > 1) o, unnest(range(1, o.size)) AS t(k)
+  JOIN often x ON x.lang = o.lang AND x.phrase = list_aggregate(list_slice(o.w, 1, k), 'string_agg', ' ')
+  JOIN often y ON y.lang = o.lang AND y.phrase = list_aggregate(list_slice(o.w, k + 1, o.size), 'string_agg', ' ')
+  JOIN totals z ON z.lang = o.lang
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT DISTINCT o.lang, list_aggregate(list_slice(w, i, i + m - 1), 'string_agg', ' ') AS phrase, f
+  FROM (SELECT *, string_split(phrase, ' ') AS w FROM often WHERE size > 2) o, unnest(range(2, o.size)) AS s(m), unnest(range(1, o.size - m + 2)) AS t(i)
+), kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.f >= 100 * b.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l,
+       r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+OP13 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.digest = f.digest AND p.n >= 100
+"""
+
+ORACLES = {"op6_decontaminate": OP6, "op9_substring": OP9, "op11_collocations": OP11}

@@ -13,6 +13,7 @@ from . import (
     adaptive_rules,
     byte_rnn,
     chat_hmm,
+    collocations,
     pairwise_quality,
     repeated_windows,
     simhash_tiles,
@@ -70,6 +71,10 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_rules.judged(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sentencepiece,
         op9_substring,
         op10_rules,
+        op11_collocations,
     )
 } | {"pipeline": corpus_pipeline.run}
