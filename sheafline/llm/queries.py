@@ -21,6 +21,7 @@ from . import (
     suffix_automaton,
     suffix_tree_lm,
     toxicity_grammar,
+    whitening,
 )
 from .oracles import ORACLES  # noqa: F401
 
@@ -75,6 +76,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -89,5 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_substring,
         op10_rules,
         op11_collocations,
+        op12_whitening,
     )
 } | {"pipeline": corpus_pipeline.run}
