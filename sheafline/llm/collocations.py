@@ -14,7 +14,8 @@ Passes over the texts: words; pairs of surviving words; longer phrases of surviv
 survived is handed on as a bit filter of 16 bits a phrase, at most ``MOST_BITS`` (64 MB). Its false positives, and a filter too
 small for its phrases, cost work and never change a result: the last pass counts by text, not by hash.
 
-Scale: what a task sends are blocks of counters, summed before; a merging task streams blocks into bounded summaries. Scores,
+Scale: what a task sends are blocks of counters, summed before; a partition of hashes has a bounded mass, so its blocks are
+bounded too, however large the table, and a merging task streams them into its summaries. Scores,
 cuts and containment are joins and grouped minima over the phrases that occur often enough.
 
 Defined results: a null text is empty, a null language is ``und`` (one group with a language of that name); rows that repeat
@@ -42,8 +43,8 @@ from .frames import stored
 BLANKS = b" \t"
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 STRETCH_BYTES = 1 << 20
-PART_MASS = 4 << 20
-HELD = 1 << 20
+PART_MASS = 1 << 20
+HELD = 1 << 19
 MOST_BITS = 1 << 29
 BLOCK_BITS = 1 << 15
 
@@ -83,6 +84,7 @@ class Summary:
         self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, keys: np.ndarray, counts: np.ndarray, taken: int = 0) -> None:
+        """Take in the counters of another summary, from each of which ``taken`` was taken."""
         self.blocks.append((keys, counts))
         self.held += len(keys)
         self.taken += taken
@@ -308,9 +310,10 @@ def _pass(docs: DataFrame, sizes: tuple[int, ...], n_parts: int, capacity: int,
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, Summary] = {}
         for batch in batches:
-            for part, taken, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                summary = own.setdefault(part, Summary(capacity))
-                summary.add(np.frombuffer(keys, _U), np.frombuffer(counts, np.uint32).astype(np.int64), taken)
+            parts, takens = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, (part, taken) in enumerate(zip(parts, takens)):
+                keys, counts = (np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in ((2, _U), (3, np.uint32)))
+                own.setdefault(part, Summary(capacity)).add(keys, counts.astype(np.int64), taken)
         for part in list(own):
             summary = own.pop(part)
             keys, counts = summary.trim()
