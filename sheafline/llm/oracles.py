@@ -84,4 +84,4 @@ SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
 FROM p LEFT JOIN f ON p.digest = f.digest AND p.n >= 100
 """
 
-ORACLES = {"op6_decontaminate": OP6, "op9_substring": OP9, "op11_collocations": OP11}
+ORACLES = {"op6_decontaminate": OP6, "op9_substring": OP9, "op11_collocations": OP11, "op13_warc": OP13}

@@ -21,6 +21,7 @@ from . import (
     suffix_automaton,
     suffix_tree_lm,
     toxicity_grammar,
+    warc,
     whitening,
 )
 from .oracles import ORACLES  # noqa: F401
@@ -80,6 +81,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.transactions(_table(spark, sf_dir, "pages")).drop("url", "intact")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -95,5 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_rules,
         op11_collocations,
         op12_whitening,
+        op13_warc,
     )
 } | {"pipeline": corpus_pipeline.run}
