@@ -21,7 +21,7 @@ cuts and containment are joins and grouped minima over the phrases that occur of
 Defined results: a null text is empty, a null language is ``und`` (one group with a language of that name); rows that repeat
 count each; a very long text is worked on in bounded stretches that overlap by ``longest - 1`` words (a single word is never cut);
 an empty table gives no rows; other columns are ignored, whatever their names. Two phrases with the same 64-bit hash share a
-counter, so both survive if their sum does; counts are of the texts themselves but for two candidates of one hash in one task.
+counter of a summary, so both survive if their sum does; counts are added by text, but inside one task by hash.
 """
 
 from __future__ import annotations
@@ -175,9 +175,9 @@ class Words:
             out[:n] = before[:n] & self.link[size - 2 : size - 2 + n]
         return out
 
-    def phrase(self, at: int, size: int) -> str:
+    def phrase(self, at: int, size: int) -> bytes:
         spans = zip(self.start[at : at + size].tolist(), self.end[at : at + size].tolist())
-        return b" ".join(self.data[a:b].tobytes() for a, b in spans).decode(errors="replace")
+        return b" ".join([self.data[a:b].tobytes() for a, b in spans])
 
 
 class BitFilter:
@@ -237,19 +237,20 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col("lang"), F.lit("und")).alias("lang"))
 
 
-def survivors(docs: DataFrame, sizes: tuple[int, ...], threshold: int, mass: int, parts_held=None, limit: int = STRETCH_BYTES) -> DataFrame:
-    """``key``: hashes of all phrases of these sizes with ``threshold`` occurrences or more, and of some others.
+def survivors(docs: DataFrame, sizes: tuple[int, ...], threshold: int, mass: int, guess: int, parts_held=None, limit: int = STRETCH_BYTES) -> tuple[DataFrame, int, int]:
+    """(``key``: hashes of all phrases of these sizes with ``threshold`` occurrences or more, and of some others; how many; how often they occur at most).
 
-    ``mass``: a bound on the number of phrases. ``parts_held``: (size, filter) of shorter phrases; only phrases all of whose parts of
-    that size are held are looked at.
+    ``mass`` bounds the number of phrases, ``guess`` is about their number. ``parts_held``: (size, filter) of shorter phrases; only
+    phrases all of whose parts of that size are held are looked at.
     """
-    n_parts = -(-mass // PART_MASS) or 1
+    n_parts = -(-guess // PART_MASS) or 1
     capacity = 2 * -(-mass // (threshold * n_parts)) + 64
     while True:
         merged = stored(_pass(docs, sizes, n_parts, capacity, parts_held, limit), "phrases")
-        taken = merged.agg(F.max("taken")).first()[0]
+        often = F.col("key").isNotNull() & (F.col("n") + F.col("taken") >= threshold)
+        taken, n, most = merged.agg(F.max("taken"), F.count_if(often), F.sum(F.when(often, F.col("n") + F.col("taken")))).first()
         if taken is None or taken < threshold:
-            return merged.filter(F.col("key").isNotNull() & (F.col("n") + F.col("taken") >= threshold)).select("key")
+            return merged.filter(often).select("key"), n, most or 0
         capacity *= 2  # a partition with more than its share of the mass
 
 
@@ -326,48 +327,95 @@ def _pass(docs: DataFrame, sizes: tuple[int, ...], n_parts: int, capacity: int,
     return sent.repartition(n_parts, "part").mapInArrow(merge, "key bigint, n bigint, taken bigint")
 
 
-def exact_counts(docs: DataFrame, filters: dict[int, BitFilter], limit: int = STRETCH_BYTES) -> DataFrame:
-    """(lang, size, phrase, f) of all phrases that the filters (one a size) hold; size 0 with a null phrase counts all words."""
+def exact_counts(docs: DataFrame, filters: dict[int, BitFilter], n_parts: int, limit: int = STRETCH_BYTES) -> DataFrame:
+    """(lang, size, phrase, f) of all phrases that the filters (one a size) hold; size 0 with a null phrase counts all words.
+
+    A task sends blocks of phrases and counts of one language and partition; they are added by text.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
+    kinds = (pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        tallies: dict[tuple[str, int, int], list] = {}
+        tallies: dict[str, tuple[np.ndarray, np.ndarray, list[bytes]]] = {}  # a language's sorted keys, counts, phrases in order of arrival
         totals: dict[str, int] = {}
 
         def out() -> pa.RecordBatch:
-            rows = [(lang, size, phrase, n) for (lang, size, _), (phrase, n) in tallies.items()]
-            rows += [(lang, 0, None, n) for lang, n in totals.items()]
+            rows = []
+            for lang, (keys, counts, phrases) in tallies.items():
+                part = (keys[:, 0] % _U(n_parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                edges = np.searchsorted(part[order], np.arange(n_parts + 1))
+                for p in np.flatnonzero(np.diff(edges)).tolist():
+                    some = order[edges[p] : edges[p + 1]]
+                    rows.append((p, lang, 0, b"\n".join([phrases[i] for i in keys[some, 1].tolist()]), counts[some].tobytes()))
+            rows += [(xxhash.xxh32_intdigest(lang.encode()) % n_parts, lang, n, None, None) for lang, n in totals.items()]
             tallies.clear()
             totals.clear()
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["lang", "size", "phrase", "f"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "lang", "words", "phrases", "counts"])
 
         for batch in batches:
             for words, langs, _ in _worded(batch, max(own) - 1, limit):
-                begins = None
-                for row, n in zip(*np.unique(words.row[words.own], return_counts=True)):
-                    totals[langs[row]] = totals.get(langs[row], 0) + int(n)
+                names = list(dict.fromkeys(langs))
+                code = np.array([names.index(x) for x in langs])[words.row]
+                for c, n in enumerate(np.bincount(code[words.own], minlength=len(names)).tolist()):
+                    totals[names[c]] = totals.get(names[c], 0) + n
+                begins, found = None, []
                 for size in sorted(own):
                     begins = words.begins(size, begins)
                     at = np.flatnonzero(begins & words.own)
                     keys = words.keys(at, size)
                     some = own[size].holds(keys)
                     keys, first, counts = np.unique(keys[some], return_index=True, return_counts=True)
-                    at = at[some][first]
-                    for key, i, n, row in zip(keys.tolist(), at.tolist(), counts.tolist(), words.row[at].tolist()):
-                        known = tallies.get((langs[row], size, key))
-                        if known is None:
-                            tallies[langs[row], size, key] = [words.phrase(i, size), n]
-                        else:
-                            known[1] += n
-                if len(tallies) > HELD // 4:
+                    found.append((keys, at[some][first], counts.astype(np.int64), np.full(len(keys), size)))
+                keys, at, counts, sizes = (np.concatenate(x) for x in zip(*found))
+                for c, lang in enumerate(names):
+                    mine = np.flatnonzero(code[at] == c)
+                    mine = mine[np.argsort(keys[mine], kind="stable")]
+                    tallies[lang] = _added(tallies.get(lang), words, keys[mine], at[mine], counts[mine], sizes[mine])
+                if sum(len(x[0]) for x in tallies.values()) > HELD:
                     yield out()
-        if tallies or totals:
+        if totals:
             yield out()
 
-    rows = _texts(docs).mapInArrow(count, "lang string, size int, phrase string, f bigint")
-    return rows.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, bytes | None], int] = {}
+        for batch in batches:
+            langs, words = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for i, lang in enumerate(langs):
+                phrases = batch.column(3)[i].as_py()
+                if phrases is None:
+                    found[lang, None] = found.get((lang, None), 0) + words[i]
+                    continue
+                for phrase, n in zip(phrases.split(b"\n"), np.frombuffer(batch.column(4)[i].as_py(), np.int64).tolist()):
+                    key = (lang, phrase)
+                    found[key] = found.get(key, 0) + n
+        rows = [(lang, 0 if p is None else p.count(b" ") + 1, None if p is None else p.decode(errors="replace"), n) for (lang, p), n in found.items()]
+        for lo in range(0, len(rows), 10_000):
+            columns = zip(*rows[lo : lo + 10_000])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "size", "phrase", "f"])
+
+    sent = _texts(docs).mapInArrow(count, "part int, lang string, words bigint, phrases binary, counts binary")
+    return sent.repartition(n_parts, "part").mapInArrow(merge, "lang string, size int, phrase string, f bigint")
+
+
+def _added(tally, words: Words, keys: np.ndarray, at: np.ndarray, counts: np.ndarray, sizes: np.ndarray):
+    """A tally (sorted keys with the place of the phrase, counts, phrases) with the counts of one stretch."""
+    if tally is None:
+        tally = (np.zeros((0, 2), _U), np.zeros(0, np.int64), [])
+    known, held, phrases = tally
+    place = np.searchsorted(known[:, 0], keys)
+    old = np.zeros(len(keys), bool)
+    inside = place < len(known)
+    old[inside] = known[place[inside], 0] == keys[inside]
+    held[place[old]] += counts[old]
+    new = np.flatnonzero(~old)
+    if not len(new):
+        return tally
+    first = len(phrases)
+    phrases += [words.phrase(i, size) for i, size in zip(at[new].tolist(), sizes[new].tolist())]
+    fresh = np.stack((keys[new], np.arange(first, len(phrases), dtype=_U)), axis=1)
+    return np.insert(known, place[new], fresh, axis=0), np.insert(held, place[new], counts[new]), phrases
 
 
 def scored(counts: DataFrame, threshold: int) -> DataFrame:
@@ -420,16 +468,17 @@ def collocations(docs: DataFrame, threshold: int = 100, longest: int = 5, first:
     """Each language's ``first`` phrases of 2 to ``longest`` words: lang, rank, phrase, a, l, r, n, score."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     mass = (size + 1) // 2 + 1  # a word has a byte, and a byte stands between two words
-    words = survivors(docs, (1,), threshold, mass, limit=limit)
-    filters = {1: bit_filter(words, words.count())}
+    words, n, often = survivors(docs, (1,), threshold, mass, size // 6, limit=limit)
+    filters, held = {1: bit_filter(words, n)}, n
     if longest > 1:
-        pairs = survivors(docs, (2,), threshold, mass, (1, filters[1]), limit)
-        filters[2] = bit_filter(pairs, pairs.count())
+        pairs, n, often = survivors(docs, (2,), threshold, mass, often, (1, filters[1]), limit)
+        filters[2], held = bit_filter(pairs, n), held + n
     if longest > 2:
-        more = survivors(docs, tuple(range(3, longest + 1)), threshold, (longest - 2) * mass, (2, filters[2]), limit)
-        every = bit_filter(more, more.count())
-        filters |= dict.fromkeys(range(3, longest + 1), every)
-    counts = exact_counts(docs, filters, limit)
+        more = tuple(range(3, longest + 1))
+        longer, n, _ = survivors(docs, more, threshold, len(more) * mass, len(more) * often, (2, filters[2]), limit)
+        every, held = bit_filter(longer, n), held + n
+        filters |= dict.fromkeys(more, every)
+    counts = exact_counts(docs, filters, -(-held // 2000) or 1, limit)
     counts = stored(counts.filter((F.col("size") == 0) | (F.col("f") >= threshold)), "phrase-counts")
     kept = stored(scored(counts, threshold), "scores").join(contained(counts, threshold), ["lang", "phrase"], "left_anti")
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))

@@ -81,7 +81,7 @@ def test_stretches_show_every_phrase_once(limit):
         for size in range(1, 6):
             begins = words.begins(size, begins)
             for i in np.flatnonzero(begins & words.own).tolist():
-                found[words.phrase(i, size)] += 1
+                found[words.phrase(i, size).decode()] += 1
     want = collections.Counter()
     for text in texts:
         for piece in re.split("[.,;:!?\n\x0b\x0c\r]", text):
