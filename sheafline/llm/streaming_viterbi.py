@@ -14,14 +14,17 @@ Defined results: a null text has null ids, an empty one no ids; a text is one st
 stay, but for those named like a result.
 
 Scale: documents are only mapped. No piece goes on from another symbol into a blank (this is checked), so all paths meet in
-front of a blank and the ids before it are final. The stretches between such places are told apart by a 64-bit hash, and the
-distinct ones of a slice of texts (at most ``LONG`` bytes) are searched side by side with numpy; a longer one goes through the streaming search.
+front of a blank and the ids before it are final. The distinct stretches between such places, told apart by a 64-bit hash, are
+streamed side by side with numpy: all lanes move one byte a step, hold a window each and commit where their own paths meet. The last
+few lanes of a block, and those whose paths do not meet in the window, go on one by one from their last commit. Texts come in slices
+of ``SLICE`` bytes; a longer text is cut in front of blanks, so memory is bounded by the slice, the ids of a text and the text itself.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,9 +38,9 @@ MARK = "▁"
 BLANK = 0x20
 UNIT = 1 << 20  # weights are whole numbers of 1 / UNIT: sums are exact, so ties are ties wherever they stand
 BYTE_COST = 12 * UNIT
-LONG = 64
-LANES = 16_384
-SLICE = 4 << 20
+LANES = 8192
+FEW = 24
+SLICE = 1 << 20
 _FLOOR = -(1 << 60)
 
 
@@ -133,17 +136,63 @@ class Pieces:
         return out, counts
 
     def _block(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One block of stretches, longest first."""
-        n, width = len(size), int(size[0]) + 1
-        best = np.full((width, n), _FLOOR, np.int64)
+        """One block of stretches, longest first, streamed side by side."""
+        n, longest, most = len(size), self.longest, int(size[0])
+        window = min(most + 1, 5 * longest) + longest
+        best = np.full((window, n), _FLOOR, np.int64)
         best[0] = 0
-        back = np.zeros((width, n), np.int8)
-        ids = np.zeros((width, n), np.int32)
-        longer = np.searchsorted(-size, -np.arange(width), side="left")  # lanes with a byte at each place
-        for i in range(width - 1):
-            rows = np.arange(int(longer[i]))
-            so_far = best[i, : len(rows)]
-            node = np.zeros(len(rows), np.int64)
+        back = np.zeros((window, n), np.int16)
+        ids = np.zeros((window, n), np.int32)
+        base = np.zeros(n, np.int64)  # ids up to here are committed
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (lanes, their next ids one after another, counts)
+        alone: list[int] = []
+
+        def commit(lanes: np.ndarray, at: np.ndarray) -> None:
+            """Give out the ids of the paths from ``base`` to ``at``."""
+            steps, values = [], []
+            lane, place = np.arange(len(lanes)), at.copy()
+            while len(lane):
+                slot = place[lane] % window
+                steps.append(lane)
+                values.append(ids[slot, lanes[lane]])
+                place[lane] -= back[slot, lanes[lane]]
+                lane = lane[place[lane] > base[lanes[lane]]]
+            if not steps:
+                return
+            counts = np.bincount(np.concatenate(steps), minlength=len(lanes))
+            last = np.cumsum(counts) - 1
+            flat = np.empty(int(counts.sum()), np.int32)
+            for k, (lane, value) in enumerate(zip(steps, values)):
+                flat[last[lane] - k] = value
+            out.append((lanes, flat, counts))
+            base[lanes] = at
+
+        live, i = n, 0
+        while True:
+            still = live
+            while still and size[still - 1] <= i:
+                still -= 1
+            if still < live:
+                done = np.arange(still, live)
+                commit(done[base[done] < size[done]], size[done[base[done] < size[done]]].astype(np.int64))
+                live = still
+            if not live:
+                break
+            if live <= FEW and i >= 2 * longest:
+                alone = list(range(live))
+                break
+            if i >= 2 * longest and i % longest == 0:
+                self._commit_where_paths_meet(back, base, live, i, commit)
+                late = np.flatnonzero(base[:live] < i + 2 * longest - window)
+                if len(late):  # their paths stay apart: all lanes of the block go on alone
+                    alone = list(range(live))
+                    break
+            if i + longest >= window:
+                best[(i + longest) % window, :live] = _FLOOR
+            here = i % window
+            rows = np.arange(live)
+            so_far = best[here, :live]
+            node = np.zeros(live, np.int64)
             j = i
             while len(rows):
                 node = self.moves[(node << 8) + data[start[rows] + j]].astype(np.int64)
@@ -151,75 +200,128 @@ class Pieces:
                 some = np.flatnonzero(node >= 0)
                 rows, so_far, node = rows[some], so_far[some], node[some]
                 score = so_far + self.node_weight[node]
-                better = np.flatnonzero(score > best[j, rows])
+                slot = j % window
+                better = np.flatnonzero(score > best[slot, rows])
                 to = rows[better]
-                best[j, to] = score[better]
-                back[j, to] = j - i
-                ids[j, to] = self.node_id[node[better]]
+                best[slot, to] = score[better]
+                back[slot, to] = j - i
+                ids[slot, to] = self.node_id[node[better]]
                 on = np.flatnonzero((node < self.n_inner) & (size[rows] > j))
                 rows, so_far, node = rows[on], so_far[on], node[on]
-            rows = np.arange(int(longer[i]))
-            score = best[i, rows] - self.byte_cost
-            better = np.flatnonzero(score > best[i + 1, rows])
-            best[i + 1, better] = score[better]
-            back[i + 1, better] = 1
-            ids[i + 1, better] = self.bytes_at + data[start[better] + i].astype(np.int32)
-        lane, at = np.arange(n), size.astype(np.int64)
-        lanes, values = [], []
-        while len(lane):
-            lanes.append(lane)
-            values.append(ids[at, lane])
-            at = at - back[at, lane]
-            on = np.flatnonzero(at > 0)
-            lane, at = lane[on], at[on]
-        counts = np.bincount(np.concatenate(lanes), minlength=n)
-        out = np.empty(int(counts.sum()), np.int32)
-        last = np.cumsum(counts) - 1
-        for k, (lane, value) in enumerate(zip(lanes, values)):
-            out[last[lane] - k] = value
-        return out, counts
-
-    def encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts, counts a text, the streams' bytes, their lengths); an empty text has no ids."""
-        raw, offsets = tb.raw_bytes(texts)
-        some = np.diff(offsets) > 0
-        lengths = np.diff(offsets) + some
-        data = np.full(int(lengths.sum()), BLANK, np.uint8)
-        row = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        data[np.arange(len(raw)) + np.cumsum(some)[row]] = raw
+            score = best[here, :live] - self.byte_cost
+            slot = (i + 1) % window
+            better = np.flatnonzero(score > best[slot, :live])
+            best[slot, better] = score[better]
+            back[slot, better] = 1
+            ids[slot, better] = self.bytes_at + data[start[better] + i].astype(np.int32)
+            i += 1
+        for lane in alone:
+            lo = int(start[lane] + base[lane])
+            own = np.fromiter(self.search(data[lo : int(start[lane] + size[lane])].tobytes()), np.int32)
+            out.append((np.array([lane]), own, np.array([len(own)])))
+        total = np.zeros(n, np.int64)
+        for lanes, _, counts in out:
+            total[lanes] += counts
+        place = np.cumsum(total) - total
+        flat = np.empty(int(total.sum()), np.int32)
+        for lanes, values, counts in out:
+            flat[np.repeat(place[lanes] - (np.cumsum(counts) - counts), counts) + np.arange(len(values))] = values
+            place[lanes] += counts
+        return flat, total
+
+    def _commit_where_paths_meet(self, back: np.ndarray, base: np.ndarray, live: int, at: int, commit) -> None:
+        """Pieces still to come begin at one of the last places: walk their paths back until one place is left."""
+        window, longest = len(back), self.longest
+        lanes = np.arange(live)
+        marks = np.zeros((window + longest, live), bool)  # by the distance from ``at``
+        marks[:longest] = np.arange(longest)[:, None] <= at - base[:live]
+        left = marks[:longest].sum(axis=0)
+        for away in range(window):
+            some = lanes[marks[away] & (left > 1)]
+            if not len(some):
+                if (left <= 1).all():
+                    break
+                continue
+            marks[away, some] = False
+            to = away + back[(at - away) % window, some]
+            left[some] -= marks[to, some]
+            marks[to, some] = True
+        meet = at - marks.argmax(axis=0)
+        some = lanes[(left == 1) & (meet > base[:live])]
+        if len(some):
+            commit(some, meet[some].astype(np.int64))
+
+    def encode_data(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all streams, counts a stream) of streams that stand one after another in ``data``."""
+        some = lengths > 0
         first = np.zeros(len(data), bool)
         begins = (np.cumsum(lengths) - lengths)[some]
-        first[begins] = True
         blank = data == BLANK
-        first[1:] |= blank[1:] & ~blank[:-1]
+        first[1:] = blank[1:] & ~blank[:-1]
+        first[begins] = True
         start = np.flatnonzero(first)
         size = np.diff(np.append(start, len(data)))
         hashes = tb.word_hashes(data, start, start + size)
         _, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        short = size[at] <= LONG
-        values, counts = self.search_all(data, start[at[short]], size[at[short]])
-        all_counts = np.zeros(len(at), np.int64)
-        all_counts[short] = counts
-        places = np.zeros(len(at), np.int64)
-        places[short] = np.cumsum(counts) - counts
-        more = [values]
-        held = len(values)
-        for k in np.flatnonzero(~short).tolist():
-            own = np.fromiter(self.search(data[start[at[k]] : start[at[k]] + size[at[k]]].tobytes()), np.int32)
-            places[k], all_counts[k] = held, len(own)
-            held += len(own)
-            more.append(own)
-        values = np.concatenate(more)
-        per = all_counts[back]
+        values, counts = self.search_all(data, start[at], size[at])
+        places = np.cumsum(counts) - counts
+        per = counts[back]
         ids = values[np.repeat(places[back] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))]
-        of_row = np.repeat(np.arange(len(texts))[some], np.diff(np.append(np.searchsorted(start, begins), len(start))))
-        return ids, np.bincount(of_row, per, len(texts)).astype(np.int64), data, lengths
+        of_stream = np.repeat(np.flatnonzero(some), np.diff(np.append(np.searchsorted(start, begins), len(start))))
+        return ids, np.bincount(of_stream, per, len(lengths)).astype(np.int64)
+
+    def encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, counts a text, the streams' bytes, their lengths); an empty text has no ids."""
+        raw, offsets = tb.raw_bytes(texts)
+        some = np.diff(offsets) > 0
+        data = np.insert(raw, offsets[:-1][some], BLANK)
+        lengths = np.diff(offsets) + some
+        return *self.encode_data(data, lengths), data, lengths
+
+    def encode_long(self, raw: np.ndarray, limit: int = SLICE) -> tuple[np.ndarray, bool]:
+        """(ids, whether they spell the text) of one text, cut in front of blanks into parts of about ``limit`` bytes."""
+        found, same, at, n = [], True, 0, len(raw)
+        while at < n:
+            end = min(at + limit, n)
+            if end < n:
+                blank = raw[at : end + 1] == BLANK
+                runs = np.flatnonzero(blank[1:] & ~blank[:-1])
+                end = at + 1 + int(runs[-1]) if len(runs) else end
+                while not len(runs) and end < n:
+                    blank = raw[end - 1 : end + limit] == BLANK
+                    runs = np.flatnonzero(blank[1:] & ~blank[:-1])
+                    end = end + int(runs[0]) if len(runs) else min(end + limit, n)
+            part = raw[at:end]
+            if end - at > limit + 1:  # one stretch: nothing is gained from its neighbours
+                ids = np.fromiter(self.search(chain([BLANK] * (at == 0), part.tobytes())), np.int32)
+            else:
+                part = np.insert(part, [0] * (at == 0), BLANK)
+                ids = self.encode_data(part, np.array([len(part)]))[0]
+            spelled = self.spell(ids)[0]
+            lead = len(spelled) - (end - at)
+            same &= lead == (at == 0) and bool(np.array_equal(spelled[lead:], raw[at:end])) and bool((spelled[:lead] == BLANK).all())
+            found.append(ids)
+            at = end
+        return np.concatenate(found), same
 
     def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, bytes of each id)."""
         n = self.sizes[ids]
         return self.letters[np.repeat(self.places[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
+    def spelled_right(self, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """For each stream of ``data``, whether its ids spell it."""
+        spelled, n = self.spell(ids)
+        per = np.concatenate(([0], np.cumsum(n)))
+        ends = np.cumsum(counts)
+        sizes = per[ends] - per[ends - counts]
+        if np.array_equal(sizes, lengths):
+            wrong = np.concatenate(([0], np.cumsum(spelled != data)))
+            stops = np.cumsum(lengths)
+            return wrong[stops] == wrong[stops - lengths]
+        at, to = per[ends - counts], np.cumsum(lengths) - lengths
+        return np.array([a == b and np.array_equal(spelled[i : i + a], data[j : j + a]) for a, b, i, j in zip(sizes, lengths, at, to)], bool)
+
     def decode(self, ids) -> str:
         return self.spell(np.asarray(ids, np.int64))[0].tobytes()[1:].decode(errors="replace")
 
@@ -264,17 +366,16 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFram
             texts = tb.text_column(batch, text_col)
             missing = np.asarray(batch.column(len(rest)).is_null())
             for lo, hi in tb.row_slices(texts, SLICE):
-                ids, counts, data, lengths = pieces.encode_slice(texts.slice(lo, hi - lo))
-                spelled, n = pieces.spell(ids)
-                per = np.concatenate(([0], np.cumsum(n)))
-                ends = np.cumsum(counts)
-                spelled_sizes = per[ends] - per[ends - counts]
-                same = spelled_sizes == lengths
-                if same.all():
-                    wrong = np.concatenate(([0], np.cumsum(spelled != data)))
-                    stops = np.cumsum(lengths)
-                    same = wrong[stops] == wrong[stops - lengths]
+                slice_ = texts.slice(lo, hi - lo)
+                raw = tb.raw_bytes(slice_)[0]
+                if hi - lo == 1 and len(raw) > SLICE:
+                    ids, right = pieces.encode_long(raw)
+                    counts, same = np.array([len(ids)]), np.array([right])
+                else:
+                    ids, counts, data, lengths = pieces.encode_slice(slice_)
+                    same = pieces.spelled_right(ids, counts, data, lengths)
                 none = missing[lo:hi]
+                ends = np.cumsum(counts)
                 marks = pa.array(np.append(ends - counts, len(ids)).astype(np.int32), mask=np.append(none, False))
                 own = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
