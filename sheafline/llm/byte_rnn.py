@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .frames import crc_fold
+from .frames import bounded_draw, crc_fold
 
 UNITS = 8
 SPAN = 128
@@ -225,7 +225,8 @@ def fit(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, window
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, int(2**31 * min(1.0, per_language / n))).otherwise(share)
-    picked = known.filter(draw < share).select(F.lower("text").alias("text"), "lang", "doc_id").collect()
+    drawn = known.filter(draw < share).select(F.lower("text").alias("text"), "lang", "doc_id")
+    picked = bounded_draw(drawn, "lang", dict.fromkeys(counts, per_language), "doc_id", "text").collect()
     picked.sort(key=lambda r: (str(r["doc_id"]), r["text"]))
     parts = _training_windows([(r["text"], r["lang"]) for r in picked], labels, windows, seed)
     if not len(parts[0]):

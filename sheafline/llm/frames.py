@@ -24,18 +24,25 @@ def crc_fold(modulus: int, key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % modulus, F.lit(0))
 
 
-def collect_rows(df: DataFrame) -> list:
-    """Rows of a result whose size the caller has bounded."""
-    return df.collect()
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
-def sample_rows(df: DataFrame, target: int, seed: int, *keys: str) -> DataFrame:
-    """About ``target`` rows, chosen by a hash of ``keys``: the same rows however the input is partitioned.
+def bounded_draw(rows: DataFrame, by: str, most: dict, *keys: str, seed: int = 11) -> DataFrame:
+    """Distinct ``rows``, thinned by a hash of ``keys`` where a value of ``by`` has over twice its ``most``.
 
-    The bound is for rows that a model is fitted on; it must not be used for anything else.
+    For rows that a model is fitted on, after a draw by id: an id that very many rows repeat is bounded too.
     """
-    total = df.count()
-    if total <= target:
-        return df
-    share = int(2**31 * target / total)
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(2**31)) < share)
+    rows = rows.distinct()
+    held = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}  # as many rows as values of ``most``
+    share = F.lit(2**31)
+    for value, n in held.items():
+        if n > 2 * most.get(value, n):
+            share = F.when(F.col(by) == value, 2**31 * most[value] // n).otherwise(share)
+    if not any(n > 2 * most.get(value, n) for value, n in held.items()):
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(2**31)) < share)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import textblocks as tb
-from .frames import crc_fold
+from .frames import bounded_draw, crc_fold, fresh
 
 PER_LABEL = 4000
 PAIRS = 40_000
@@ -146,14 +146,15 @@ def _feature_rows(docs: DataFrame, extra: list[str]) -> DataFrame:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, kind: str, learn_from: Column, per_label: int, seed: int = 7) -> DataFrame:
     """(doc_id, text, label) of at most about ``per_label`` rows of each label 0 and 1, drawn by a hash of the id."""
-    rows = labels.filter(learn_from & F.col(kind).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(kind).alias("label"))
+    rows = labels.filter(learn_from & F.col(kind).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(kind).alias("label")).distinct()
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2**31))
     share = F.lit(0)
     for label, n in counts.items():
         share = F.when(F.col("label") == label, int(2**31 * min(1.0, per_label / n))).otherwise(share)
-    picked = rows.filter(draw < share).distinct()
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded by per_label
+    picked = rows.filter(draw < share)
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded by per_label
+    return bounded_draw(found, "label", dict.fromkeys(counts, per_label), "doc_id", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, per_label: int = PER_LABEL) -> Ranking | None:
@@ -164,10 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, per_label: int =
     return learn(np.array([r["features"] for r in rows]), np.array([r["label"] for r in rows]))
 
 
-def score(docs: DataFrame, ranking: Ranking | None) -> DataFrame:
-    """``docs`` with ``_score``."""
+def score(docs: DataFrame, ranking: Ranking | None, name: str = "_score") -> DataFrame:
+    """``docs`` with the score as the column ``name``, which they must not have."""
     if ranking is None:
-        return docs.withColumn("_score", F.lit(0.5))
+        return docs.withColumn(name, F.lit(0.5))
     plain = docs.sparkSession.sparkContext.broadcast(vars(ranking))
     text_at = docs.columns.index("text")
 
@@ -178,9 +179,9 @@ def score(docs: DataFrame, ranking: Ranking | None) -> DataFrame:
             for lo, hi in tb.row_slices(texts):
                 found = own.scores(features(texts.slice(lo, hi - lo)))
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names=[*batch.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def scored_documents(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataFrame:
@@ -195,4 +196,5 @@ def scored_documents(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataF
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` whose score reaches the threshold; learns from all labels outside fold 0."""
     ranking = fit(docs, labels, crc_fold(5) != 0)
-    return score(docs, ranking).filter(F.col("_score") >= CUT).drop("_score")
+    name = fresh(docs, "_score")
+    return score(docs, ranking, name).filter(F.col(name) >= CUT).drop(name)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .fm_index import FMIndex, repeated_cover
-from .frames import stored
+from .frames import fresh, stored
 
 WINDOW = 35
 GRAM = 8
@@ -214,11 +214,6 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     return at.select("id", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
 
 
-def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
-    """``_key`` names a row by its id and its text, so that null and repeated ids are told apart by their texts."""
-    return docs.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.xxhash64("text").alias("of")))
-
-
 def _covered(parts, n: int) -> np.ndarray:
     step = np.zeros(n + 1, np.int64)
     for part in parts or ():
@@ -227,17 +222,21 @@ def _covered(parts, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _with_intervals(docs: DataFrame, id_col: str, **options) -> DataFrame:
-    """Every row of ``docs`` with ``_parts``: the array of its intervals, or null."""
-    keyed = _keyed(docs, id_col)
-    found = repeated_intervals(keyed.select(F.col("_key").alias("id"), "text"), **options)
-    merged = found.distinct().groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("_parts"))
-    return keyed.join(merged.withColumnRenamed("id", "_key"), "_key", "left").drop("_key")
+def _with_intervals(docs: DataFrame, id_col: str, **options) -> tuple[DataFrame, str]:
+    """Every row of ``docs`` with one more column, the array of its intervals or null, and that column's name.
+
+    A row is named by its id and its text, so that null and repeated ids are told apart by their texts.
+    """
+    key, parts = fresh(docs, "_key"), fresh(docs, "_parts")
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).alias("id"), F.xxhash64("text").alias("of")))
+    found = repeated_intervals(keyed.select(F.col(key).alias("id"), "text"), **options)
+    merged = found.distinct().groupBy(F.col("id").alias(key)).agg(F.collect_list(F.struct("lo", "hi")).alias(parts))
+    return keyed.join(merged, key, "left").drop(key), parts
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) of every document."""
-    rows = _with_intervals(docs.select(id_col, "text"), id_col, **options)
+    rows, parts_col = _with_intervals(docs.select(id_col, "text"), id_col, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +256,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, n_words bigint, n_removed bigint, kept_sha256 string"
-    return rows.select(id_col, "text", "_parts").mapInArrow(run, schema)
+    return rows.select(id_col, "text", parts_col).mapInArrow(run, schema)
 
 
 def _cut(text: str, parts) -> str:
@@ -276,7 +275,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFr
     Every place of a repeated passage goes, the first one too; a document that is all repeats stays with an empty text.
     ``n_chars``, if there is one, follows the new text. Texts without repeats stay as they are.
     """
-    rows = _with_intervals(docs, id_col, **options).select(*docs.columns, "_parts")
+    rows, parts_col = _with_intervals(docs, id_col, **options)
+    rows = rows.select(*docs.columns, parts_col)
     text_at = docs.columns.index("text")
     chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 

@@ -9,10 +9,12 @@ Scale: equal fingerprints are one row before anything is compared. A tile has at
 (popular bit counts are cut into several tiles by a hash), a task compares one pair of tiles, and what leaves it is a
 spanning forest of the links it found, so a group of k near copies gives at most k - 1 links a tile pair.
 
-``keep_first`` takes fingerprints of 256 bits for candidates only. Shingle sets with a Jaccard index of 0.8 differ in 39
-bits on average with a standard deviation of 5.7, the smallest ones (4 of 5) in 48 with one of 6.2, unrelated ones in 128
-with one of 8; candidates are within 80 bits, and within 48 in the first 128. Tiles are bands of set sizes there, and a
-pair is a link if the sets themselves have the index.
+``keep_first`` works on sets of distinct shingles and takes fingerprints of 256 bits for candidates only. Its tiles hold the sets
+with one of ``KEYS`` smallest hashes in common, so that work follows what texts share: two sets with a Jaccard index of 0.8 have no
+tile in common with a chance of 0.2 ** 12. Inside a tile the comparison is exact: such sets differ in 39 bits on average with a
+standard deviation of 5.7, the smallest ones (4 of 5) in 48 with one of 6.2, unrelated ones in 128 with one of 8; candidates are
+within 80 bits. A pair is a link if the sets themselves have the index: inside a group of candidates, common shingles of one set
+with all others that are not joined yet are counted at once.
 
 Defined results: a null or empty text has no words and the fingerprint zero, linked like any other; a text of fewer
 words than a shingle is one shingle; repeated shingles count each time; a null id is grouped like any id
@@ -21,7 +23,6 @@ words than a shingle is one shingle; repeated shingles count each time; a null i
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
+from .collocations import bit_filter
 from .components import components
-from .frames import stored
+from .frames import fresh, stored
 
 SEED = 42
 TILE_ROWS = 32_768
 BLOCK = (16, 8192)
-#: Of ``keep_first``: words of fingerprint, and the most bits that candidates differ in, of all words and of the first two.
-SET_WORDS, SET_RADIUS, HALF_RADIUS = 4, 80, 48
+#: Of ``keep_first``: words of fingerprint, the most bits that candidates differ in, and smallest hashes a set.
+SET_WORDS, SET_RADIUS, KEYS = 4, 80, 12
 TILE_SHINGLES = 1 << 20
 
 
@@ -245,92 +247,246 @@ def near_duplicates(
     return marked.join(classes, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
-def shingle_sets(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, node, size, shingles): the distinct shingle hashes of each text, sorted.
+def _bit_majorities(hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each run of hashes: the 64 bits that are set in over half of them."""
+    # Eight counters a word at a time, one a byte; a byte holds 255.
+    extra = (sizes - 1) // 255
+    at = np.repeat(first, extra + 1) + 255 * (np.arange(int((extra + 1).sum())) - np.repeat(np.cumsum(extra + 1) - extra - 1, extra + 1))
+    runs = np.cumsum(extra + 1) - extra - 1
+    lanes = np.uint64(0x0101010101010101)
+    out = np.zeros(len(first), np.uint64)
+    for k in range(8):
+        counts = np.add.reduceat((hashes >> np.uint64(k)) & lanes, at).view(np.uint8).reshape(-1, 8)
+        most = 2 * np.add.reduceat(counts, runs, axis=0, dtype=np.int64) > sizes[:, None]
+        out |= (most.astype(np.uint64) << (8 * np.arange(8, dtype=np.uint64) + np.uint64(k))).sum(axis=1, dtype=np.uint64)
+    return out
+
+
+def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingle hashes of all texts, sorted in each, sizes): 64-bit hashes of ``width`` words, A-Z lower-cased.
 
-    A node is ``SET_WORDS`` words of fingerprint of the distinct hashes, 128 bits of a hash of the set and the set's size:
-    texts of one set have one node.
+    A text of fewer words is one shingle, one of none has an empty set.
     """
+    data, offsets = tb.raw_bytes(texts)
+    data = np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data)
+    starts, ends, firsts = tb.word_spans(data, offsets)
+    total = tb.running_hash(tb.word_hashes(data, starts, ends))
+    n = np.diff(firsts)
+    count = np.where(n > 0, np.maximum(n - width + 1, 1), 0)
+    row = np.repeat(np.arange(len(n)), count)
+    at = firsts[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    hashes = tb.span_hash(total, at, np.minimum(at + width, firsts[1:][row]))
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    return hashes[fresh], np.bincount(row[fresh], minlength=len(n))
+
+
+def _set_names(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """128 bits of a hash of each set: texts of one set have one name."""
+    ends = np.cumsum(sizes)
+    return [xxhash.xxh3_128_digest(hashes[a:b].tobytes(), SEED) for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+
+
+def set_prints(docs: DataFrame, width: int) -> DataFrame:
+    """Rows (id, one, two, text) -> (id, one, two, node, print, size, least): a set's name, fingerprint, size and smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = tb.text_column(batch)
             for lo, hi in tb.row_slices(column):
-                sets = [np.unique(shingle_hashes(t.as_py().encode(), width)) for t in column.slice(lo, hi - lo)]
-                nodes = [
-                    b"".join(w.to_bytes(8, "big") for w in fingerprint(v, SET_WORDS))
-                    + xxhash.xxh3_128_digest(v.tobytes(), SEED)
-                    + len(v).to_bytes(8, "big")
-                    for v in sets
-                ]
-                sizes = np.array([len(v) for v in sets], np.int64)
-                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-                values = pa.array(np.concatenate(sets).view(np.int64))
+                hashes, sizes = shingle_sets(column.slice(lo, hi - lo), width)
+                some = np.flatnonzero(sizes)
+                first = (np.cumsum(sizes) - sizes)[some]
+                prints = np.zeros((hi - lo, SET_WORDS), np.uint64)
+                least = np.zeros((len(some), KEYS), np.uint64)
+                if len(some):
+                    for k in range(SET_WORDS):
+                        prints[some, k] = _bit_majorities(tb.mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)), first, sizes[some])
+                    for k in range(KEYS):
+                        least[:, k] = np.minimum.reduceat(tb.mix(hashes ^ np.uint64((k + 1) * 0xD6E8FEB86659FD93 % 2**64)), first)
+                marks = np.concatenate(([0], np.cumsum(np.where(sizes > 0, KEYS, 0)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(nodes, pa.binary()), pa.array(sizes), pa.ListArray.from_arrays(offsets, values)],
-                    names=["id", "node", "size", "shingles"],
-                )
+                    [
+                        *(batch.column(c).slice(lo, hi - lo) for c in range(3)),
+                        pa.array(_set_names(hashes, sizes), pa.binary()),
+                        pa.array([p.tobytes() for p in prints], pa.binary()),
+                        pa.array(sizes.astype(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(marks), pa.array(least.reshape(-1).view(np.int64))),
+                    ],
+                    names=["id", "one", "two", "node", "print", "size", "least"],
+                )
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, node binary, size bigint, shingles array<bigint>")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {kind}, one bigint, two bigint, node binary, print binary, size bigint, least array<bigint>")
 
 
-def set_pairs(similarity: float):
-    """Pairs of nodes that may reach ``similarity``."""
+def _chosen_sets(docs: DataFrame, groups: DataFrame, n: int, width: int) -> DataFrame:
+    """(node, size, shingles) of the sets in ``groups`` (n rows), each once; others hardly leave the task that reads them."""
+    keys = groups.select(F.xxhash64("node").alias("key"))
+    held = docs.sparkSession.sparkContext.broadcast(bit_filter(keys, n))  # at most 64 MB
 
-    def pairs(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        size = SET_WORDS + 2
-        lo_order, ro_order = np.argsort(left[:, size], kind="stable"), np.argsort(right[:, size], kind="stable")
-        left, right = left[lo_order], right[ro_order]
-        ls, rs = left[:, size].astype(float), right[:, size].astype(float)
-        rows, cols = BLOCK
-        for a in range(0, len(left), rows):
-            x = left[a : a + rows]
-            # The smaller set holds at least the share ``similarity`` of the larger one; a hash below the limit is no loss.
-            lo = np.searchsorted(rs, similarity * ls[a] - 0.5)
-            hi = np.searchsorted(rs, ls[min(a + rows, len(ls)) - 1] / similarity + 0.5)
-            for b in range(int(lo), int(hi), cols):
-                y = right[b : min(b + cols, int(hi))]
-                away = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
-                away += np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
-                i, j = np.nonzero(away <= HALF_RADIUS)
-                whole = np.bitwise_count(x[i, :SET_WORDS] ^ y[j, :SET_WORDS]).sum(axis=1, dtype=np.int64)
-                near = whole <= SET_RADIUS
-                if near.any():
-                    yield lo_order[a + i[near]], ro_order[b + j[near]]
-
-    return pairs
-
-
-def set_components(docs: DataFrame, marked: DataFrame, width: int, similarity: float, tile_rows: int, tile_shingles: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = tb.text_column(batch)
+            for lo, hi in tb.row_slices(column):
+                hashes, sizes = shingle_sets(column.slice(lo, hi - lo), width)
+                nodes = _set_names(hashes, sizes)
+                keys = np.array([xxhash.xxh64_intdigest(x, SEED) for x in nodes], np.uint64)
+                some = held.value.holds(keys)
+                names = [x for x, kept in zip(nodes, some.tolist()) if kept]
+                values = hashes[np.repeat(some, sizes)]
+                ends = pa.array(np.concatenate(([0], np.cumsum(sizes[some]))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.binary()), pa.array(sizes[some].astype(np.int64)), pa.ListArray.from_arrays(ends, pa.array(values.view(np.int64)))],
+                    names=["node", "size", "shingles"],
+                )
+
+    found = docs.select("text").mapInArrow(run, "node binary, size bigint, shingles array<bigint>")
+    return found.groupBy("node").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"))
+
+
+def _merge(labels: np.ndarray, i: int, others: np.ndarray) -> Iterator[int]:
+    """Join the nodes ``others`` to the component of ``i``; gives those that were in another one."""
+    for j in others.tolist():
+        if labels[j] != labels[i]:
+            labels[labels == labels[j]] = labels[i]
+            yield j
+
+
+def _close_in_tiles(key: np.ndarray, prints: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float):
+    """Spanning forest (i, j) of the candidates, left rows against right rows of the same key; rows come sorted by key."""
+    labels = np.arange(len(key))
+    edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+    small = np.diff(edges)
+    kept: list[tuple[int, int]] = []
+
+    def close(i, j) -> np.ndarray:
+        fits = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 0.5
+        away = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=-1, dtype=np.int64)
+        return fits & (away <= SET_RADIUS) & ((left[i] & right[j]) | (left[j] & right[i]))
+
+    # Tiles of few rows: all at once, by the distance of two rows in a tile.
+    most = 32
+    inside = np.repeat((small <= most) & (small > 1), small)
+    till = np.repeat(edges[1:], small)
+    for step in range(1, most):
+        i = np.flatnonzero(inside & (np.arange(len(key)) + step < till))
+        if not len(i):
+            break
+        near = i[close(i, i + step)]
+        for a in near[labels[near] != labels[near + step]].tolist():
+            kept += [(a, j) for j in _merge(labels, a, np.array([a + step]))]
+    for t in np.flatnonzero(small > most).tolist():
+        rows = np.arange(edges[t], edges[t + 1])
+        for a in rows[left[rows]].tolist():
+            others = rows[(labels[rows] != labels[a]) & right[rows]]
+            kept += [(a, j) for j in _merge(labels, a, others[close(a, others)])]
+    return kept
+
+
+def candidates(nodes: DataFrame, similarity: float, tile_rows: int) -> DataFrame:
+    """(node, print, size, least) -> (a, b): spanning forests, a tile, of the sets that may reach ``similarity``."""
+    spark = nodes.sparkSession
+    # A set of s hashes has at most the index s / (s + 1) with another one.
+    rows = nodes.filter(F.col("size") / (F.col("size") + 1) >= similarity).select("node", "print", "size", F.explode("least").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = stored(shared.withColumn("cuts", F.ceil(F.col("n") / tile_rows).cast("int")), "tiles")
+    total = shared.agg(F.coalesce(F.sum(F.when(F.col("cuts") == 1, F.col("n"))), F.lit(0))).first()[0]
+    packs = int(total // tile_rows) + 1
+    own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
+    sides = (
+        rows.join(shared, "key")
+        .withColumn("own", own)
+        .withColumn("there", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        .select(
+            "key",
+            "node",
+            "print",
+            "size",
+            # Small tiles share a task; a hot one is cut, and each pair of its parts is a task.
+            F.when(F.col("cuts") > 1, F.struct("key", F.least("own", "there").alias("one"), F.greatest("own", "there").alias("other")))
+            .otherwise(F.struct(F.pmod("key", F.lit(packs)).alias("key"), F.lit(-1).alias("one"), F.lit(-1).alias("other")))
+            .alias("tile"),
+            (F.col("own") <= F.col("there")).alias("left"),
+            (F.col("own") >= F.col("there")).alias("right"),
+        )
+    )
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("key", kind="stable")
+        nodes = group["node"].to_numpy()
+        kept = _close_in_tiles(
+            group["key"].to_numpy(), _matrix(group["print"].tolist()), group["size"].to_numpy(float), group["left"].to_numpy(bool), group["right"].to_numpy(bool), similarity
+        )
+        return pd.DataFrame({"a": [nodes[i] for i, _ in kept], "b": [nodes[j] for _, j in kept]})
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), packs)
+    return sides.repartition(parts, "tile").groupBy("tile").applyInPandas(compare, "a binary, b binary").distinct()
+
+
+def _linked_sets(group: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
+    """Spanning forest (i, j) of the pairs that reach ``similarity``, left rows against right rows of the same component."""
+    shingles = group["shingles"].to_numpy()
+    sizes = np.fromiter(map(len, shingles), np.int64, len(shingles))
+    ends = np.cumsum(sizes)
+    ids = np.unique(np.concatenate(shingles), return_inverse=True)[1] if sizes.sum() else np.zeros(0, np.int64)
+    flag = np.zeros(len(ids), bool)
+    prints = _matrix(group["print"].tolist())
+    left, right = group["left"].to_numpy(bool), group["right"].to_numpy(bool)
+    labels = np.arange(len(sizes))
+    kept: list[tuple[int, int]] = []
+    component = pd.factorize(group["component"])[0]
+    order = np.argsort(component, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(component[order])) + 1):
+        for i in rows[left[rows]].tolist():
+            others = rows[(labels[rows] != labels[i]) & right[rows]]
+            fits = np.minimum(sizes[others], sizes[i]) >= similarity * np.maximum(sizes[others], sizes[i]) - 0.5
+            others = others[fits]
+            others = others[np.bitwise_count(prints[others] ^ prints[i]).sum(axis=1, dtype=np.int64) <= SET_RADIUS]
+            own = ids[ends[i] - sizes[i] : ends[i]]
+            flag[own] = True
+            step = max(1, (1 << 20) // max(1, int(sizes[i])))
+            for lo in range(0, len(others), step):
+                some = others[lo : lo + step]
+                some = some[labels[some] != labels[i]]
+                if not len(some):
+                    continue
+                n = sizes[some]
+                begin = np.cumsum(n) - n
+                places = np.repeat(ends[some] - n - begin, n) + np.arange(int(n.sum()))
+                both = np.add.reduceat(flag[ids[places]], begin, dtype=np.int64)
+                kept += [(i, j) for j in _merge(labels, i, some[both >= similarity * (sizes[i] + n - both)])]
+            flag[own] = False
+    return kept
+
+
+def set_components(docs: DataFrame, nodes: DataFrame, width: int, similarity: float, tile_rows: int, tile_shingles: int) -> DataFrame:
     """Stored nodes of ``docs`` -> (node, component) of the sets that a chain of pairs with ``similarity`` or more joins.
 
     Tiles of all nodes give groups of candidates. Inside a group all candidates are checked on their sets, but for those
     that checked links join already. Small groups share a task; one of over ``tile_shingles`` is cut into tiles again.
     """
-    # A set of s hashes has at most the index s / (s + 1) with another one.
-    sets = marked.filter(F.col("size") / (F.col("size") + 1) >= similarity)
-    # A hair more than the ratio, so that rounding never puts two sizes of that ratio two bands apart.
-    band = F.floor(F.log("size") / (-1.0001 * math.log(similarity))).cast("int").alias("bits")
-    tiled = stored(sets.select(F.col("node").alias("fingerprint"), band).distinct(), "tiles")
-    pairs = set_pairs(similarity)
-    groups = stored(components(tile_links(tiled, 1, pairs, tile_rows)), "groups")
-    held = shingle_sets(docs, width).select("node", "size", "shingles").join(groups, "node")
-    held = stored(held.groupBy("node").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles")), "sets")
-
-    sizes = held.select("node", "size").join(groups, "node").groupBy("component").agg(F.sum("size").alias("held"))
+    groups = stored(components(candidates(nodes, similarity, tile_rows)), "groups")
+    n = groups.count()
+    held = _chosen_sets(docs, groups, n, width).join(groups, "node").join(nodes.select("node", "print"), "node")
+    held = stored(held, "sets")
+    sizes = held.groupBy("component").agg(F.sum("size").alias("held"))
     cuts = F.ceil(F.col("held") / tile_shingles)
     sizes = stored(sizes.withColumn("cuts", cuts.cast("int")), "cuts")
     small = sizes.filter("cuts = 1").agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
     own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
-    tile = (
-        groups.join(sizes, "component")
+    sides = (
+        held.join(sizes, "component")
         .withColumn("own", own)
         .withColumn("there", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
         .withColumn("shared", F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("component"), F.lit(small // tile_shingles + 1))))
         .select(
             "node",
+            "print",
+            "component",
+            "shingles",
             F.struct(
                 F.when(F.col("cuts") > 1, F.col("component")).alias("group"),
                 "shared",
@@ -338,44 +494,52 @@ def set_components(docs: DataFrame, marked: DataFrame, width: int, similarity: f
                 F.greatest("own", "there").alias("other"),
             ).alias("pair"),
             (F.col("own") <= F.col("there")).alias("left"),
-            (F.col("own") == F.col("there")).alias("itself"),
+            (F.col("own") >= F.col("there")).alias("right"),
         )
     )
 
     def check(group: pd.DataFrame) -> pd.DataFrame:
         nodes = group["node"].to_numpy()
-        shingles = group["shingles"].to_numpy()
-        if group["itself"].iloc[0]:
-            a = b = np.arange(len(nodes))
-        else:
-            is_left = group["left"].to_numpy(bool)
-            a, b = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": []})
-
-        def holds(i: int, j: int) -> bool:
-            both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
-            return both >= similarity * (len(shingles[i]) + len(shingles[j]) - both)
-
-        values = _matrix(nodes.tolist())
-        kept = _forest(len(nodes), ((a[i], b[j]) for i, j in pairs(values[a], values[b])), holds)
+        kept = _linked_sets(group, similarity)
         return pd.DataFrame({"a": [nodes[i] for i, _ in kept], "b": [nodes[j] for _, j in kept]})
 
-    sides = held.select("node", "shingles").join(tile, "node")
     return components(sides.groupBy("pair").applyInPandas(check, "a binary, b binary"))
 
 
-def keep_first(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile_rows: int = TILE_ROWS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """``docs`` without the near copies: of each group the row with the smallest ``doc_id`` stays.
+def keep_first(
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, tile_rows: int = TILE_ROWS, tile_shingles: int = TILE_SHINGLES, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` without the near copies: of each group the row with the smallest id stays.
 
     Near copies have distinct five-word shingles with a Jaccard index of ``similarity`` or more, counted on the sets
-    themselves; groups are chains of them. Rows that repeat one id count as copies of one document, and one of them stays;
-    rows with a null id all stay.
+    themselves; groups are chains of them. A row is told by its id and text, so rows that repeat an id with other texts are
+    documents of their own (of near ones with one id, one stays: the same whenever it is computed again); of rows with equal id and
+    text one stays. A null id counts as larger than any. Null and empty texts have an empty set and are copies of each other.
     """
-    marked = stored(shingle_sets(docs, width).select("id", "node", "size"), "nodes")
-    firsts = stored(marked.groupBy("node").agg(F.min("id").alias("first")), "firsts")
-    grouped = firsts.join(set_components(docs, marked, width, similarity, tile_rows, tile_shingles), "node", "left")
-    kept = grouped.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("doc_id"))
-    kept = kept.select("doc_id").distinct()
-    stays = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stays.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    one, two, id_ = (fresh(docs, f"_{c}") for c in ("one", "two", "id"))
+    keyed = docs.withColumns({one: F.xxhash64(text_col), two: F.xxhash64(F.lit(SEED), text_col), id_: F.col(id_col)})
+    rows = keyed.select(F.col(id_).alias("id"), F.col(one).alias("one"), F.col(two).alias("two"), F.col(text_col).alias("text"))
+    marked = stored(set_prints(rows, width), "prints")
+    held = marked.groupBy("id", "one", "two", "node").agg(F.count("*").alias("n"))
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "one", "two", "n")
+    firsts = held.groupBy("node").agg(F.min(row).alias("row"))
+    firsts = stored(firsts, "firsts")
+    attributes = [F.first(c).alias(c) for c in ("print", "size", "least")]
+    nodes = stored(marked.groupBy("node").agg(*attributes), "nodes")
+    grouped = firsts.join(set_components(rows, nodes, width, similarity, tile_rows, tile_shingles), "node", "left")
+    kept = grouped.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("row").alias("row"))
+    kept = stored(kept.select("row.id", "row.one", "row.two", "row.n"), "kept")
+
+    def chosen(of: str) -> DataFrame:
+        right = kept.filter(of)
+        same = keyed[id_].eqNullSafe(right["id"]) & (keyed[one] == right["one"]) & (keyed[two] == right["two"])
+        return keyed.join(right, same, "left_semi")
+
+    out = chosen("n = 1").select(docs.columns)
+    if not kept.filter("n > 1").isEmpty():
+        # Rows with equal id and text: the one whose columns hash to the least, combined before the shuffle.
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        single = chosen("n > 1").groupBy(id_, one, two).agg(F.min_by(whole, F.xxhash64(whole)).alias(one + "row"))
+        out = out.unionByName(single.select(f"{one}row.*"))
+    return out
+

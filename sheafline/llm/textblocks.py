@@ -84,6 +84,20 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word; many bytes are worked on in parts between words, so that memory follows the part."""
+    if len(data) <= SLICE_BYTES:
+        return _word_hashes(data, starts, ends)
+    out = np.empty(len(starts), _U)
+    lo = 0
+    while lo < len(starts):
+        a = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, a + SLICE_BYTES, side="right")))
+        out[lo:hi] = _word_hashes(data[a : int(ends[hi - 1])], starts[lo:hi] - a, ends[lo:hi] - a)
+        lo = hi
+    return out
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, _U)
     np.cumsum(_BYTE_VALUES[data] * up[:-1], out=total[1:])
