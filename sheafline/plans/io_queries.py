@@ -9,6 +9,7 @@ from ..operators import features as ft
 from ..operators import labels as lb
 from ..session import scratch_path
 from ..sources import blocks_json as bj
+from ..sources import pages as pg
 from ..sources import requests as rq
 from ..sources import spans as sp
 from ..sources import tabular as tb
@@ -46,20 +47,52 @@ def lines_from_spans(spark, sf):
     return sp.lines_from_spans(fixture_spans(spark, sf))
 
 
-_SHOWN = f"regexp_replace(html, '{sp.HIDDEN}', '', 'g')"
+# Tokens, then a recursion over the tags of blocks that carries the list of open elements; runs are counted by those tags.
+_INLINE = ", ".join(f"'{t}'" for t in sorted(pg.INLINE_TAGS))
+_CARRY = ", ".join(f"'{t}'" for t in pg.PAGE_TAGS)
+_REFERENCE = "&(?:amp|copy|middot|quot|lt|gt|nbsp);?"
+_RESOLVED = f"""array_to_string(list_transform(regexp_extract_all(t, '{_REFERENCE}|&|[^&]+'), lambda x: case rtrim(x, ';')
+  when '&amp' then '&' when '&copy' then '©' when '&middot' then '·' when '&quot' then '"' when '&lt' then '<' when '&gt' then '>'
+  when '&nbsp' then chr(160) else x end), '')"""
+_PAGES_SQL = rf"""with recursive shown as (
+  select page_id, regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'),
+    '<script[^>]*>.*?</script>', '', 'gis'), '<style[^>]*>.*?</style>', '', 'gis') as h from pages
+), tokens as (
+  select page_id, unnest(regexp_extract_all(h, '<[^>]*>|[^<]+')) as t,
+    unnest(range(1, len(regexp_extract_all(h, '<[^>]*>|[^<]+')) + 1)) as pos from shown
+), named as (
+  select page_id, pos, t, lower(regexp_extract(t, '^</?([A-Za-z][^\s/>]*)', 1)) as name, t like '<%' as is_tag from tokens
+), counted as (
+  select *, is_tag and name <> '' and name not in ({_INLINE}) as is_mark from named
+), runs as (
+  select *, count(*) filter (is_mark) over (partition by page_id order by pos) as k from counted
+), marks as (select page_id, k, name, t like '</%' as closes from runs where is_mark),
+open as (
+  select distinct page_id, 0::bigint as k, cast([] as varchar[]) as s from shown
+  union all
+  select page_id, k, case when closes then case when list_contains(s, name)
+      then s[: len(s) - list_position(list_reverse(s), name)] else s end
+    when name in ('meta', 'link', 'hr') then p
+    when name = 'li' and near = 'li' then list_append(p[: len(p) - list_position(list_reverse(p), 'li')], name)
+    else list_append(p, name) end
+  from (select m.page_id, m.k, m.name, m.closes, o.s, case when o.s[-1] = 'p' then o.s[:-2] else o.s end as p,
+      list_filter(case when o.s[-1] = 'p' then o.s[:-2] else o.s end, lambda x: x in ('li', 'ul', 'ol', 'menu'))[-1] as near
+    from open o join marks m on m.page_id = o.page_id and m.k = o.k + 1)
+), texts as (
+  select page_id, k, string_agg(case when is_tag then ' ' else {_RESOLVED} end, '' order by pos) as text
+  from runs where not is_tag or name = 'br' group by page_id, k
+), blocks as (
+  select page_id, k, list_filter(s, lambda x: x in ({_CARRY}))[-1] as tag, {oc.strip('text')} as text from texts join open using (page_id, k)
+)
+select page_id, row_number() over (partition by page_id order by k) as line_no, tag, text,
+  case tag when 'title' then 24.0 when 'h1' then 16.5 when 'footer' then 8.0 else 12.0 end::double as font_size,
+  case when tag in ('title', 'h1') then 700 else 400 end as weight
+from blocks where text <> '' and tag is not null"""
 
 
-@register(
-    "blocks_from_pages",
-    f"""select page_id, line_no, tag, text, case tag when 'title' then 24.0 when 'h1' then 16.5 when 'footer' then 8.0
-  else 12.0 end::double as font_size, case when tag in ('title', 'h1') then 700 else 400 end as weight
- from (select page_id, unnest(tags) as tag, {oc.strip("regexp_replace(unnest(texts), '<[^>]*>', '', 'g')")} as text,
-   cast(generate_subscripts(tags, 1) as bigint) as line_no
-  from (select page_id, regexp_extract_all({_SHOWN}, '{sp.TAGGED}', 1) tags, regexp_extract_all({_SHOWN}, '{sp.TAGGED}', 2) texts
-   from pages)) where text <> ''""",
-)
+@register("blocks_from_pages", _PAGES_SQL)
 def blocks_from_pages(spark, sf):
-    return sp.blocks_from_pages(fx.table(spark, sf, "pages"))
+    return pg.blocks_from_pages(fx.dealt(spark, sf, "pages"))
 
 
 _BLOCK_COLUMNS = [

@@ -1,4 +1,4 @@
-"""Text lines from spans, tagged pages or the bytes of files."""
+"""Text lines from spans or the bytes of files."""
 
 from __future__ import annotations
 
@@ -17,16 +17,6 @@ SPAN_SCHEMA = (
     "size double, font string, x0 double, y0 double, x1 double, y1 double"
 )
 
-# The tags that carry text, and the size and weight each stands for.
-PAGE_TAGS = {
-    "title": (24.0, 700), "h1": (16.5, 700), "p": (12.0, 400), "li": (12.0, 400), "div": (12.0, 400),
-    "footer": (8.0, 400),
-}
-INLINE_TAGS = "a|abbr|b|br|cite|code|em|font|i|img|mark|q|s|small|span|strong|sub|sup|tt|u"
-HIDDEN = "(?is)<(script|style)[^>]*>.*?</(script|style)>"
-TAGGED = rf"<({'|'.join(PAGE_TAGS)})(?:\s[^>]*)?>((?:[^<]+|</?(?:{INLINE_TAGS})(?:[\s/][^>]*)?>)*)"
-
-
 def lines_from_spans(spans: DataFrame, keys: tuple[str, ...] = ("doc_id", "page", "block", "line")) -> DataFrame:
     """Text lines of the text blocks (type 0): trimmed spans joined by blanks, empty lines dropped.
 
@@ -52,31 +42,6 @@ def lines_from_spans(spans: DataFrame, keys: tuple[str, ...] = ("doc_id", "page"
     )
 
 
-def blocks_from_pages(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """Tagged text of a page as blocks; the tag gives size and weight, empty texts are dropped.
-
-    A block's text goes on over inline tags, which are stripped; scripts and styles are left out.
-    """
-    shown = F.regexp_replace(html, HIDDEN, "")
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(shown, F.lit(TAGGED), F.lit(1)).alias("tag"),
-        F.transform(F.regexp_extract_all(shown, F.lit(TAGGED), F.lit(2)), lambda t: F.regexp_replace(t, "<[^>]*>", "")).alias("text"),
-    )
-    sizes = F.create_map(*[F.lit(x) for t, (s, _) in PAGE_TAGS.items() for x in (t, s)])
-    weights = F.create_map(*[F.lit(x) for t, (_, w) in PAGE_TAGS.items() for x in (t, w)])
-    return (
-        pages.select(page_id, F.posexplode(pairs).alias("_pos", "_p"))
-        .select(
-            page_id,
-            (F.col("_pos") + 1).cast("bigint").alias("line_no"),
-            F.col("_p.tag").alias("tag"),
-            tx.strip(F.col("_p.text")).alias("text"),
-        )
-        .filter(F.col("text") != "")
-        .withColumns({"font_size": sizes[F.col("tag")], "weight": weights[F.col("tag")]})
-    )
-
-
 def parse_files(
     spark: SparkSession,
     path: str,

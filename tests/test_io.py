@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sheafline.operators import encoders as en
 from sheafline.sources import blocks_json as bj
+from sheafline.sources import pages as pg
 from sheafline.sources import requests as rq
 from sheafline.sources import spans as sp
 from sheafline.sources import tabular as tb
@@ -92,7 +93,7 @@ def test_bytes_through_a_parser(spark, tmp_path):
 
 def test_page_text_goes_on_over_inline_tags(spark):
     html = "<title>T</title><script>var p = '<p>no</p>';</script><ul><li><a href='#'>one</a> two</li></ul><p>x <b>y</b> z</p><pre>q</pre><link>"
-    got = sp.blocks_from_pages(spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")).orderBy("line_no").collect()
+    got = pg.blocks_from_pages(spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")).orderBy("line_no").collect()
     assert [(r["tag"], r["text"]) for r in got] == [("title", "T"), ("li", "one two"), ("p", "x y z")]
 
 
