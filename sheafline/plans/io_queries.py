@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import answers as an
 from ..operators import features as ft
 from ..operators import labels as lb
+from ..operators import schemaless as sl
 from ..session import scratch_path
 from ..sources import blocks_json as bj
 from ..sources import pages as pg
@@ -109,6 +110,97 @@ def scan_blocks_json(spark, sf):
     return bj.with_box_columns(blocks).select(*_BLOCK_COLUMNS)
 
 
+def any_fixture(spark, sf):
+    """Blocks as JSON objects that differ in their fields: nested, missing, of mixed kinds, with names that no schema knows."""
+    b = fx.blocks(spark, sf)
+    n = F.col("line_no")
+    common = {c: F.col(c) for c in ("page", "text")}
+    kinds = {
+        0: {"score": n, "meta": F.struct(F.struct(n.alias("deep"), F.col("font_name").alias("name")).alias("in"), (n % 2 == 0).alias("even"))},
+        1: {"score": F.col("font_name"), "bbox": F.array("x0", "y0")},
+        2: {"score": F.struct(n.alias("a"), F.array(F.lit("x"), "font_name").alias("tags")), "odd key.x": F.col("font_size")},
+        3: {"meta_even": F.lit("flat"), "Text": F.lit("other case")},
+    }
+    value = F.lit(None)
+    for k, more in kinds.items():
+        whole = F.to_json(F.struct(*[c.alias(name) for name, c in {**common, **more, "doc_id": F.col("doc_id"), "line_no": n}.items()]))
+        value = F.when(n % 4 == k, whole).otherwise(value)
+    arrays = b.select("doc_id", F.floor(n / 1000).alias("part"), "line_no", value.alias("v")).groupBy("doc_id", "part")
+    path = scratch_path(spark, "any")
+    lines = arrays.agg(F.array_sort(F.collect_list(F.struct("line_no", "v"))).alias("held"))
+    joined = F.concat(F.lit("["), F.array_join(F.transform("held", lambda x: x["v"]), ", "), F.lit("]"))
+    lines.select(joined.alias("value")).write.text(path)
+    return bj.read_any_blocks(spark, path, whole_files=False, glob="*.txt")[0]
+
+
+_ANY_FIELDS = """
+ ('Text', 'STRING', n3), ('bbox', 'ARRAY<DECIMAL', n1), ('doc_id', 'BIGINT', n), ('line_no', 'BIGINT', n), ('meta_even', 'BOOLEAN', n0),
+ ('meta_even', 'STRING', n3), ('meta_in_deep', 'BIGINT', n0), ('meta_in_name', 'STRING', n0), ('odd key.x', 'DECIMAL', n2), ('page', 'BIGINT', n),
+ ('score', 'BIGINT', n0), ('score', 'STRING', n1), ('score_a', 'BIGINT', n2), ('score_tags', 'ARRAY<STRING', n2), ('text', 'STRING', n)
+"""
+
+
+@register(
+    "dataset_header",
+    oc.sql(
+        f"""select t.name, t.kind, t.n from (select count(*) n, count(*) filter (line_no % 4 = 0) n0, count(*) filter (line_no % 4 = 1) n1,
+ count(*) filter (line_no % 4 = 2) n2, count(*) filter (line_no % 4 = 3) n3 from blocks) c, lateral (values {_ANY_FIELDS}) t(name, kind, n)"""
+    ),
+)
+def dataset_header(spark, sf):
+    """Flattened names of all fields that occur, with the kinds of their values and how often they do."""
+    found = sl.field_kinds(any_fixture(spark, sf))
+    return found.groupBy(F.array_join("path", "_").alias("name"), "kind").agg(F.sum("n").alias("n"))
+
+
+@register(
+    "flatten_any",
+    oc.sql(
+        """select doc_id::varchar as doc_id, line_no, page::bigint as page, text, if(line_no % 4 = 3, 'other case', null) as text_nested,
+ case line_no % 4 when 0 then line_no::varchar when 1 then '"' || font_name || '"' end as score,
+ case line_no % 4 when 0 then (line_no % 2 = 0)::varchar when 3 then '"flat"' end as meta_even,
+ if(line_no % 4 = 0, line_no, null) as meta_in_deep, if(line_no % 4 = 0, font_name, null) as meta_in_name,
+ if(line_no % 4 = 2, line_no, null) as score_a, if(line_no % 4 = 2, 'x,' || font_name, null) as score_tags,
+ if(line_no % 4 = 2, font_size, null) as odd_key, if(line_no % 4 = 1, x0 + y0, null) as bbox_sum from blocks"""
+    ),
+)
+def flatten_any(spark, sf):
+    """The fields as columns: objects laid flat, mixed kinds kept, two spellings of a name kept apart."""
+    blocks = any_fixture(spark, sf)
+    flat = sl.flatten_any(blocks, sl.Fields.of(blocks))
+    assert {"Text", "text_nested"} <= set(flat.columns)  # 'Text' sorts first
+    return flat.select(
+        "doc_id", "line_no", "page", F.col("text_nested").alias("text"), F.col("`Text`").alias("text_nested"),
+        *[F.to_json(c).alias(c) for c in ("score", "meta_even")], "meta_in_deep", "meta_in_name", "score_a",
+        F.array_join("score_tags", ",").alias("score_tags"), F.col("`odd key.x`").alias("odd_key"),
+        F.aggregate("bbox", F.lit(0.0), lambda a, x: a + x).alias("bbox_sum"),
+    )
+
+
+@register(
+    "union_any",
+    oc.sql(
+        """select doc_id::varchar as doc_id, line_no, if(src = 1, page::bigint, null) as page, if(src = 2, weight::bigint, null) as weight,
+ if(src = 1, text, null) as style_text, if(src = 2, font_name, null) as style_font
+ from blocks, (values (1), (2)) s(src) where (src = 1) = (line_no % 2 = 0)"""
+    ),
+)
+def union_any(spark, sf):
+    """Two sources with other fields under one header."""
+    b = fx.blocks(spark, sf)
+    ids = [F.col("doc_id"), F.col("line_no")]
+    shapes = (
+        (b.filter("line_no % 2 = 0"), [F.col("page"), F.struct("text").alias("style")]),
+        (b.filter("line_no % 2 = 1"), [F.col("weight"), F.struct(F.col("font_name").alias("font")).alias("style")]),
+    )
+    frames = []
+    for k, (part, fields) in enumerate(shapes):
+        path = scratch_path(spark, f"source{k}")
+        part.select(F.concat(F.lit("["), F.to_json(F.struct(*ids, *fields)), F.lit("]")).alias("value")).write.text(path)
+        frames.append(bj.read_any_blocks(spark, path, whole_files=False, glob="*.txt")[0])
+    return sl.union_any(*frames).select("doc_id", "line_no", "page", "weight", "style_text", "style_font")
+
+
 @register(
     "scan_folder",
     oc.sql(
