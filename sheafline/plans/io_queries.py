@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import answers as an
 from ..operators import features as ft
 from ..operators import labels as lb
+from ..operators import outline as ol
 from ..operators import schemaless as sl
 from ..session import scratch_path
 from ..sources import blocks_json as bj
+from ..sources import documents as dc
 from ..sources import pages as pg
 from ..sources import requests as rq
 from ..sources import spans as sp
@@ -298,6 +300,58 @@ def answer_json(spark, sf):
     )
 
 
+@register(
+    "outline_files",
+    oc.sql(
+        """select t.doc_id || '_outline.json' as file, title, seq, level, text, page
+ from titles t left join outline o using (doc_id)"""
+    ),
+)
+def outline_files(spark, sf):
+    """Outlines written one file a document under their derived names, read back and laid flat."""
+    path = scratch_path(spark, "outline-files")
+    titled = ol.titled_outline(fx.labelled(spark, sf), largest=fx.largest_document(spark, sf))
+    named = titled.withColumn("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")))
+    dc.write_documents(dc.outline_rows(named), path, "_outline.json", order=("seq",))
+    back = dc.read_documents(spark, path, "_outline.json").filter("_error is null")
+    entry = "struct<title:string, outline:array<struct<level:string, text:string, page:int>>>"
+    whole = back.select(F.concat("document", F.lit("_outline.json")).alias("file"), F.from_json("value", entry).alias("o"))
+    flat = whole.select("file", "o.title", F.posexplode_outer("o.outline").alias("seq", "e"))
+    return flat.select("file", "title", (F.col("seq") + 1).alias("seq"), "e.level", "e.text", "e.page")
+
+
+@register(
+    "parsed_files",
+    oc.sql(
+        """select doc_id::varchar as document, line_no::int as line, text, null as error from blocks where doc_id % 4 <> 0
+ union all select distinct doc_id::varchar, null, null, 'ValueError: unreadable' from blocks where doc_id % 12 = 0
+ union all select doc_id::varchar, line_no::int, text, null from blocks where doc_id % 4 = 0 and doc_id % 12 <> 0 and line_no % 2 = 0
+ union all select doc_id::varchar, null, null, 'row' from blocks where doc_id % 4 = 0 and doc_id % 12 <> 0 and line_no % 2 = 1"""
+    ),
+)
+def parsed_files(spark, sf):
+    """Files through a user's parser that fails on some, and gives values of a wrong type in others."""
+    path = scratch_path(spark, "raw-files")
+    b = fx.blocks(spark, sf)
+    entry = F.to_json(F.struct("line_no", "text"))
+    rows = b.select(F.col("doc_id").cast("string").alias("document"), F.lit("[").alias("head"), entry.alias("entry"), F.lit("]").alias("tail"), "line_no")
+    dc.write_documents(rows, path, ".raw", order=("line_no",))
+
+    def parser(name: str, content: bytes):
+        import json
+
+        if int(name) % 12 == 0:
+            raise ValueError("unreadable")
+        for line in json.loads(content):
+            wrong = int(name) % 4 == 0 and line["line_no"] % 2 == 1
+            yield {"document": name, "line": "a word" if wrong else line["line_no"], "text": line["text"]}
+
+    dc.register_parser(spark, "numbered_lines", parser, "document string, line int, text string")
+    back = spark.read.format("numbered_lines").option("suffix", ".raw").load(path)
+    error = F.when(F.col("_error").startswith("row "), "row").otherwise(F.col("_error"))
+    return back.select(F.col("_file").alias("document"), "line", "text", error.alias("error"))
+
+
 @register(
     "incremental_classify",
     oc.sql("select t.doc_id, title, seq, level, text, page from titles t left join outline o using (doc_id)"),

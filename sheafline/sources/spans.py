@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as tx
+from ..session import scratch_path
+from .documents import parsed_batches
 
 SPAN_SCHEMA = (
     "document string, page int, block int, block_type int, line int, span_no int, text string, "
@@ -51,7 +53,8 @@ def parse_files(
 ) -> DataFrame:
     """Rows a user's ``parser(file name, bytes)`` makes of each file, e.g. the spans of a PDF.
 
-    A file the parser fails on gives no rows and does not stop the others; ``failed_files`` names it.
+    A file the parser fails on gives no rows, a row with a value of another type than the schema's is left out; neither stops
+    the others. ``failed_files`` names both; ``parse_once`` gives both from one pass.
     """
     return _parsed(spark, path, parser, glob, schema).filter("_error is null").drop("_file", "_error")
 
@@ -63,11 +66,26 @@ def failed_files(
     glob: str = "*.pdf",
     schema: str = SPAN_SCHEMA,
 ) -> DataFrame:
-    """(file, error) of the files that the parser fails on."""
+    """(file, error) of the files that the parser fails on, and of rows with values of another type."""
     failed = _parsed(spark, path, parser, glob, schema).filter("_error is not null")
     return failed.select(F.col("_file").alias("file"), F.col("_error").alias("error"))
 
 
+def parse_once(
+    spark: SparkSession,
+    path: str,
+    parser: Callable[[str, bytes], Iterable[dict]],
+    glob: str = "*.pdf",
+    schema: str = SPAN_SCHEMA,
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, failed) from one pass over the files, whose result is stored in the shared folder."""
+    held = scratch_path(spark, "parsed")
+    _parsed(spark, path, parser, glob, schema).write.parquet(held)
+    stored = spark.read.parquet(held)
+    failed = stored.filter("_error is not null").select(F.col("_file").alias("file"), F.col("_error").alias("error"))
+    return stored.filter("_error is null").drop("_file", "_error"), failed
+
+
 def _parsed(spark: SparkSession, path: str, parser, glob: str, schema: str) -> DataFrame:
     files = (
         spark.read.format("binaryFile")
@@ -82,11 +100,6 @@ def _parsed(spark: SparkSession, path: str, parser, glob: str, schema: str) -> D
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"]):
-                name = file.as_py().rsplit("/", 1)[-1]
-                try:
-                    rows = list(parser(name, content.as_py()))
-                except Exception as error:  # noqa: BLE001 - one bad file must not end the job
-                    rows = [{"_file": name, "_error": f"{type(error).__name__}: {error}"}]
-                yield pa.RecordBatch.from_pylist(rows, schema=shape)
+                yield from parsed_batches(file.as_py().rsplit("/", 1)[-1], content.as_py, parser, shape)
 
     return files.mapInArrow(parse, schema)
