@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..session import cut_lineage
+from . import ordering as od
 from . import relevance as rv
 from .outline import outline
 from .summary import extractive_summary
@@ -51,9 +52,9 @@ def page_bodies(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
 def section_content(sections: DataFrame, blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Each section with the body text of its page; the stored labels decide what is body.
 
-    The bodies are joined to text once a page, before the join, not once a section.
+    The bodies are joined to text once a page, before the join, not once a section. Unknown documents and pages meet each other.
     """
-    return sections.join(page_bodies(blocks, doc), [doc, "page"], "left").withColumn(
+    return od.join_keys(sections, page_bodies(blocks, doc), [doc, "page"]).withColumn(
         "content", F.coalesce("content", F.lit(""))
     )
 
@@ -90,12 +91,12 @@ def job_answer(
         )
     )
     pages = top.select("doc_id", "page").distinct()
-    contents = page_bodies(blocks.join(pages, ["doc_id", "page"], "left_semi"))
+    contents = page_bodies(od.join_keys(blocks, pages, ["doc_id", "page"], "left_semi"))
     if summarize is not None:
         summaries = contents.select("doc_id", "page", summarize(F.col("content")).alias("summary"))
     else:
         summaries = extractive_summary(contents, ["doc_id", "page"])
-    return top.join(summaries, ["doc_id", "page"], "left").withColumnRenamed("summary", "refined_text")
+    return od.join_keys(top, summaries, ["doc_id", "page"]).withColumnRenamed("summary", "refined_text")
 
 
 def job_answer_nearest(
@@ -115,7 +116,7 @@ def job_answer_nearest(
     )
     heads = top.select("doc_id", "page", "y_center", F.col("line_no").alias("head_no")).distinct()
     near = rv.nearest_bodies(heads, blocks, largest=largest).withColumnRenamed("head_no", "line_no")
-    return top.join(near, ["doc_id", "page", "line_no"], "left").select(
+    return od.join_keys(top, near, ["doc_id", "page", "line_no"]).select(
         "job_id", "rank", "doc_id", "section_title", "page", "near_rank",
         F.col("body_text").alias("refined_text"),
     )

@@ -143,7 +143,7 @@ def doc_titles(
     ranked = titles.select(
         doc,
         F.struct(
-            (F.col("page") != 1).alias("later_page"),
+            (~F.col("page").eqNullSafe(F.lit(1))).alias("later_page"),
             (-F.col("font_size")).alias("neg_size"),
             F.col("page"),
             F.col("y_head"),
@@ -173,8 +173,11 @@ def outline(
 
 
 def titled_outline(blocks: DataFrame, doc: str = "doc_id", **bounds) -> DataFrame:
-    """The outline with the document title on every entry; untouched documents give one bare row."""
-    return doc_titles(blocks, doc, **bounds).join(outline(blocks, doc, **bounds), doc, "left")
+    """The outline with the document title on every entry; untouched documents give one bare row.
+
+    Blocks without a document are one document.
+    """
+    return od.join_keys(doc_titles(blocks, doc, **bounds), outline(blocks, doc, **bounds), [doc])
 
 
 def nested_outline(titled: DataFrame, doc: str = "doc_id") -> DataFrame:

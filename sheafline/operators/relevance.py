@@ -191,8 +191,7 @@ def nearest_bodies(
     """
     where = [doc, "page"]
     bodies = (
-        blocks.filter(F.col("label") == "Body")
-        .join(heads.select(*where).distinct(), where, "left_semi")
+        od.join_keys(blocks.filter(F.col("label") == "Body"), heads.select(*where).distinct(), where, "left_semi")
         .select(*where, "y_center", "line_no", "text")
     )
     tie = W.partitionBy(*where, "y_center").orderBy("line_no")
@@ -215,7 +214,7 @@ def nearest_bodies(
     above = levels.filter(F.col("_tie").isNull()).select(
         *where, F.col("line_no").alias("head_no"), F.col("y_center").alias("_h"), look
     )
-    pairs = above.join(below, [*where, "_level"])
+    pairs = od.join_keys(above, below, [*where, "_level"], "inner")
     near = W.partitionBy(*where, "head_no").orderBy(F.abs(F.col("_y") - F.col("_h")), "body_no")
     return (
         pairs.withColumn("near_rank", F.row_number().over(near))

@@ -71,6 +71,31 @@ def nearest_body(spark, sf):
     return rv.nearest_bodies(heads, b, largest=fx.largest_document(spark, sf))
 
 
+@register(
+    "section_content_gaps",
+    oc.gaps_sql(
+        """select nullif(o.doc_id, -1) as doc_id, seq, text, nullif(o.page, -1) as page, coalesce(content, '') as content
+ from outline o left join page_bodies p on p.doc_id = o.doc_id and p.page = o.page"""
+    ),
+)
+def section_content_gaps(spark, sf):
+    b = fx.labelled_gaps(spark, sf)
+    sections = ol.outline(b, largest=fx.largest_document(spark, sf))
+    return an.section_content(sections, b).select("doc_id", "seq", "text", "page", "content")
+
+
+@register(
+    "nearest_body_gaps",
+    oc.gaps_sql(
+        "select nullif(doc_id, -1) as doc_id, nullif(page, -1) as page, head_no, near_rank, body_no, body_text from near"
+    ),
+)
+def nearest_body_gaps(spark, sf):
+    b = fx.labelled_gaps(spark, sf)
+    heads = rv.headings(b).select("doc_id", "page", "y_center", F.col("line_no").alias("head_no"))
+    return rv.nearest_bodies(heads, b, largest=fx.largest_document(spark, sf))
+
+
 @register(
     "cosine_pairs",
     """select a.vec_id, b.vec_id as next_id,

@@ -102,6 +102,15 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
     return lb.with_rule_labels(blocks(spark, sf), largest=largest_document(spark, sf))
 
 
+def labelled_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled blocks of which one document has no id, and one page in seven documents no number."""
+    known = F.col("doc_id")
+    b = blocks(spark, sf).withColumns(
+        {"doc_id": F.when(known != 3, known), "page": F.when((known % 7 != 5) | (F.col("page") != 2), F.col("page"))}
+    )
+    return lb.with_rule_labels(b, largest=largest_document(spark, sf))
+
+
 def uniform_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """The labelled blocks set in one size, told apart by bold and italic only."""
     salt = F.col("doc_id") + F.col("line_no")

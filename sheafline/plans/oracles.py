@@ -258,6 +258,16 @@ CTES["page_summaries"] = f"""select doc_id, page, array_to_string(list_slice(lis
 
 
 
+# Blocks without a document or a page: -1 stands for what is not known, and sorts first like it.
+GAPS = f"""select * replace (case when doc_id = 3 then -1 else doc_id end as doc_id,
+ case when doc_id % 7 = 5 and page = 2 then -1 else page end as page) from ({CTES["blocks"]})"""
+
+
+def gaps_sql(body: str) -> str:
+    """``sql`` over blocks with unknown documents and pages."""
+    return sql(body).replace(CTES["blocks"], GAPS)
+
+
 def sql(body: str) -> str:
     """``body`` with the named sub-queries it needs, directly or through others."""
     wanted: set[str] = set()

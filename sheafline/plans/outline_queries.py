@@ -104,3 +104,15 @@ def fix_skips(spark, sf):
 )
 def outline(spark, sf):
     return ol.titled_outline(fx.labelled(spark, sf), largest=fx.largest_document(spark, sf))
+
+
+@register(
+    "outline_gaps",
+    oc.gaps_sql(
+        """select nullif(t.doc_id, -1) as doc_id, title, seq, level, text, nullif(page, -1) as page
+ from titles t left join outline o using (doc_id)"""
+    ),
+)
+def outline_gaps(spark, sf):
+    """Outlines where a document has no id and pages have no number."""
+    return ol.titled_outline(fx.labelled_gaps(spark, sf), largest=fx.largest_document(spark, sf))
