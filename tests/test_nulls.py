@@ -80,14 +80,17 @@ def test_flat_names_do_not_clash(spark, tmp_path):
 
 
 def test_neighbours_of_null_and_repeated_identities(spark):
-    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql import types as T
 
     from sheafline.operators import models as md
 
     train = [(i, Vectors.dense(1.0, i / 10), float(i % 2)) for i in range(8)] + [(None, Vectors.dense(0.0, 1.0), 1.0)]
     asked = [(1, Vectors.dense(1.0, 0.1)), (1, Vectors.dense(0.0, 1.0)), (1, Vectors.dense(0.0, 1.0)), (None, Vectors.dense(1.0, 0.2)), (None, Vectors.dense(1.0, 0.3))]
-    df = spark.createDataFrame(asked, "line int, features vector")
-    got = md.neighbour_probabilities(df, spark.createDataFrame(train, "line int, features vector, label_index double"), "line", 2, 1)
+    kinds = [T.StructField("line", T.IntegerType()), T.StructField("features", VectorUDT())]
+    df = spark.createDataFrame(asked, T.StructType(kinds))
+    known = spark.createDataFrame(train, T.StructType([*kinds, T.StructField("label_index", T.DoubleType())]))
+    got = md.neighbour_probabilities(df, known, "line", 2, 1)
     assert got.columns == ["line", "features", "p_knn"]
     found = sorted(((str(r["line"]), r["features"][1], r["p_knn"]) for r in got.collect()))
     assert found == [("1", 0.1, [0.0, 1.0]), ("1", 1.0, [0.0, 1.0]), ("1", 1.0, [0.0, 1.0]), ("None", 0.2, [1.0, 0.0]), ("None", 0.3, [0.0, 1.0])]
