@@ -2,10 +2,12 @@
 
 Each text gives a few measures (shares of symbols, capitals, repeated lines and words, mean word length). A measure's sketch is
 a table of counts in buckets of equal relative width: two sketches merge by adding counts, so it is a grouped sum, and a
-quantile is the bucket where the running count passes it (relative error ``WIDTH``). A threshold lies beyond the upper
-quantile by a multiple of the distance between the quantiles, and at least by the measure's least gap. A language and source
-with fewer than ``least_rows`` rows takes the merged sketch of its language, or of all rows. The thresholds are joined back,
-and rows beyond any are rejected.
+quantile is the bucket where the running count passes it (relative error ``WIDTH``). A threshold lies beyond the median by a
+multiple of the distance between the lower quantile and the median, and at least by the measure's least gap: what the larger values
+are does not move it, so a source keeps its threshold while less than half of its rows are junk. Beyond that the merged sketches
+bound it: no group's threshold lies over that of its language, or of all rows if that is lower, by more than the gap (word length
+is a matter of the language alone). A language and source with fewer than ``least_rows`` rows takes the merged sketch of its
+language, or of all rows. The thresholds are joined back, and rows beyond any are rejected.
 
 Scale: the texts are read once, their measures are stored; sketches are combined before the shuffle, so a source with a third
 of all rows is a few hundred counts a task. Windows run over the buckets of a sketch, whose number is bounded.
@@ -27,12 +29,13 @@ from .frames import stored
 SPAN = 8
 WIDTH = 0.02
 SMALLEST = 1e-3
-LOW, HIGH = 0.5, 0.8
+LOW, HIGH = 0.2, 0.5
 REACH = 5.0
 LEAST_ROWS = 50
 
-# The measures, and how far beyond the upper quantile a threshold lies at least.
+# The measures, how far beyond the upper quantile a threshold lies at least, and those that differ by language.
 LEAST_GAPS = {"symbol_share": 0.08, "upper_share": 0.35, "line_share": 0.25, "repeat_share": 0.25, "word_length": 6.0}
+BY_LANGUAGE = ("word_length",)
 
 _SPACES = r"[\x20\x09-\x0D]+"
 
@@ -161,15 +164,21 @@ def thresholds(sketch: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
         F.when(F.col("own.held") >= least_rows, F.col("own")).when(F.col("wide.held") >= least_rows, F.col("wide")).otherwise(F.col("all"))
     )
     gap = F.create_map(*[F.lit(x) for pair in LEAST_GAPS.items() for x in pair])[F.col("measure")]
-    top = F.col("u.high") + F.greatest(gap, REACH * (F.col("u.high") - F.col("u.low")))
-    rows = joined.withColumn("u", used).withColumn("top", top)
+
+    def limit(of: Column) -> Column:
+        return of["high"] + F.greatest(gap, REACH * (of["high"] - of["low"]))
+
+    wide = F.when(F.col("wide.held") >= least_rows, limit(F.col("wide"))).otherwise(limit(F.col("all")))
+    bound = F.when(F.col("measure").isin(*BY_LANGUAGE), wide).otherwise(F.least(wide, limit(F.col("all")))) + gap
+    rows = joined.withColumn("top", F.least(limit(used), bound))
     return rows.groupBy("lang_key", "source_key").agg(*[F.max(F.when(F.col("measure") == m, F.col("top"))).alias(f"max_{m}") for m in LEAST_GAPS])
 
 
 def judged(docs: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Per row of ``docs``: the base counts, ``base_failed``, ``kept`` and the measures that went beyond their thresholds."""
     rows = stored(measures(docs), "measures")
-    limits = thresholds(sketches(rows.filter(~F.col("base_failed"))), least_rows)
+    # Stored, so that adaptive execution can broadcast them by size or split a group with very many rows.
+    limits = stored(thresholds(sketches(rows.filter(~F.col("base_failed"))), least_rows), "limits")
     beyond = F.array_compact(F.array(*[F.when(F.col(m) > F.col(f"max_{m}"), F.lit(m)) for m in LEAST_GAPS]))
     out = rows.join(limits, ["lang_key", "source_key"], "left").withColumn("beyond", beyond)
     return out.select(
