@@ -104,12 +104,12 @@ def test_suffix_tree_base_and_gain(spark):
 
 
 def test_suffix_tree_is_a_distribution_and_edges(odd, none):
-    model = suffix_tree_lm.fit(odd, min_share=1e-3, word_share=1e-3)
-    tree, n = model.tree, len(model.tree.root)
+    model = suffix_tree_lm.fit(odd, least=3, pair_least=1, word_least=3)
+    shard, n = next(suffix_tree_lm._shards(model)), len(model.root)
     for context in ([0], [0, suffix_tree_lm.CLASSES], [suffix_tree_lm.CLASSES, suffix_tree_lm.CLASSES]):
         rows = np.array([[*context, s] for s in range(n)]).ravel()
-        logs = tree.log_probabilities(rows, np.full(n, len(context) + 1)).reshape(n, -1)[:, -1]
-        seen = np.flatnonzero(tree.root > tree.root.min())
+        logs = shard.log_probabilities(model.root, rows, np.full(n, len(context) + 1)).reshape(n, -1)[:, -1]
+        seen = np.flatnonzero(model.root > model.root.min())
         assert (10 ** logs[seen]).sum() <= 1 + 1e-6
     got = suffix_tree_lm.score(odd, model).collect()
     assert len(got) == len(ROWS) and all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got)
@@ -119,6 +119,91 @@ def test_suffix_tree_is_a_distribution_and_edges(odd, none):
     assert suffix_tree_lm.scored_documents(none).count() == 0
 
 
+def _plain_tree(texts, depth, least, pair_least, word_least, prior):
+    """The same model as dictionaries: a function that gives the log10 probability of a text."""
+    def split(text):
+        return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+    words = Counter(w for t in texts for w in split(t))
+    tail = lambda w: ("class", w.encode()[-2:])
+    symbol = lambda w: w if words[w] >= word_least else tail(w)
+    of_class, kinds = Counter(), Counter()
+    for w, n in words.items():
+        if n < word_least:
+            of_class[tail(w)] += n
+            kinds[tail(w)] += 1
+    sequences = [[*(symbol(w) for w in split(t)), "end"] for t in texts]
+    root = Counter(s for q in sequences for s in q)
+    size = sum(root.values()) + len(root) + 1
+    after = {}
+    for q in sequences:
+        for i, s in enumerate(q):
+            for d in range(1, depth + 1):
+                if i >= d - 1:
+                    context = tuple(q[i - k] if i >= k else "end" for k in range(1, d + 1))  # the most recent first
+                    after.setdefault(context, Counter())[s] += 1
+    pairs = {c[::-1] + (s,): n for c, f in after.items() if len(c) == 1 for s, n in f.items()}
+    usable = lambda c: all(pairs.get((c[k + 1], c[k]), 0) >= least for k in range(len(c) - 1))
+    kept, own = {}, {(): {s: (n + 1) / size for s, n in root.items()}}
+    for c in sorted(after, key=len):
+        total = sum(after[c].values())
+        if total < least or not usable(c):
+            continue
+        held = {s: n for s, n in after[c].items() if n >= pair_least}
+        above = own[c[:-1]]
+        dropped = total - sum(held.values())
+        gain = sum(n * math.log(n / total / above[s]) for s, n in held.items())
+        if dropped:
+            gain += dropped * (math.log(dropped / total) - math.log(max(1 - sum(above[s] for s in held), 1e-9)))
+        freedom = max(len(held) - (not dropped), 1)
+        share = (prior + dropped) / (total + prior)
+        if held and 2 * gain > freedom + 3 * math.sqrt(2 * freedom) and 2 * gain > 1e-2 * total:
+            own[c] = {s: n / (total + prior) + share * above[s] for s, n in held.items()}
+            kept[c] = (share, own[c])
+        else:
+            own[c] = {s: above[s] for s in held}
+
+    def log(text):
+        given = split(text)
+        q = [*(symbol(w) for w in given), "end"]
+        out = 0.0
+        for i, s in enumerate(q):
+            p = (root[s] + 1) / size
+            for d in range(1, min(i + 1, depth) + 1):
+                c = tuple(q[i - k] if i >= k else "end" for k in range(1, d + 1))
+                if c in kept:
+                    p = kept[c][1].get(s, kept[c][0] * p)
+            out += math.log10(p)
+            if isinstance(s, tuple):
+                out += math.log10((words[given[i]] + 1) / (of_class[s] + kinds[s] + 1)) if of_class[s] else 0.0
+        return out
+
+    return log, kept
+
+
+def test_suffix_tree_against_a_plain_one(spark, monkeypatch):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    train = [t for i, t in rows if fold(i, 7) != 2]
+    settings = {"depth": 4, "least": 8, "pair_least": 2, "word_least": 10, "prior": 20.0}
+    log, kept = _plain_tree(train, **settings)
+    assert max(map(len, kept)) >= 3
+    for held, shard_bytes in ((1 << 19, 64 << 20), (500, 20_000)):  # one shard, and many with blocks sent early
+        monkeypatch.setattr(suffix_tree_lm, "HELD", held)
+        monkeypatch.setattr(suffix_tree_lm, "SHARD_BYTES", shard_bytes)
+        model = suffix_tree_lm.fit(docs.filter("crc32(cast(doc_id as string)) % 7 <> 2"), **settings)
+        for r in suffix_tree_lm.score(docs, model).collect():
+            assert math.isclose(r["score"], log(dict(rows)[r["doc_id"]]), rel_tol=1e-5, abs_tol=1e-4), r["doc_id"]
+
+
+def test_suffix_tree_grows_with_its_corpus(spark):
+    sizes = []
+    for sf in ("sf0.001", "sf0.01"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        sizes.append(suffix_tree_lm.fit(docs).tree.count())
+    assert sizes[1] > 3 * sizes[0]
+
+
 def _plain_viterbi(tables, obs):
     score, backs = tables.start + tables.emit[:, obs[0]], []
     for o in obs[1:]:
