@@ -129,12 +129,6 @@ def nested_answer(
 
     ``stamp`` is the processing time, passed in so that runs can be repeated.
     """
-    documents = manifest.groupBy("job_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("doc_ord", "doc_id"))),
-            lambda d: d["doc_id"].cast("string"),
-        ).alias("_docs")
-    )
     entries = answer.groupBy("job_id").agg(
         F.array_sort(
             F.collect_list(F.struct("rank", "doc_id", "section_title", "page", "refined_text"))
@@ -158,19 +152,56 @@ def nested_answer(
             s["page"].alias("page_number"),
         ),
     )
+    return _with_metadata(jobs, manifest, stamp).join(entries, "job_id", "left").select(
+        "job_id", "metadata", sections.alias("extracted_sections"), analysis.alias("subsection_analysis")
+    )
+
+
+def nested_nearest(answer: DataFrame, manifest: DataFrame, jobs: DataFrame, stamp: Column) -> DataFrame:
+    """The alternative answer (rows of ``job_answer_nearest``) in the exchange form, one row a job.
+
+    Sections stand in their rank; the analysis has an entry for each body block near to each of them, in the same order.
+    """
+    section = F.struct(
+        "rank",
+        F.struct(
+            F.col("doc_id").cast("string").alias("document"),
+            "section_title",
+            F.col("rank").alias("importance_rank"),
+            F.col("page").alias("page_number"),
+        ).alias("entry"),
+    )
+    body = F.struct(
+        "rank",
+        "near_rank",
+        F.struct(F.col("doc_id").cast("string").alias("document"), "refined_text", F.col("page").alias("page_number")).alias("entry"),
+    )
+    entries = answer.groupBy("job_id").agg(
+        F.array_sort(F.collect_set(section)).alias("_sections"),
+        F.array_sort(F.collect_list(F.when(F.col("refined_text").isNotNull(), body))).alias("_bodies"),
+    )
+    kinds = dict(entries.dtypes)
+
+    def part(name: str) -> Column:
+        return F.transform(F.coalesce(F.col(name), F.array().cast(kinds[name])), lambda s: s["entry"])
+
+    return _with_metadata(jobs, manifest, stamp).join(entries, "job_id", "left").select(
+        "job_id", "metadata", part("_sections").alias("extracted_sections"), part("_bodies").alias("subsection_analysis")
+    )
+
+
+def _with_metadata(jobs: DataFrame, manifest: DataFrame, stamp: Column) -> DataFrame:
+    """(job_id, metadata): the listed documents in request order, who asks for what, and the time."""
+    documents = manifest.groupBy("job_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("doc_ord", "doc_id"))),
+            lambda d: d["doc_id"].cast("string"),
+        ).alias("_docs")
+    )
     metadata = F.struct(
         F.coalesce("_docs", F.array().cast("array<string>")).alias("input_documents"),
         F.col("persona"),
         F.col("task").alias("job_to_be_done"),
         F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("processing_timestamp"),
     )
-    return (
-        jobs.join(documents, "job_id", "left")
-        .join(entries, "job_id", "left")
-        .select(
-            "job_id",
-            metadata.alias("metadata"),
-            sections.alias("extracted_sections"),
-            analysis.alias("subsection_analysis"),
-        )
-    )
+    return jobs.join(documents, "job_id", "left").select("job_id", metadata.alias("metadata"))

@@ -138,7 +138,7 @@ def doc_titles(
 ) -> DataFrame:
     """One title a document: merged title blocks, page 1 preferred, largest font, first on ties."""
     titles = merge_blocks(
-        blocks.filter(F.col("label") == "title"), doc=doc, largest=largest, limit=limit
+        blocks.filter(F.col("label") == "title").drop("n_lines"), doc=doc, largest=largest, limit=limit
     )
     ranked = titles.select(
         doc,

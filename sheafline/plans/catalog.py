@@ -32,4 +32,5 @@ def load() -> None:
         metric_queries,
         model_queries,
         outline_queries,
+        workflow_queries,
     )

@@ -268,6 +268,34 @@ def gaps_sql(body: str) -> str:
     return sql(body).replace(CTES["blocks"], GAPS)
 
 
+_PREDICTED = "list_extract(['title', 'H1', 'H2', 'H3', 'H4', 'Body', 'Other'], cast((doc_id * 3 + line_no) % 7 as int) + 1)"
+
+# The labelled blocks of the whole workflow: merged titles, rule, gate, styles of documents of few sizes, levels.
+WORKFLOW = f"""select * exclude (n_sizes, rn, low, styled), case when {LEVEL.format(x='styled')} is null then styled
+  else list_extract(['title', 'H1', 'H2', 'H3', 'H4'], cast(rn + least(0, low) + 1 as int)) end as label
+ from (select *, min(case when {LEVEL.format(x='styled')} is not null then {LEVEL.format(x='styled')} - rn end) over
+     (partition by doc_id order by page, y_center, line_no rows unbounded preceding) as low
+  from (select *, count({LEVEL.format(x='styled')}) over
+      (partition by doc_id order by page, y_center, line_no rows unbounded preceding) as rn
+   from (select *, case when n_sizes <= 2 and old_label = 'Other' then case
+       when regexp_matches({strip('text')}, '^[0-9]+\\.([0-9]+\\.?)?\\s') then 'H2'
+       when {opens_with(f'lower({strip("text")})', ["chapter", "section", "part"])} then 'H1' else old_label end else old_label end as styled
+    from (select *, len(list(distinct round_even(font_size, 1)) over (partition by doc_id)) as n_sizes,
+       case when confidence >= 0.6::double and line_no % 9 <> 0 then {_PREDICTED} else rule_label end as old_label
+     from (select * exclude (av, mx), (line_no % 10) / 10.0::double as confidence, {RULE} as rule_label
+      from (select *, (x0 + x1) / 2 as x_center, (y0 + y1) / 2 as y_center, avg(font_size) over (partition by doc_id) as av,
+        max(font_size) over (partition by doc_id) as mx from merged_titles))))))"""
+
+
+def workflow_sql(body: str) -> str:
+    """``sql`` over what the whole workflow makes of the lines."""
+    names = [n for n in CTES if n in ("lines", "blocks", "title_in", "title_fold", "merged_titles")]
+    inner = ",\n".join(f"{n} as {CTES[n]}" if CTES[n].startswith("(") else f"{n} as ({CTES[n]})" for n in names)
+    shares = CTES["shares"].replace("from blocks", "from labelled")
+    out = sql(body).replace(CTES["labelled"], f"with recursive {inner}\n{WORKFLOW}")
+    return out.replace(CTES["shares"], shares)
+
+
 def sql(body: str) -> str:
     """``body`` with the named sub-queries it needs, directly or through others."""
     wanted: set[str] = set()
