@@ -17,6 +17,7 @@ from ..sources import requests as rq
 from ..sources import spans as sp
 from ..sources import tabular as tb
 from ..streaming.incremental import incremental_classify as stream_classify
+from ..streaming.pieces import gather_documents
 from . import fixtures as fx
 from . import oracles as oc
 from .answer_queries import job_answer
@@ -365,3 +366,22 @@ def incremental_classify(spark, sf):
     )
     run.awaitTermination()
     return spark.read.parquet(f"{out}/outlines").drop("batch")
+
+
+@register(
+    "documents_in_pieces",
+    oc.sql("select t.doc_id, title, seq, level, text, page from titles t left join outline o using (doc_id)"),
+)
+def documents_in_pieces(spark, sf):
+    """Every document comes in three pieces, in other files and micro-batches, with a restart before the last."""
+    inbox, out, progress = (scratch_path(spark, name) for name in ("pieces", "gathered", "state"))
+    b = fx.blocks(spark, sf)
+    counts = b.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.min("line_no").alias("_first"))
+    whole = b.join(counts, "doc_id").withColumn("n_blocks", F.when(F.col("line_no") == F.col("_first"), F.col("n_blocks")))
+    for k in range(3):
+        piece = whole.filter(F.pmod(F.col("line_no") + F.col("doc_id"), F.lit(3)) == k)
+        arrays = bj.block_arrays(piece, bj.nested_block(("doc_id", "line_no", "n_blocks")))
+        arrays.select("value").coalesce(2).write.mode("append").text(inbox)
+        if k:
+            gather_documents(spark, inbox, out, progress, files_per_batch=2).awaitTermination()
+    return spark.read.parquet(f"{out}/outlines").drop("batch")
