@@ -25,6 +25,14 @@ def stage_counts(stages: dict[str, DataFrame], doc: str = "doc_id") -> DataFrame
     return reduce(DataFrame.unionByName, counts)
 
 
+def reached_counts(blocks: DataFrame, stages: dict[str, Column], doc: str = "doc_id") -> DataFrame:
+    """Documents with a block for which each stage's condition holds: one pass over the blocks for all stages."""
+    reached = blocks.groupBy(doc).agg(*[F.bool_or(F.coalesce(c, F.lit(False))).alias(name) for name, c in stages.items()])
+    counts = reached.agg(*[F.count_if(F.col(name)).alias(name) for name in stages])
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("stage"), F.col(name).alias("n")) for name in stages]))
+    return counts.select(rows.alias("_r")).select("_r.*")
+
+
 def listed_documents(manifest: DataFrame, documents: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Documents of each request that exist, with their columns."""
     return manifest.join(documents, doc)

@@ -108,8 +108,8 @@ def category_codes(
 ) -> DataFrame:
     """0-based rank among the sorted distinct values (per ``keys``, or over all rows); null is -1.
 
-    Only distinct values are ranked. Over all rows they are ranked inside their first character and
-    shifted by the values before it, so no task sorts them all.
+    Only distinct values are ranked. Over all rows, beyond the row limit, they are dealt into ranges that are ranked apart and
+    shifted by the values before, so no task sorts them all and no first letter is a hot key.
     """
     if keys and od.is_bounded(largest, limit):
         w = W.partitionBy(*keys).orderBy(F.col(column).asc_nulls_last())
@@ -131,18 +131,10 @@ def category_codes(
         )
         joined = od.join_keys(df.withColumn("_salt", chunk), codes, [*keys, column, "_salt"])
         return joined.drop("_salt").withColumn(out, F.coalesce(out, F.lit(-1)))
-    first = F.substring(column, 1, 1)
-    values = df.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("_p", first)
-    # At most one row a first character: a bounded table, ranked in one place.
-    offsets = values.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = W.orderBy("_p").rowsBetween(*od.BEFORE)
-    offsets = offsets.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    codes = values.join(offsets, "_p").select(
-        column,
-        (F.row_number().over(W.partitionBy("_p").orderBy(column)) - 1 + F.col("_off"))
-        .cast("int")
-        .alias(out),
-    )
+    values = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    # Numbered as one group in order: by a window up to the row limit, beyond it in ranges of values that are stored and shifted.
+    ranked = od.numbered(values.withColumn("_all", F.lit(0)), ["_all"], [column], out, largest=None, limit=limit)
+    codes = ranked.select(column, (F.col(out) - 1).alias(out))
     return df.join(codes, column, "left").withColumn(out, F.coalesce(out, F.lit(-1)))
 
 

@@ -202,12 +202,9 @@ def stage_counts(spark, sf):
     from ..operators import answers as an
     from ..operators import outline as ol
 
-    b = fx.labelled(spark, sf)
-    seen = fx.table(spark, sf, "labels").select("doc_id")
-    return an.stage_counts(
-        {
-            "extracted": b,
-            "classified": b.join(seen, "doc_id", "left_semi"),
-            "outlined": ol.outline(b, largest=fx.largest_document(spark, sf)),
-        }
+    seen = fx.table(spark, sf, "labels").select("doc_id").distinct().withColumn("_seen", F.lit(True))
+    b = lb.with_uniform_relabel(fx.labelled(spark, sf), largest=fx.largest_document(spark, sf))
+    heading = F.col("label").isin(ol.OUTLINE_LEVELS) & (tx.clean_text(F.col("text")) != "")
+    return an.reached_counts(
+        b.join(seen, "doc_id", "left"), {"extracted": F.lit(True), "classified": F.col("_seen"), "outlined": heading}
     )

@@ -7,7 +7,8 @@ too old to be read, and a run that only reads what is there (``availableNow``) e
 ended in the micro-batch. What comes after a document was given out is kept apart as ``late``.
 
 A line number that comes again is ignored. Of a document's lines only the numbers seen are held in memory, as intervals; its
-blocks are read from the state as a stream. Lines without a number or a document, and what is no array, go to ``broken``.
+blocks are read from the state as a stream. Lines without a document, and what is no array, go to ``broken``; a line
+without a number has its place in its array.
 """
 
 from __future__ import annotations
