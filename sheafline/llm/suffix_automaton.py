@@ -4,9 +4,10 @@ The automaton holds the words of all benchmark items. A document's words are str
 length of the longest match at each word tell which item windows end there. Words inside such a window are hit, and
 the hit spans can be reported, or removed when they pass a length or coverage limit.
 
-Scale: the documents are only mapped, never shuffled. The items are a stated query set; their words are counted
-first, and items beyond ``shard_words`` words are dealt over several automata, one pass each, so that what is
-broadcast has a fixed bound. Memory in a task: one batch of texts and one automaton.
+Scale: the items are a stated query set; their words are counted first, and items beyond ``shard_words`` words are dealt over several
+automata, one pass over the documents each: what the driver builds and a task opens at a time is one automaton of bounded size. With
+one automaton the documents are only mapped; with several, each pass gives the spans of the documents that it hits, and they are
+merged by document.
 
 Defined results: a null or empty document has no words; a null or empty item has no window; an item with fewer words
 than a window is one window; repeated items count each by its id; a null item id is skipped.
@@ -16,12 +17,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
+from .frames import fresh, stored
 
 WINDOW = 10
 SHARD_WORDS = 500_000
@@ -185,35 +189,69 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_words, spans, item_ids): hit word spans [start, end) and the ids, sorted as strings, of the items found."""
-    sc = docs.sparkSession.sparkContext
-    shards = [sc.broadcast(vars(a)) for a in automata(items, window, shard_words)]
+_SPANS = "id {kind}, n_words bigint, spans array<struct<start:int,end:int>>, item_ids array<string>"
+
+
+def _scanned(rows: DataFrame, automaton: Automaton, all_rows: bool) -> DataFrame:
+    """(id, n_words, spans, item_ids) of rows (id, text): of all, or of those that one automaton hits."""
+    shared = rows.sparkSession.sparkContext.broadcast(vars(automaton))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [Automaton.of(shard.value) for shard in shards]
+        machine = Automaton.of(shared.value)
+        span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         for batch in batches:
-            counts, spans, ids = [], [], []
-            for text in tb.text_column(batch):
+            at, counts, spans, ids = [], [], [], []
+            for i, text in enumerate(tb.text_column(batch)):
                 words = words_of(text.as_py())
-                where, which = [], set()
-                for automaton in machines:
-                    own, found = automaton.scan(words)
-                    where += own
-                    which.update(str(automaton.items[k]) for k in found)
-                counts.append(len(words))
-                spans.append([{"start": a, "end": b} for a, b in _merged(where)])
-                ids.append(sorted(which))
-            span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+                where, found = machine.scan(words)
+                if where or all_rows:
+                    at.append(i)
+                    counts.append(len(words))
+                    spans.append([{"start": a, "end": b} for a, b in _merged(where)])
+                    ids.append(sorted({str(machine.items[k]) for k in found}))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(ids, pa.list_(pa.string()))],
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(ids, pa.list_(pa.string()))],
                 names=["id", "n_words", "spans", "item_ids"],
             )
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), "text")
-    schema = f"id {id_type}, n_words bigint, spans array<struct<start:int,end:int>>, item_ids array<string>"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.select("id", "text").mapInArrow(run, _SPANS.format(kind=rows.schema["id"].dataType.simpleString()))
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` stored with a number for each row, and its name: later passes find the same row by it."""
+    name = fresh(docs, "_row")
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
+def _merged_passes(rows: DataFrame, machines: Iterator[Automaton]) -> DataFrame:
+    """(id, n_words, spans, item_ids) of the rows that any of several automata hits, one stored pass an automaton."""
+    passes = [stored(_scanned(rows, machine, False), "hits") for machine in machines]
+    every = reduce(DataFrame.unionByName, passes)
+    spans = F.array_sort(F.flatten(F.collect_list("spans")))  # of one document, from as many passes as there are automata
+    per = every.groupBy("id").agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def add(done, x):
+        top = F.element_at(done, -1)
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(top["start"].alias("start"), F.greatest(top["end"], x["end"]).alias("end"))))
+        return F.when((F.size(done) > 0) & (x["start"] <= F.try_element_at(done, F.lit(-1))["end"]), joined).otherwise(F.concat(done, F.array(x)))
+
+    return per.withColumn("spans", F.aggregate("spans", none, add))
+
+
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_words, spans, item_ids): hit word spans [start, end) and the ids, sorted as strings, of the items found."""
+    machines = automata(items, window, shard_words)
+    first, more = next(machines), next(machines, None)
+    if more is None:
+        return _scanned(docs.select(F.col(id_col).alias("id"), "text"), first, True).withColumnRenamed("id", id_col)
+    rows, name = _numbered(docs.select(F.col(id_col).alias("id"), "text"))
+    keyed = rows.select(F.col(name).alias("id"), "text")
+    found = _merged_passes(keyed, chain([first, more], machines)).withColumnRenamed("id", name)
+    none = {"spans": "array<struct<start:int,end:int>>", "item_ids": "array<string>"}
+    words = _scanned(keyed, Automaton([], window), True).select(F.col("id").alias(name), F.col("n_words").alias("_n"))
+    out = rows.select("id", name).join(words, name).join(found, name, "left")
+    return out.select(F.col("id").alias(id_col), F.col("_n").alias("n_words"), *[F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in none.items()])
 
 
 def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -239,19 +277,26 @@ def remove_spans(
     start of the next one; a document with more than ``max_share`` of its words hit is dropped. ``n_chars``, if there
     is one, follows the new text. Other texts and columns stay as they are.
     """
-    sc = docs.sparkSession.sparkContext
-    shards = [sc.broadcast(vars(a)) for a in automata(items, window, shard_words)]
+    machines = automata(items, window, shard_words)
+    first, more = next(machines), next(machines, None)
+    shared = given = None
+    names = docs.columns
+    if more is None:
+        shared = docs.sparkSession.sparkContext.broadcast(vars(first))
+        rows = docs
+    else:  # the spans of all passes come with the row
+        rows, row = _numbered(docs)
+        given = fresh(rows, "_spans")
+        found = _merged_passes(rows.select(F.col(row).alias("id"), "text"), chain([first, more], machines))
+        rows = rows.join(found.select(F.col("id").alias(row), F.col("spans").alias(given)), row, "left").select(*names, given)
     text_at = docs.columns.index("text")
     chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
-    def cut(text: str, machines: list[Automaton]) -> str | None:
+    def cut(text: str, find) -> str | None:
         raw = text.encode()
         flat = raw.translate(KEPT)
         words = flat.split()
-        spans: list[tuple[int, int]] = []
-        for automaton in machines:
-            spans += automaton.scan(words)[0]
-        spans = [(a, b) for a, b in _merged(spans) if b - a >= min_words or b - a < window]
+        spans = [(a, b) for a, b in _merged(find(words)) if b - a >= min_words or b - a < window]
         if not spans:
             return text
         if sum(b - a for a, b in spans) > max_share * len(words):
@@ -269,20 +314,25 @@ def remove_spans(
         return (b"".join(kept) + raw[at:]).decode(errors="ignore")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [Automaton.of(shard.value) for shard in shards]
+        machine = Automaton.of(shared.value) if shared else None
         for batch in batches:
             column = batch.column(text_at)
-            texts = [None if t is None else cut(t, machines) for t in column.to_pylist()]
+            if machine:
+                finds = [lambda words: machine.scan(words)[0]] * batch.num_rows
+            else:
+                held = batch.column(len(names)).to_pylist()
+                finds = [lambda words, own=own: [(x["start"], x["end"]) for x in own or ()] for own in held]
+            texts = [None if t is None else cut(t, find) for t, find in zip(column.to_pylist(), finds)]
             changed = [i for i, (old, new) in enumerate(zip(column, texts)) if new is not None and old.as_py() != new]
-            columns = list(batch.columns)
+            columns = list(batch.columns)[: len(names)]
             columns[text_at] = pa.array(texts, column.type)
             if chars_at is not None and changed:
                 counts = batch.column(chars_at).to_pylist()
                 for i in changed:
                     counts[i] = len(texts[i])
                 columns[chars_at] = pa.array(counts, columns[chars_at].type)
-            out = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[: len(names)])
             stays = pa.array([new is not None or not old.is_valid for old, new in zip(column, texts)], pa.bool_())
             yield out.filter(stays)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)

@@ -119,3 +119,16 @@ def test_draws_under_one_hot_id(spark):
     hot = spark.createDataFrame([(None, f"words {i}", "en") for i in range(2000)] + [(i, "mots", "fr") for i in range(20)], "doc_id bigint, text string, lang string")
     labels, _ = byte_rnn.fit(hot, F.lit(True), per_language=10, windows=1)
     assert set(labels) <= {"en", "fr"}
+
+
+def test_benchmark_items_over_many_automata(spark, docs):
+    """One pass an automaton: the same hits, item ids and cut texts as with one, for repeated ids and clashing names too."""
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    texts = [r["text"] for r in bench.orderBy("item_id").limit(6).collect()]
+    rows = [(1, f"{A} {texts[0]} {B}"), (1, f"{texts[1]} {C}"), (None, texts[2]), (5, f"{texts[3]} {texts[4]} {A} {B}"), (6, D), (7, None), (8, "")]
+    df = named(spark, rows).withColumns({"_row": F.lit(1), "_spans": F.lit("x")})
+    for table in (df, docs):
+        one, many = (sorted(map(str, suffix_automaton.contamination(table, bench, shard_words=n).collect())) for n in (10**6, 150))
+        assert one == many and any("contaminated=True" in r for r in one)
+        one, many = (sorted(map(str, suffix_automaton.remove_spans(table, bench, shard_words=n).collect())) for n in (10**6, 150))
+        assert one == many
