@@ -4,10 +4,16 @@ A group grows line by line in reading order, and whether the next line joins dep
 head of the group so far, so the merge is a fold, not a lag. To keep folds small the lines are first
 cut into segments at places where no merge can happen whatever the group looks like (that part *is* a
 lag); only a segment is gathered into an array and folded.
+
+A segment of very many lines is folded in chunks. What a chunk needs from those before it is the open group's head and box, a state of
+fixed size, so every chunk is first folded as if a group began with it. Then each is entered with the state that the one before it
+left: as soon as a line begins a group both ways, the rest is the same, and the state it leaves was right from the start. Chunks
+that are left in another state than supposed are entered again, until none is. No frame holds more than a chunk.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -17,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from . import ordering as od
 from .labels import BOLD_WEIGHT, is_centred
 from .ordering import attach_stats
@@ -28,8 +35,9 @@ SIZE_REACH = 1
 CENTRE_GAP = 50
 WEIGHT_REACH = 100
 
-# Segments up to this many lines are folded by an array expression, longer ones line by line.
+# Segments up to this many lines are folded by an array expression, longer ones line by line, very long ones in chunks.
 FOLD_ROWS = 2_000
+CHUNK_ROWS = 100_000
 
 
 def _within(a, b, reach):
@@ -83,6 +91,7 @@ def _fold(
     order: Sequence[str],
     joins: Callable,
     largest: int | None,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Greedy left fold of every segment; ``joins(group, line)`` decides.
 
@@ -94,11 +103,136 @@ def _fold(
     """
     if largest is not None and largest <= FOLD_ROWS:
         return _fold_arrays(df, keys, order, joins)
-    sized = df.withColumn("_length", F.count("*").over(W.partitionBy(*keys, "_segment")))
+    where = [*keys, "_segment"]
+    very_long = None
+    chunk_rows = chunk_rows or CHUNK_ROWS
+    if largest is None or largest > chunk_rows:
+        # Counted and parted without a window: a page with a third of all rows goes into no single task.
+        sizes = df.groupBy(*where).agg(F.count("*").alias("_length")).filter(F.col("_length") > chunk_rows).select(*where)
+        sizes = cut_lineage(sizes)
+        if not sizes.isEmpty():
+            very_long = od.join_keys(df, sizes, where, "left_semi")
+            df = od.join_keys(df, sizes, where, "left_anti")
+    sized = df.withColumn("_length", F.count("*").over(W.partitionBy(*where)))
     short = sized.filter(F.col("_length") <= FOLD_ROWS).drop("_length")
     long = sized.filter(F.col("_length") > FOLD_ROWS).drop("_length")
     folded = _fold_arrays(short, keys, order, joins)
-    return folded.unionByName(_fold_lines(long, keys, order, joins, folded.schema))
+    folded = folded.unionByName(_fold_lines(long, keys, order, joins, folded.schema))
+    if very_long is None:
+        return folded
+    return folded.unionByName(fold_in_chunks(very_long, keys, order, joins, chunk_rows).select(folded.columns))
+
+
+_STATE = ("font_name", "font_size", "merge_weight", "x0", "y0", "x1", "y1", "x_center", "y_center")
+
+
+class _Open:
+    """The open group of a fold: what tests look at, no text."""
+
+    def __init__(self, joins: Callable, values: dict):
+        self.joins, self.values = joins, values
+
+    def take(self, line: dict) -> bool:
+        """Whether ``line`` joins; if not, it begins the next group."""
+        group = self.values
+        if group and self.joins(group, line):
+            for side, pick in (("x0", np.fmin), ("y0", np.fmin), ("x1", np.fmax), ("y1", np.fmax)):
+                group[side] = float(pick(group[side], line[side]))
+            group["x_center"] = (group["x0"] + group["x1"]) / 2
+            group["y_center"] = (group["y0"] + group["y1"]) / 2
+            return True
+        self.values = dict(line)
+        return False
+
+
+def _records(frame: pd.DataFrame, names: Sequence[str]) -> list[dict]:
+    unknown = float("nan")
+    held = frame.sort_values("_pos")[list(names)].to_dict("records")
+    return [{k: unknown if v is None else v for k, v in line.items()} for line in held]
+
+
+def _heads(joins: Callable, lines: list[dict], entry: dict | None) -> tuple[list[bool], dict]:
+    """Which lines begin a group, entered with an open group or none, and the group left open."""
+    group = _Open(joins, dict(entry) if entry else {})
+    heads = [not group.take(line) for line in lines]
+    return heads, group.values
+
+
+def _as_text(state: dict, names: Sequence[str]) -> str:
+    return json.dumps([None if v != v else v for v in (state[n] for n in names)])
+
+
+def _as_state(text: str, names: Sequence[str]) -> dict:
+    return {n: float("nan") if v is None else v for n, v in zip(names, json.loads(text))}
+
+
+def fold_in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], joins: Callable, rows: int) -> DataFrame:
+    """The greedy fold of segments of any length, with frames of at most ``rows`` lines; see the module."""
+    names = [c for c in _STATE if c in df.columns]
+    where = [*keys, "_segment"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*where).schema.fields)
+    placed = od.numbered(df, where, list(order), "_pos", limit=max(rows, 2)).withColumn("_part", F.floor((F.col("_pos") - 1) / rows).cast("int"))
+    placed = cut_lineage(placed)
+    lines = placed.select(*where, "_part", "_pos", *names)
+
+    def leave(frame: pd.DataFrame) -> pd.DataFrame:
+        """The state that a chunk leaves when it is entered with ``_entry``."""
+        entry = frame["_entry"].iloc[0]
+        _, state = _heads(joins, _records(frame, names), _as_state(entry, names) if entry is not None else None)
+        return frame[[*where, "_part"]].iloc[:1].assign(_entry=entry, _left=_as_text(state, names))
+
+    def run(chunks: DataFrame) -> DataFrame:
+        """(where, _part, _entry) -> the same with ``_left``."""
+        met = od.join_keys(lines, chunks, [*where, "_part"], "inner")
+        return cut_lineage(met.groupBy(*where, "_part").applyInPandas(leave, f"{kinds}, _part int, _entry string, _left string"))
+
+    known = run(lines.select(*where, "_part").distinct().withColumn("_entry", F.lit(None).cast("string")))
+    while True:
+        before = known.select(*where, (F.col("_part") + 1).alias("_part"), F.col("_left").alias("_given"))
+        supposed = od.join_keys(known, before, [*where, "_part"])
+        wrong = supposed.filter(~F.col("_entry").eqNullSafe(F.col("_given")))
+        again = cut_lineage(wrong.select(*where, "_part", F.col("_given").alias("_entry")))
+        if again.isEmpty():
+            break
+        fresh = run(again)
+        rest = od.join_keys(known, again.select(*where, "_part"), [*where, "_part"], "left_anti")
+        known = cut_lineage(rest.unionByName(fresh))
+
+    def mark(frame: pd.DataFrame) -> pd.DataFrame:
+        entry = frame["_entry"].iloc[0]
+        heads, _ = _heads(joins, _records(frame, names), _as_state(entry, names) if entry is not None else None)
+        return frame.sort_values("_pos")[[*where, "_pos"]].assign(_head=heads)
+
+    entered = od.join_keys(lines, known.select(*where, "_part", "_entry"), [*where, "_part"], "inner")
+    heads = entered.groupBy(*where, "_part").applyInPandas(mark, f"{kinds}, _pos int, _head boolean")
+    marked = od.join_keys(placed, heads, [*where, "_pos"], "inner")
+    grouped = od.running_sum(marked, where, ["_pos"], {"_group": F.col("_head").cast("int")}, limit=max(rows, 2))
+    return _closed_groups(grouped, [*where, "_group"]).drop("_segment")
+
+
+def _closed_groups(lines: DataFrame, where: Sequence[str]) -> DataFrame:
+    """One row a group: its head's columns, the union of the boxes, the texts in order, ``y_head`` and ``n_lines``."""
+    own = [c for c in lines.columns if c not in (*where, "_pos", "_part", "_head")]
+
+    def side(name: str, pick: Callable[[Column], Column]) -> Column:
+        known = F.when(~F.isnan(name), F.col(name))
+        return pick(known).alias(f"_{name}")
+
+    texts = F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("text", F.lit("")).alias("t"))))  # the text of one group is one row
+    per = lines.groupBy(*where).agg(
+        F.min_by(F.struct(*own), "_pos").alias("_first"),
+        *[side(c, F.min) for c in ("x0", "y0")],
+        *[side(c, F.max) for c in ("x1", "y1")],
+        F.array_join(F.transform(texts, lambda x: x["t"]), " ").alias("_text"),
+        F.count("*").cast("int").alias("n_lines"),
+    )
+    many = F.col("n_lines") > 1
+    changed = {
+        "text": F.col("_text"), "x0": F.col("_x0"), "y0": F.col("_y0"), "x1": F.col("_x1"), "y1": F.col("_y1"),
+        "x_center": (F.col("_x0") + F.col("_x1")) / 2, "y_center": (F.col("_y0") + F.col("_y1")) / 2,
+    }
+    columns = [F.when(many, changed[c]).otherwise(F.col(f"_first.{c}")).alias(c) if c in changed else F.col(f"_first.{c}").alias(c) for c in own]
+    return per.select(*where, *columns, F.col("_first.y_center").alias("y_head"), "n_lines").drop("_group")
 
 
 def _fold_lines(
@@ -189,6 +323,7 @@ def merge_titles(
     doc: str = "doc_id",
     largest: int | None = None,
     limit: int | None = None,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Join title-like lines that follow each other closely on a page.
 
@@ -226,7 +361,7 @@ def merge_titles(
             & _within(group["font_size"], nxt["font_size"], SIZE_REACH)
         )
 
-    folded = _fold(cut.filter("_titleish").drop("_titleish"), keys, order, joins, largest)
+    folded = _fold(cut.filter("_titleish").drop("_titleish"), keys, order, joins, largest, chunk_rows)
     return plain.unionByName(folded.select(*blocks.columns, "n_lines"))
 
 
@@ -236,6 +371,7 @@ def merge_blocks(
     label: str = "label",
     largest: int | None = None,
     limit: int | None = None,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Join neighbouring lines of one label: same page and font, near in size, weight and height.
 
@@ -268,4 +404,4 @@ def merge_blocks(
             out = out & _within(group["merge_weight"], nxt["merge_weight"], WEIGHT_REACH)
         return out
 
-    return _fold(cut, keys, order, joins, largest).select(*blocks.columns, "n_lines", "y_head")
+    return _fold(cut, keys, order, joins, largest, chunk_rows).select(*blocks.columns, "n_lines", "y_head")

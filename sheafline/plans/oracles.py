@@ -314,3 +314,13 @@ def sql(body: str) -> str:
         if name in wanted
     ]
     return "with recursive " + ",\n".join(parts) + "\n" + body
+
+
+ORACLE_REPAIR = sql(
+    f"""select doc_id, line_no, label as old_label,
+ list_extract(['title', 'H1', 'H2', 'H3', 'H4'], cast(rn + least(0, min(cur - rn) over
+   (partition by doc_id order by page, y_center, line_no rows unbounded preceding)) + 1 as int)) as new_label
+ from (select *, {LEVEL.format(x='label')} as cur,
+   row_number() over (partition by doc_id order by page, y_center, line_no) rn
+   from labelled where label in ('title', 'H1', 'H2', 'H3', 'H4'))"""
+)

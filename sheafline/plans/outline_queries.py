@@ -29,6 +29,41 @@ def merge_blocks(spark, sf):
     )
 
 
+@register("merge_titles_chunked", oc.sql("select * from merged_titles"))
+def merge_titles_chunked(spark, sf):
+    """The same merge where no bound is known: lines in ranges, and every segment of over one line in chunks of one."""
+    merged = mg.merge_titles(fx.blocks(spark, sf), limit=2000, chunk_rows=1)
+    return merged.select(
+        "doc_id", "line_no", "page", "text", "font_size", "font_name", "weight",
+        "x0", "y0", "x1", "y1", "n_lines",
+    )
+
+
+@register("merge_blocks_chunked", oc.sql("select * from merged_blocks"))
+def merge_blocks_chunked(spark, sf):
+    """The same merge where no bound is known: lines in ranges, and segments of over three lines in chunks of three."""
+    merged = mg.merge_blocks(fx.labelled(spark, sf), limit=2000, chunk_rows=3)
+    return merged.select(
+        "doc_id", "line_no", "page", "label", "text", "font_size", "font_name",
+        "x0", "y0", "x1", "y1", "y_head", "n_lines",
+    )
+
+
+@register("repair_levels_ranged", oc.ORACLE_REPAIR)
+def repair_levels_ranged(spark, sf):
+    """The level repair where documents are cut into ranges of lines."""
+    out = ol.repair_levels(fx.labelled(spark, sf), limit=20)
+    return out.filter(F.col("label").isin(ol.LEVELS)).select(
+        "doc_id", "line_no", F.col("label").alias("old_label"), "new_label"
+    )
+
+
+@register("outline_ranged", oc.sql("select doc_id, seq, level, text, page from outline"))
+def outline_ranged(spark, sf):
+    """The outline where documents are cut into ranges of lines."""
+    return ol.outline(fx.labelled(spark, sf), limit=20)
+
+
 @register("doc_title", oc.sql("select doc_id, title from titles"))
 def doc_title(spark, sf):
     return ol.doc_titles(fx.labelled(spark, sf), largest=fx.largest_document(spark, sf))
@@ -36,14 +71,7 @@ def doc_title(spark, sf):
 
 @register(
     "repair_levels",
-    oc.sql(
-        f"""select doc_id, line_no, label as old_label,
- list_extract(['title', 'H1', 'H2', 'H3', 'H4'], cast(rn + least(0, min(cur - rn) over
-   (partition by doc_id order by page, y_center, line_no rows unbounded preceding)) + 1 as int)) as new_label
- from (select *, {oc.LEVEL.format(x='label')} as cur,
-   row_number() over (partition by doc_id order by page, y_center, line_no) rn
-   from labelled where label in ('title', 'H1', 'H2', 'H3', 'H4'))"""
-    ),
+    oc.ORACLE_REPAIR,
 )
 def repair_levels(spark, sf):
     out = ol.repair_levels(fx.labelled(spark, sf), largest=fx.largest_document(spark, sf))

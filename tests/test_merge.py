@@ -86,7 +86,7 @@ def plain_blocks(rows):
 
 
 def facts(rows):
-    return sorted((r["doc_id"], r["line_no"], r["text"], r["x0"], r["y0"], r["x1"], r["y1"], r["y_center"]) for r in rows)
+    return sorted(((r["doc_id"], r["line_no"], r["text"], r["x0"], r["y0"], r["x1"], r["y1"], r["y_center"]) for r in rows), key=str)
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -116,6 +116,20 @@ def test_long_segments_go_line_by_line(spark, monkeypatch):
     assert facts(r.asDict() for r in mg.merge_blocks(df).collect()) == facts(plain_blocks(as_dicts(rows)))
 
 
+@pytest.mark.parametrize("rows", [3, 7, 50])
+def test_very_long_segments_go_in_chunks(spark, monkeypatch, rows):
+    monkeypatch.setattr(mg, "FOLD_ROWS", 2)
+    monkeypatch.setattr(mg, "CHUNK_ROWS", rows)
+    lines = random_blocks(11, docs=3, lines=60)
+    lines += [(None, *r[1:]) for r in random_blocks(12, docs=1, lines=60)]
+    # One group over many chunks, and a drift where each chunk depends on the one before.
+    lines += [(70, i, 1, str(i), 12.0, "A", 400, 0.0, 0.1 * i, 10.0, 0.1 * i + 1, 5.0, 0.1 * i, "Body") for i in range(40)]
+    lines += [(71, i, 1, str(i), 12.0, "A", 400, 0.0, 30.0 * i, 10.0, 30.0 * i + 10, 5.0, 30.0 * i + 5, "Body") for i in range(60)]
+    df = spark.createDataFrame(lines, SCHEMA).repartition(3)
+    assert facts(r.asDict() for r in mg.merge_titles(df).collect()) == facts(plain_titles(as_dicts(lines)))
+    assert facts(r.asDict() for r in mg.merge_blocks(df).collect()) == facts(plain_blocks(as_dicts(lines)))
+
+
 def column(spark, sizes, step=20.0):
     rows = [
         (1, i, 1, str(i), s, "A", 400, 0.0, step * i, 10.0, step * i + 10, 5.0, step * i + 5, "Body")
