@@ -122,3 +122,81 @@ def merge_semantic(
     return merged.unionByName(alone).unionByName(rest.withColumn("n_lines", F.lit(1)))
 
 
+CALL_ROWS = 5_000
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row; 0 where a vector is zero."""
+    scale = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+    return np.divide((a * b).sum(axis=1), scale, out=np.zeros(len(a)), where=scale > 0)
+
+
+def _wave_fold(model: Callable[[list[str]], np.ndarray], texts: list[str], starts: np.ndarray, same: float) -> tuple[np.ndarray, dict[int, str]]:
+    """(which lines begin a group, grown text of a group by its first line) for many runs, all moving on one line a round.
+
+    ``starts``: the first line of each run, and the end. The lines are encoded once; a round encodes the open groups that grew in the
+    round before, of all runs together, in one call.
+    """
+    heads = np.zeros(len(texts), bool)
+    heads[starts[:-1]] = True
+    if not len(texts):
+        return heads, {}
+    lines = np.asarray(model(texts), dtype=float)
+    open_at, at, end = starts[:-1].copy(), starts[:-1] + 1, starts[1:]
+    group = lines[open_at].copy()
+    parts: dict[int, list[str]] = {}
+    live = np.flatnonzero(at < end)
+    grown = np.zeros(len(open_at), bool)
+    while len(live):
+        again = live[grown[live]]
+        if len(again):
+            group[again] = np.asarray(model([" ".join(parts[k]) for k in open_at[again].tolist()]), dtype=float)
+            grown[again] = False
+        joins = _cosines(group[live], lines[at[live]]) > same
+        for k in live[joins].tolist():
+            parts.setdefault(int(open_at[k]), [texts[open_at[k]]]).append(texts[at[k]])
+        grown[live[joins]] = True
+        fresh = live[~joins]
+        heads[at[fresh]] = True
+        open_at[fresh] = at[fresh]
+        group[fresh] = lines[at[fresh]]
+        at[live] += 1
+        live = live[at[live] < end[live]]
+    return heads, {k: " ".join(held) for k, held in parts.items()}
+
+
+def merge_semantic_dense(
+    blocks: DataFrame,
+    load: Callable[[], Callable[[list[str]], np.ndarray]],
+    doc: str = "doc_id",
+    same: float = SAME_TOPIC,
+    call_rows: int = CALL_ROWS,
+) -> DataFrame:
+    """``merge_semantic`` with a user's encoder: the text of a group so far is encoded anew whenever it has grown.
+
+    ``load`` runs once a call and gives a function from texts to vectors. Runs (headings of one level and page) are dealt into calls of
+    about ``call_rows`` lines by a hash; in a call they move on together, so the model sees batches. A run of any length is one call's.
+    Null texts count as empty; null documents and pages are runs of their own; nulls in the order come first.
+    """
+    keys = [doc, "page", "label"]
+    columns = list(blocks.columns)
+    is_head = F.coalesce(F.col("label").isin(LEVELS), F.lit(False))
+    heads = blocks.filter(is_head)
+    calls = F.pmod(F.xxhash64(*keys), F.lit(-(-max(heads.count(), 1) // call_rows)))
+    schema = T.StructType([*blocks.schema.fields, T.StructField("n_lines", T.IntegerType())])
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([*keys, "y_center", "line_no"], na_position="first", ignore_index=True)
+        run = frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        starts = np.append(np.flatnonzero(np.diff(run, prepend=-1)), len(frame))
+        given = frame["text"]
+        first, text = _wave_fold(load(), given.fillna("").tolist(), starts, same)
+        at = np.flatnonzero(first)
+        out = frame.iloc[at][columns].reset_index(drop=True)
+        out["text"] = [text.get(k, given.iloc[k]) for k in at.tolist()]
+        out["n_lines"] = np.diff(np.append(at, len(frame))).astype("int32")
+        out = out.astype(object)
+        return out.where(out.notna(), None)
+
+    merged = heads.withColumn("_call", calls).groupBy("_call").applyInPandas(fold, schema)
+    return merged.unionByName(blocks.filter(~is_head).withColumn("n_lines", F.lit(1)))

@@ -1,13 +1,17 @@
 """Folds against plain loops, on random pages, and the chunked path against the plain one."""
 
 import random
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from sheafline.operators import encoders as en
 from sheafline.operators import merge as mg
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SCHEMA = (
     "doc_id bigint, line_no bigint, page int, text string, font_size double, font_name string, weight int, "
     "x0 double, y0 double, x1 double, y1 double, x_center double, y_center double, label string"
@@ -195,3 +199,44 @@ def test_semantic_merge_equals_plain_loop(spark, limit):
         (r["doc_id"], r["line_no"], r["text"]) for r in want
     )
     assert any(r["n_lines"] > 2 for r in got)
+
+
+def trigram_encoder():
+    """Not additive: a joined text has trigrams that its parts do not have."""
+    import numpy as np
+
+    def encode(texts):
+        out = np.zeros((len(texts), 16))
+        for k, t in enumerate(texts):
+            for i in range(len(t) - 2):
+                out[k, sum(map(ord, t[i : i + 3])) % 16] += 1
+        return out
+
+    return encode
+
+
+@pytest.mark.parametrize("call_rows", [5000, 20])
+def test_dense_semantic_merge_equals_a_loop_that_encodes_again(spark, call_rows):
+    rng = random.Random(6)
+    rows = [(*r[:3], rng.choice(["a b c d e", "a b c d", "x y z", "x y z z", "a x"]), *r[4:]) for r in random_blocks(5, docs=6, lines=40)]
+    rows += [(None, *r[1:]) for r in rows[:30]] + [(90, 1, 1, None, 12.0, "A", 400, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0, "H1"), (90, 2, 1, "", 12.0, "A", 400, 0.0, 0.0, 1.0, 1.0, 1.0, 2.0, "H1")]
+    model = trigram_encoder()
+
+    def similar(a, b):
+        x, y = model([a or "", b or ""])
+        scale = (x @ x * (y @ y)) ** 0.5
+        return scale > 0 and x @ y / scale > 0.8
+
+    want, dicts = [], as_dicts(rows)
+    for key in {(r["doc_id"], r["page"], r["label"]) for r in dicts if r["label"] != "Body"}:
+        groups = []
+        for row in sorted((r for r in dicts if (r["doc_id"], r["page"], r["label"]) == key), key=lambda r: (r["y_center"], r["line_no"])):
+            if groups and similar(groups[-1]["text"], row["text"]):
+                groups[-1]["text"] += " " + row["text"]
+            else:
+                groups.append(dict(row))
+        want += groups
+    want += [r for r in dicts if r["label"] == "Body"]
+    got = en.merge_semantic_dense(spark.createDataFrame(rows, SCHEMA).repartition(3), trigram_encoder, call_rows=call_rows).collect()
+    pick = lambda found: sorted(((r["doc_id"], r["line_no"], r["text"]) for r in found), key=str)
+    assert pick(got) == pick(want) and any(r["n_lines"] > 2 for r in got)
