@@ -84,6 +84,7 @@ def stretches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            tb.give_back()
             texts = tb.text_column(batch)
             for lo, part in _sliced(texts):
                 out = _stretches_of(part, window, gram)
@@ -116,6 +117,7 @@ def _with_words(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            tb.give_back()
             texts = tb.text_column(batch)
             parts_at = batch.schema.get_field_index("parts")
             parts = batch.column(parts_at)
@@ -142,6 +144,7 @@ def _with_words(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
 def _search(window: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Index the stretches of a shard and report what is repeated of each: the ends of the intervals, in turn."""
+        tb.give_back()
         group = group.drop_duplicates("same")
         texts = pa.array(group["words"], pa.binary()).cast(pa.large_binary())
         data, offsets = tb.raw_bytes(texts)

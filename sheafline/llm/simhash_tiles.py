@@ -294,6 +294,7 @@ def set_prints(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            tb.give_back()
             column = tb.text_column(batch)
             for lo, hi in tb.row_slices(column):
                 hashes, sizes = shingle_sets(column.slice(lo, hi - lo), width)
@@ -329,6 +330,7 @@ def _chosen_sets(docs: DataFrame, groups: DataFrame, n: int, width: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            tb.give_back()
             column = tb.text_column(batch)
             for lo, hi in tb.row_slices(column):
                 hashes, sizes = shingle_sets(column.slice(lo, hi - lo), width)
@@ -415,6 +417,7 @@ def candidates(nodes: DataFrame, similarity: float, tile_rows: int) -> DataFrame
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
+        tb.give_back()
         group = group.sort_values("key", kind="stable")
         nodes = group["node"].to_numpy()
         kept = _close_in_tiles(
@@ -499,6 +502,7 @@ def set_components(docs: DataFrame, nodes: DataFrame, width: int, similarity: fl
     )
 
     def check(group: pd.DataFrame) -> pd.DataFrame:
+        tb.give_back()
         nodes = group["node"].to_numpy()
         kept = _linked_sets(group, similarity)
         return pd.DataFrame({"a": [nodes[i] for i, _ in kept], "b": [nodes[j] for _, j in kept]})

@@ -363,6 +363,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(*plain.value)
         for batch in batches:
+            tb.give_back()
             texts = tb.text_column(batch, text_col)
             missing = np.asarray(batch.column(len(rest)).is_null())
             for lo, hi in tb.row_slices(texts, SLICE):

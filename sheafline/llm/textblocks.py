@@ -6,6 +6,7 @@ n-gram identities are 64-bit polynomial hashes with a random value per byte.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker serves many tasks, and what it once used counts as long as it lives."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly (the finaliser of splitmix64)."""
     h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
