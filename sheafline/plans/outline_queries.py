@@ -41,8 +41,8 @@ def merge_titles_chunked(spark, sf):
 
 @register("merge_blocks_chunked", oc.sql("select * from merged_blocks"))
 def merge_blocks_chunked(spark, sf):
-    """The same merge where no bound is known: lines in ranges, and segments of over three lines in chunks of three."""
-    merged = mg.merge_blocks(fx.labelled(spark, sf), limit=2000, chunk_rows=3)
+    """The same merge where no bound is known: lines in ranges, and segments of over eight lines in chunks of eight."""
+    merged = mg.merge_blocks(fx.labelled(spark, sf), limit=2000, chunk_rows=8)
     return merged.select(
         "doc_id", "line_no", "page", "label", "text", "font_size", "font_name",
         "x0", "y0", "x1", "y1", "y_head", "n_lines",
