@@ -46,3 +46,13 @@ def test_reads_only_what_it_needs(spark):
 def test_ranks_are_limited_before_the_shuffle(spark):
     for name in ("top_sections", "top_sections_per_doc"):
         assert "WindowGroupLimit" in plan_of(spark, name)
+
+
+def test_stages_are_counted_in_one_pass(spark):
+    """The blocks are read once for all stages, and the labels once."""
+    assert plan_of(spark, "stage_counts").count("FileScan parquet") == 2
+
+
+def test_pages_are_only_mapped(spark):
+    plan = plan_of(spark, "blocks_from_pages")
+    assert "hashpartitioning" not in plan and plan.count("FileScan parquet") == 1
