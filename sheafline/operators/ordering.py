@@ -2,9 +2,10 @@
 
 Reading order inside a document is ``(page, y_center, line_no)``. Windows over a document are fine
 while the largest document is small; the caller proves that with a row count, or the operators take
-it themselves. Beyond ``MAX_GROUP_ROWS`` the rows are range-partitioned on (group, order), so one
-hot group is spread over many chunks, and every running value is computed inside the chunks and
-then shifted by what the earlier chunks of the same group contribute (one summary row per chunk).
+it themselves. Beyond ``MAX_GROUP_ROWS`` the rows are range-partitioned on (group, order) and each
+partition is cut into chunks, so one hot group is spread over many chunks, and every running value is
+computed inside the chunks and then shifted by what the earlier chunks of the same group contribute
+(one summary row per chunk). The partitions follow from the number of rows alone, however small the chunks.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def chunked(
     largest: int | None = None,
     limit: int | None = None,
 ) -> tuple[DataFrame, bool]:
-    """Add ``_chunk``, consecutive along ``order`` inside a group.
+    """Add ``_chunk``, ascending along ``order`` inside a group; no chunk has more than ``limit`` rows.
 
     Returns the frame and whether a group may span chunks. ``largest`` is a known bound on the rows
     of a group; without it the group sizes are counted.
@@ -56,8 +57,12 @@ def chunked(
     if total is None:
         total = df.count()
     default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(default, -(-2 * total // max(limit, 1)))
-    ranged = df.repartitionByRange(parts, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
+    parts = max(default, -(-total // ROWS_PER_CHUNK))
+    ranged = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    # The identity is the partition's number and, in its 33 lower bits, the row's place: no chunk spans partitions.
+    place = F.monotonically_increasing_id()
+    row = place.bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = ranged.withColumn(CHUNK, place - row % F.lit(max(limit, 1)))
     # The range bounds are sampled, so the chunk numbers must be stored before they are relied on.
     return cut_lineage(ranged), True
 

@@ -61,7 +61,7 @@ def repair_levels(
         chunks = chunks.select(
             doc, od.CHUNK, F.min(F.col("_m") - F.col("_off")).over(over).alias("_before")
         )
-        heads = heads.join(chunks, [doc, od.CHUNK], "left")
+        heads = od.join_keys(heads, chunks, [doc, od.CHUNK])
         low = F.least(F.lit(0), F.col("_before"), F.col("_low") - F.col("_off"))
         new = F.col("_rn") + F.col("_off") + low
     else:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheafline.operators import labels as lb
+from sheafline.operators import ordering as od
 from sheafline.operators import outline as ol
 
 SCHEMA = "doc_id bigint, line_no bigint, page int, y_center double, label string, text string, font_size double, font_name string, x0 double, y0 double, x1 double, y1 double, x_center double"
@@ -67,6 +68,24 @@ def test_outline_equals_plain_loop(spark, data, limit):
         assert [(r["level"], r["text"], r["page"]) for r in mine] == want
 
 
+def test_small_chunks_need_no_partitions_of_their_own(spark, data):
+    """Chunks of at most ``limit`` rows, ascending in reading order, in no more partitions than the rows need."""
+    rows, spans = od.chunked(spark.createDataFrame(data, SCHEMA), ["doc_id"], list(od.READING_ORDER), limit=2)
+    assert spans and rows.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows.groupBy(od.CHUNK).count().agg(F.max("count")).first()[0] <= 2
+    for doc in range(8):
+        mine = sorted((r for r in rows.collect() if r["doc_id"] == doc), key=lambda r: (r["page"], r["y_center"], r["line_no"]))
+        assert [r[od.CHUNK] for r in mine] == sorted(r[od.CHUNK] for r in mine)
+
+
+def test_ranged_repair_of_a_document_without_id(spark):
+    levels = ["H4", "H4", "H4", "H1", "H3", "H2", "H4", "title", "H4"] * 4
+    rows = [(None, i, 1, float(i), label, "x", 12.0, "F", 0.0, 0.0, 1.0, 1.0, 0.5) for i, label in enumerate(levels)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plain = {r["line_no"]: r["new_label"] for r in ol.repair_levels(df, limit=1000).collect()}
+    assert {r["line_no"]: r["new_label"] for r in ol.repair_levels(df, limit=5).collect()} == plain
+
+
 def test_invariants_on_the_blocks(spark):
     from sheafline.plans import fixtures as fx
 
