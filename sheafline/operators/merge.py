@@ -8,7 +8,8 @@ lag); only a segment is gathered into an array and folded.
 A segment of very many lines is folded in chunks. What a chunk needs from those before it is the open group's head and box, a state of
 fixed size, so every chunk is first folded as if a group began with it. Then each is entered with the state that the one before it
 left: as soon as a line begins a group both ways, the rest is the same, and the state it leaves was right from the start. Chunks
-that are left in another state than supposed are entered again, until none is. No frame holds more than a chunk.
+that are left in another state than supposed are entered again, until none is. No frame holds more than a chunk, or about ``FRAME_ROWS``
+lines of short ones.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ WEIGHT_REACH = 100
 # Segments up to this many lines are folded by an array expression, longer ones line by line, very long ones in chunks.
 FOLD_ROWS = 2_000
 CHUNK_ROWS = 100_000
+# Lines of short chunks that are handed to a worker at once.
+FRAME_ROWS = 20_000
 
 
 def _within(a, b, reach):
@@ -147,7 +150,7 @@ class _Open:
 
 def _records(frame: pd.DataFrame, names: Sequence[str]) -> list[dict]:
     unknown = float("nan")
-    held = frame.sort_values("_pos")[list(names)].to_dict("records")
+    held = frame[list(names)].to_dict("records")
     return [{k: unknown if v is None else v for k, v in line.items()} for line in held]
 
 
@@ -170,42 +173,57 @@ def fold_in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], joi
     """The greedy fold of segments of any length, with frames of at most ``rows`` lines; see the module."""
     names = [c for c in _STATE if c in df.columns]
     where = [*keys, "_segment"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*where).schema.fields)
     placed = od.numbered(df, where, list(order), "_pos", limit=max(rows, 2)).withColumn("_part", F.floor((F.col("_pos") - 1) / rows).cast("int"))
-    placed = cut_lineage(placed)
-    lines = placed.select(*where, "_part", "_pos", *names)
+
+    def name(part: Column) -> Column:
+        return F.to_json(F.struct(*where, part.alias("_part")))
+
+    placed = cut_lineage(placed.withColumn("_name", name(F.col("_part"))))
+    lines = placed.select("_name", name(F.col("_part") + 1).alias("_next"), "_pos", *names)
+    # Short chunks share a frame, so that frames follow from the number of lines.
+    frames = -(-placed.count() // FRAME_ROWS) or 1
+
+    def dealt(chunks: DataFrame):
+        deal = F.col("_name") if rows >= FRAME_ROWS else F.pmod(F.xxhash64("_name"), F.lit(frames))
+        return chunks.withColumn("_deal", deal).repartition(frames, "_deal").groupBy("_deal")
+
+    def entered_chunks(frame: pd.DataFrame):
+        """Per chunk of a frame, its rows in order: (their slice, entry, heads, the group left open)."""
+        held = _records(frame, names)
+        ends = np.flatnonzero((frame["_name"] != frame["_name"].shift(-1)).to_numpy()) + 1
+        for lo, hi, entry in zip([0, *ends], ends, frame["_entry"].iloc[ends - 1]):
+            yield slice(lo, hi), entry, *_heads(joins, held[lo:hi], _as_state(entry, names) if entry is not None else None)
+
+    def in_order(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.iloc[np.lexsort((frame["_pos"], pd.factorize(frame["_name"])[0]))]
 
     def leave(frame: pd.DataFrame) -> pd.DataFrame:
-        """The state that a chunk leaves when it is entered with ``_entry``."""
-        entry = frame["_entry"].iloc[0]
-        _, state = _heads(joins, _records(frame, names), _as_state(entry, names) if entry is not None else None)
-        return frame[[*where, "_part"]].iloc[:1].assign(_entry=entry, _left=_as_text(state, names))
+        """The state that each chunk leaves when it is entered with ``_entry``."""
+        frame = in_order(frame)
+        found = [(at.start, _as_text(state, names)) for at, _, _, state in entered_chunks(frame)]
+        return frame[["_name", "_next", "_entry"]].iloc[[lo for lo, _ in found]].assign(_left=[text for _, text in found])
 
     def run(chunks: DataFrame) -> DataFrame:
-        """(where, _part, _entry) -> the same with ``_left``."""
-        met = od.join_keys(lines, chunks, [*where, "_part"], "inner")
-        return cut_lineage(met.groupBy(*where, "_part").applyInPandas(leave, f"{kinds}, _part int, _entry string, _left string"))
+        """Lines with ``_entry`` -> (_name, _next, _entry, _left) of their chunks."""
+        return cut_lineage(dealt(chunks).applyInPandas(leave, "_name string, _next string, _entry string, _left string"))
 
-    known = run(lines.select(*where, "_part").distinct().withColumn("_entry", F.lit(None).cast("string")))
+    known = run(lines.withColumn("_entry", F.lit(None).cast("string")))
     while True:
-        before = known.select(*where, (F.col("_part") + 1).alias("_part"), F.col("_left").alias("_given"))
-        supposed = od.join_keys(known, before, [*where, "_part"])
-        wrong = supposed.filter(~F.col("_entry").eqNullSafe(F.col("_given")))
-        again = cut_lineage(wrong.select(*where, "_part", F.col("_given").alias("_entry")))
+        before = known.select(F.col("_next").alias("_name"), F.col("_left").alias("_given"))
+        wrong = known.join(before, "_name").filter(~F.col("_entry").eqNullSafe(F.col("_given")))
+        again = cut_lineage(wrong.select("_name", F.col("_given").alias("_entry")))
         if again.isEmpty():
             break
-        fresh = run(again)
-        rest = od.join_keys(known, again.select(*where, "_part"), [*where, "_part"], "left_anti")
-        known = cut_lineage(rest.unionByName(fresh))
+        fresh = run(lines.join(again, "_name"))
+        known = cut_lineage(known.join(again, "_name", "left_anti").unionByName(fresh))
 
     def mark(frame: pd.DataFrame) -> pd.DataFrame:
-        entry = frame["_entry"].iloc[0]
-        heads, _ = _heads(joins, _records(frame, names), _as_state(entry, names) if entry is not None else None)
-        return frame.sort_values("_pos")[[*where, "_pos"]].assign(_head=heads)
+        frame = in_order(frame)
+        return frame[["_name", "_pos"]].assign(_head=[head for _, _, heads, _ in entered_chunks(frame) for head in heads])
 
-    entered = od.join_keys(lines, known.select(*where, "_part", "_entry"), [*where, "_part"], "inner")
-    heads = entered.groupBy(*where, "_part").applyInPandas(mark, f"{kinds}, _pos int, _head boolean")
-    marked = od.join_keys(placed, heads, [*where, "_pos"], "inner")
+    entered = lines.join(known.select("_name", "_entry"), "_name")
+    heads = dealt(entered).applyInPandas(mark, "_name string, _pos int, _head boolean")
+    marked = placed.join(heads, ["_name", "_pos"]).drop("_name")
     grouped = od.running_sum(marked, where, ["_pos"], {"_group": F.col("_head").cast("int")}, limit=max(rows, 2))
     return _closed_groups(grouped, [*where, "_group"]).drop("_segment")
 

@@ -134,6 +134,15 @@ def test_very_long_segments_go_in_chunks(spark, monkeypatch, rows):
     assert facts(r.asDict() for r in mg.merge_blocks(df).collect()) == facts(plain_blocks(as_dicts(lines)))
 
 
+@pytest.mark.parametrize("frame_rows", [1, 25, 10_000])
+def test_short_chunks_share_frames(spark, monkeypatch, frame_rows):
+    """Chunks of three lines, one a frame or many: the same groups, also of a document without an id."""
+    monkeypatch.setattr(mg, "FRAME_ROWS", frame_rows)
+    lines = random_blocks(13, docs=4, lines=40) + [(None, *r[1:]) for r in random_blocks(14, docs=1, lines=40)]
+    df = spark.createDataFrame(lines, SCHEMA).repartition(3)
+    assert facts(r.asDict() for r in mg.merge_blocks(df, chunk_rows=3).collect()) == facts(plain_blocks(as_dicts(lines)))
+
+
 def column(spark, sizes, step=20.0):
     rows = [
         (1, i, 1, str(i), s, "A", 400, 0.0, step * i, 10.0, step * i + 10, 5.0, step * i + 5, "Body")
