@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut_lineage
 from . import ordering as od
 from .labels import LEVELS, OUTLINE_LEVELS, with_uniform_relabel
 from .merge import merge_blocks
@@ -105,6 +106,8 @@ def fix_skips(
     and ``level``.
     """
     order = list(od.READING_ORDER)
+    if not od.is_bounded(largest, limit):
+        headings = cut_lineage(headings)  # counted, sampled and ranged: made once, and few against the blocks
     rows, spans = od.chunked(headings, [doc], order, largest, limit)
     w = od.chunk_window([doc], order)
     rows = rows.select(

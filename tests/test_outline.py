@@ -155,3 +155,19 @@ def test_documents_whose_levels_were_repaired(spark):
     )
     got = {r["doc_id"]: r["modified"] for r in ol.modified_documents(rows).collect()}
     assert got == {1: True, 2: False, 3: False, None: True}
+
+
+def test_headings_are_made_once_for_ranges(spark, data):
+    """The ranges are counted and sampled on stored headings, so the plan of the rest holds no regular expression of theirs."""
+    heads = ol.first_headings(spark.createDataFrame(data, SCHEMA))
+    made = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    counted = heads.mapInPandas(count, heads.schema)
+    n = heads.count()
+    ol.fix_skips(counted, limit=12).collect()
+    assert made.value == n
