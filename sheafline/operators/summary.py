@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -15,6 +16,18 @@ MIN_WORDS = 50
 MAX_WORDS = 120
 
 
+def _best(sentences, n_words, min_words: int, max_words: int) -> list[int]:
+    """Places, in text order, of the sentences taken; ``sentences`` are lists of tokens."""
+    used = Counter(t for tokens in sentences for t in tokens)
+    scores = {k: sum(used[t] for t in set(tokens)) / len(set(tokens)) for k, tokens in enumerate(sentences) if len(tokens)}
+    taken, total = [], 0
+    for k in sorted(scores, key=lambda k: (-scores[k], k)):
+        if total + n_words[k] <= max_words or total < min_words:
+            taken.append(k)
+        total += n_words[k]
+    return sorted(taken)
+
+
 def extractive_summary(
     contents: DataFrame,
     keys: Sequence[str],
@@ -22,36 +35,23 @@ def extractive_summary(
     min_words: int = MIN_WORDS,
     max_words: int = MAX_WORDS,
 ) -> DataFrame:
-    """(keys, summary): best sentences up to ``max_words`` (at least ``min_words``), in text order.
+    """(keys, summary) of a row a content: best sentences up to ``max_words`` (at least ``min_words``), in text order.
 
-    A sentence scores the mean, over its different tokens, of how often the whole text uses them.
-    Every step is keyed by ``keys`` (or more), so contents already partitioned by them do not move.
+    A sentence scores the mean, over its different tokens, of how often the whole text uses them. Contents are only mapped:
+    nothing is shuffled or sorted, and a task holds the tokens of one batch of contents.
     """
-    parts = contents.select(
-        *keys, F.posexplode(tx.sentences(F.col(content))).alias("_idx", "_sentence")
-    )
-    terms = (
-        parts.select(*keys, "_idx", F.explode(tx.tokens(F.col("_sentence"))).alias("_t"))
-        .groupBy(*keys, "_idx", "_t")
-        .agg(F.count("*").alias("_c"))
-    )
-    scores = (
-        terms.withColumn("_tf", F.sum("_c").over(W.partitionBy(*keys, "_t")))
-        .groupBy(*keys, "_idx")
-        .agg((F.sum("_tf") / F.count("*")).alias("_score"))
-    )
-    scored = parts.join(scores, [*keys, "_idx"]).withColumn("_n", tx.word_count(F.col("_sentence")))
-    best = W.partitionBy(*keys).orderBy(F.desc("_score"), "_idx")
-    taken = scored.withColumn(
-        "_sum", F.sum("_n").over(best.rowsBetween(W.unboundedPreceding, 0))
-    ).filter((F.col("_sum") <= max_words) | (F.col("_sum") - F.col("_n") < min_words))
-    ordered = F.array_sort(F.collect_list(F.struct("_idx", "_sentence")))
-    joined = F.array_join(F.transform(ordered, lambda s: s["_sentence"]), " ")
-    return (
-        taken.groupBy(*keys)
-        .agg(joined.alias("_all"))
-        .select(
-            *keys,
-            F.array_join(F.slice(tx.words(F.col("_all")), 1, max_words), " ").alias("summary"),
-        )
+
+    @F.pandas_udf("array<int>")
+    def chosen(tokens: pd.Series, n_words: pd.Series) -> pd.Series:
+        split = ([line.split(" ") if line else [] for line in text.split("\n")] for text in tokens)
+        return pd.Series([_best(t, n, min_words, max_words) for t, n in zip(split, n_words)], dtype=object)
+
+    own = [F.col(k) for k in keys]
+    parts = contents.select(*own, tx.sentences(F.col(content)).alias("_s")).filter(F.col(content).isNotNull())
+    # Tokens have neither blanks nor line ends in them: one string a text is handed over, a line a sentence.
+    tokens = F.array_join(F.transform("_s", lambda s: F.array_join(tx.tokens(s), " ")), "\n")
+    taken = parts.withColumn("_at", chosen(tokens, F.transform("_s", tx.word_count)))
+    joined = F.array_join(F.transform("_at", lambda k: F.get("_s", k)), " ")
+    return taken.filter(F.size("_at") > 0).select(
+        *keys, F.array_join(F.slice(tx.words(joined), 1, max_words), " ").alias("summary")
     )

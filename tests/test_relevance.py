@@ -140,3 +140,11 @@ def test_own_encoder_and_summarizer_reach_the_answer(spark):
     assert scores[7, 1, "Night bar"] == scores[7, 2, "Night bar"] == scores[8, 2, "Salad menu"] == 1.0
     assert scores[7, 1, "Salad menu"] == scores[8, 2, "Night bar"] == 0.0
     assert {r["refined_text"] for r in out} == {"CUT THE LEAVES. THEN WASH."}
+
+
+def test_summaries_are_only_mapped(spark):
+    """Contents do not move, whatever their number; ties go to the first sentence, and a text without tokens has no summary."""
+    df = spark.createDataFrame([(1, "One two. Three four. One five."), (2, "..."), (3, None), (4, "A b c. D e f.")], "k int, content string")
+    out = extractive_summary(df, ["k"], min_words=2, max_words=4)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["k"]: r["summary"] for r in out.collect()} == {1: "One two. One five.", 4: "A b c."}
