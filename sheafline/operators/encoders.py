@@ -20,6 +20,8 @@ from .merge import _segments
 # Similarity from which headings are one, and the default vector length.
 SAME_TOPIC = 0.8
 VECTOR_SIZE = 512
+# Headings that a call of a model or a fold gets at once, about.
+CALL_ROWS = 5_000
 
 
 def encode_hashed(df: DataFrame, text: str, out: str = "vector", size: int = VECTOR_SIZE) -> DataFrame:
@@ -96,15 +98,20 @@ def merge_semantic(
     columns = list(blocks.columns)
     schema = T.StructType([*blocks.schema.fields, T.StructField("n_lines", T.IntegerType())])
 
+    run = [*keys, "_segment"]
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
+        pdf = pdf.sort_values([*run, *order])
         groups: list[dict] = []
         total: dict[str, int] = {}
-        for row in pdf.to_dict("records"):
+        last = None
+        for number, row in zip(pdf.groupby(run, sort=False, dropna=False).ngroup(), pdf.to_dict("records")):
+            if number != last:
+                last, total = number, {}
             counts = _counts(row["_toks"])
             dot = sum(c * total.get(t, 0) for t, c in counts.items())
             scale = sum(c * c for c in counts.values()) * sum(c * c for c in total.values())
-            if groups and scale > 0 and dot / scale**0.5 > same:
+            if scale > 0 and dot / scale**0.5 > same:
                 groups[-1]["text"] += " " + row["text"]
                 groups[-1]["n_lines"] += 1
                 for t, c in counts.items():
@@ -114,17 +121,17 @@ def merge_semantic(
                 total = counts
         return pd.DataFrame(groups)[[*columns, "n_lines"]]
 
-    run = [*keys, "_segment"]
     sized = cut.withColumn("_run", F.count("*").over(W.partitionBy(*run)))
     alone = sized.filter(F.col("_run") == 1).select(*columns, F.lit(1).alias("n_lines"))
-    merged = sized.filter(F.col("_run") > 1).drop("_run").groupBy(*run).applyInPandas(fold, schema)
+    # Runs are short: many share a frame. Null keys have frames of their own, so that whole numbers stay whole in the others.
+    calls = -(-max(heads.count(), 1) // CALL_ROWS)
+    dealt = sized.filter(F.col("_run") > 1).drop("_run").withColumn("_call", F.pmod(F.xxhash64(*keys), F.lit(calls)))
+    frames = dealt.groupBy("_call", *[F.col(k).isNull().alias(f"_no_{k}") for k in keys])
+    merged = frames.applyInPandas(fold, schema)
     rest = blocks.filter(~F.coalesce(F.col("label").isin(LEVELS), F.lit(False)))
     return merged.unionByName(alone).unionByName(rest.withColumn("n_lines", F.lit(1)))
 
 
-CALL_ROWS = 5_000
-
-
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row; 0 where a vector is zero."""
     scale = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))

@@ -210,6 +210,16 @@ def test_semantic_merge_equals_plain_loop(spark, limit):
     assert any(r["n_lines"] > 2 for r in got)
 
 
+def test_semantic_runs_share_frames(spark):
+    """Many runs go to one call of the fold and are still folded each by itself; large document numbers and nulls stay."""
+    big = 2**60 + 1
+    lines = [(doc, i, 1 + i // 2, "a b c", 12.0, "A", 400, 0.0, 0.0, 1.0, 1.0, 1.0, float(i), "H1") for doc in (big, big + 2, None) for i in range(8)]
+    out = en.merge_semantic(spark.createDataFrame(lines, SCHEMA), limit=1000)
+    assert "_call" in out._jdf.queryExecution().analyzed().toString()
+    got = sorted(((r["doc_id"], r["line_no"], r["text"], r["n_lines"]) for r in out.collect()), key=str)
+    assert got == sorted(((doc, i, "a b c a b c", 2) for doc in (big, big + 2, None) for i in (0, 2, 4, 6)), key=str)
+
+
 def trigram_encoder():
     """Not additive: a joined text has trigrams that its parts do not have."""
     import numpy as np
