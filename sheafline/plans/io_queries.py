@@ -360,7 +360,8 @@ def parsed_files(spark, sf):
 def incremental_classify(spark, sf):
     """Blocks arrive as files in a folder and are labelled and outlined batch by batch."""
     inbox, out = scratch_path(spark, "inbox"), scratch_path(spark, "outlines")
-    bj.write_blocks(fx.blocks(spark, sf).repartition(4, "doc_id"), inbox)
+    arrays = bj.block_arrays(fx.blocks(spark, sf), bj.nested_block(("doc_id", "line_no")))
+    arrays.repartition(4, "doc_id").select("value").write.text(inbox)  # four files, made by all tasks
     run = stream_classify(
         spark, inbox, out, scratch_path(spark, "progress"), whole_files=False, files_per_batch=4
     )
@@ -381,7 +382,7 @@ def documents_in_pieces(spark, sf):
     for k in range(3):
         piece = whole.filter(F.pmod(F.col("line_no") + F.col("doc_id"), F.lit(3)) == k)
         arrays = bj.block_arrays(piece, bj.nested_block(("doc_id", "line_no", "n_blocks")))
-        arrays.select("value").coalesce(2).write.mode("append").text(inbox)
+        arrays.select("value").repartition(2).write.mode("append").text(inbox)  # two files, made by all tasks
         if k:
             gather_documents(spark, inbox, out, progress, files_per_batch=2).awaitTermination()
     return spark.read.parquet(f"{out}/outlines").drop("batch")

@@ -69,3 +69,20 @@ def test_patience_gives_out_what_is_there(spark, folders):
     run(spark, folders, 1)
     got = sorted((r["doc_id"], r["line_no"], r["status"]) for r in table(spark, folders, "ended").collect())
     assert got == [(1, 1, "timeout"), (1, 2, "timeout")]
+
+
+def test_arriving_files_are_made_by_all_tasks(spark, monkeypatch):
+    """The arrays of the arriving files are made before they are dealt into the few files of a batch."""
+    from sheafline.plans import io_queries as io
+    from sheafline.sources import blocks_json as bj
+
+    seen = []
+    made = bj.block_arrays
+
+    def watched(blocks, *rest):
+        seen.append(blocks._jdf.queryExecution().optimizedPlan().toString())
+        return made(blocks, *rest)
+
+    monkeypatch.setattr(bj, "block_arrays", watched)
+    io.incremental_classify(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1 and "RepartitionByExpression [doc_id" not in seen[0]
