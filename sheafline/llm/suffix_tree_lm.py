@@ -16,7 +16,7 @@ context is whole where it is added up. Tests and smoothing are joins of a level'
 table. Scoring loads it in shards of about ``SHARD_BYTES`` by the symbol before a token, which all contexts of the token share, and
 ``SHARDS_A_PASS`` of them a pass: a larger tree means more passes over the texts, each token being scored in the pass of its shard,
 with the same result.
-Words that are symbols are broadcast: at most ``1 / WORD_SHARE`` of them. Other words meet their counts in a join.
+Words that are symbols are broadcast, at most one for every ``word_least`` tokens (16 bytes each, and 16 more as a symbol). Other words meet their counts in a join.
 Words are compared by 48 bits of a hash and their last two bytes, contexts by 64 bits of a hash.
 
 Defined results: a null or empty text is the end alone; without training texts no word is known and every symbol is
@@ -45,7 +45,6 @@ DEPTH = 3
 LEAST = 100
 PAIR_LEAST = 4
 WORD_LEAST = 100
-WORD_SHARE = 5e-7
 PRIOR = 20.0
 SHARD_BYTES = 48 << 20
 SHARDS_A_PASS = 2
@@ -285,8 +284,8 @@ class Model:
     distinct: int
 
 
-def _frequent(words: DataFrame, tokens: int, word_least: int) -> Vocabulary:
-    table = words.filter(F.col("n") >= max(float(word_least), WORD_SHARE * tokens)).toArrow()  # at most 1 / WORD_SHARE rows
+def _frequent(words: DataFrame, word_least: int) -> Vocabulary:
+    table = words.filter(F.col("n") >= word_least).toArrow()  # at most a row for every ``word_least`` tokens
     keys, counts = np.asarray(table["key"], np.int64), np.asarray(table["n"], np.int64)
     order = np.argsort(keys)
     return Vocabulary(keys[order], counts[order])
@@ -347,9 +346,9 @@ def fit(
     texts = train.count()
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens = n_words + texts  # the end is a token
-    vocabulary = _frequent(words, tokens, word_least)
+    vocabulary = _frequent(words, word_least)
     n_symbols = CLASSES + len(vocabulary.keys)
-    rare = words.filter(F.col("n") < max(float(word_least), WORD_SHARE * tokens))
+    rare = words.filter(F.col("n") < word_least)
     classes = rare.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("tail")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     class_logs = np.zeros(n_symbols)
     counts = dict(zip(range(CLASSES, n_symbols), vocabulary.counts.tolist()))

@@ -267,3 +267,10 @@ def test_chat_edges(spark):
     got = chat_hmm.recover(odd, tables).collect()
     assert len(got) == 4 and sorted((r["conv_key"], r["pos"]) for r in got) == [("", 1), ("", 2), ("", 3), ("=x", 1)]
     assert chat_hmm.formatted(talks.limit(0)).count() == 0
+
+
+def test_suffix_tree_symbols_do_not_depend_on_the_size(spark):
+    """A word that occurs ``word_least`` times is a symbol, however many tokens there are besides."""
+    words = spark.createDataFrame([(1, 100), (2, 99), (3, 10**12)], "key bigint, n bigint")
+    held = suffix_tree_lm._frequent(words, 100)
+    assert held.keys.tolist() == [1, 3] and held.counts.tolist() == [100, 10**12]
