@@ -363,8 +363,9 @@ def fit(
     followers = first
     if depth > 1:
         often = first.filter(F.col("n") >= least)  # as pairs: the recent symbol and the one before it
-        keys = often.select(_older_key(F.col("sym"), F.col("last")).alias("key"))
-        held = bit_filter(keys, often.count())
+        # Stored: keys made in the filter's own tasks would take two Python workers each, which then live to the end.
+        keys = stored(often.select(_older_key(F.col("sym"), F.col("last")).alias("key")), "often")
+        held = bit_filter(keys, keys.count())
         followers = first.unionByName(_followers(train, vocabulary, range(2, depth + 1), n_parts, least, pair_least, held))
     symbols = spark.createDataFrame(pa.table({"sym": pa.array(np.array(sorted(counts), np.int32)), "p": pa.array(10 ** root[sorted(counts)])}))
     tree = stored(_pruned(followers, symbols, depth, prior), "tree")

@@ -25,9 +25,9 @@ _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers and inverse powers 0..n-1, kept for the next slice."""
+    """The base's powers and inverse powers 0..n-1, kept for the next slice; at least doubled, so that small slices keep few."""
     if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 64)
+        size = max(n, min(2 * len(_powers[0]), SLICE_BYTES + 64))
         for k, base in enumerate((_BASE, _U(pow(int(_BASE), -1, 2**64)))):
             run = np.full(size, base, _U)
             run[0] = 1

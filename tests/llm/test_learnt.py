@@ -10,6 +10,7 @@ from llm_data import ROWS
 from pyspark.sql import functions as F
 
 from sheafline.llm import byte_rnn, chat_hmm, pairwise_quality, suffix_tree_lm, toxicity_grammar
+from sheafline.llm import textblocks as tb
 
 MIDDLE = "/root/testdata/sf0.01"
 
@@ -196,6 +197,29 @@ def test_suffix_tree_against_a_plain_one(spark, monkeypatch):
             assert math.isclose(r["score"], log(dict(rows)[r["doc_id"]]), rel_tol=1e-5, abs_tol=1e-4), r["doc_id"]
 
 
+def test_suffix_tree_keeps_one_worker_a_task(spark, monkeypatch):
+    """Keys made by Python in the tasks that make the filter by Python would hold two workers a task."""
+    plans = []
+
+    def watched(keys, n):
+        plans.append(keys._jdf.queryExecution().executedPlan().toString())
+        return bit_filter(keys, n)
+
+    bit_filter = suffix_tree_lm.bit_filter
+    monkeypatch.setattr(suffix_tree_lm, "bit_filter", watched)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    suffix_tree_lm.fit(docs, least=8)
+    assert len(plans) == 1 and "Python" not in plans[0]
+
+
+def test_powers_follow_the_slices(monkeypatch):
+    whole = [x.copy() for x in tb.powers(5000)]
+    monkeypatch.setattr(tb, "_powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    for n in (1, 1000, 1001, 5000):
+        assert all((x == y[:n]).all() for x, y in zip(tb.powers(n), whole))
+        assert len(tb._powers[0]) <= 2 * n
+
+
 def test_suffix_tree_grows_with_its_corpus(spark):
     sizes = []
     for sf in ("sf0.001", "sf0.01"):
