@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,19 +21,68 @@ SPAN_SCHEMA = (
     "size double, font string, x0 double, y0 double, x1 double, y1 double"
 )
 
+# What of the first span of a line goes on to the line.
+FIRST = ("size", "font", "x0", "y0", "x1", "y1")
+
+
+def _runs(spans: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One row for each run of neighbouring spans with equal ``keys``: numbers, texts, and ``FIRST`` of the lowest number.
+
+    A line may be in several runs. Only adding up is done here: spans in any order give the same lines, those in reading order
+    (as files are read) give few runs, so that neither a sort nor the shuffle holds rows of single spans.
+    """
+    held = spans.select(*keys, "span_no", "text", F.struct(*FIRST).alias("first"))
+    schema = T.StructType(
+        [
+            *(held.schema[k] for k in keys),
+            T.StructField("numbers", T.ArrayType(held.schema["span_no"].dataType)),
+            T.StructField("texts", T.ArrayType(T.StringType())),
+            T.StructField("lowest", held.schema["span_no"].dataType),
+            held.schema["first"],
+        ]
+    )
+    types = [f.type for f in to_arrow_schema(schema)][len(keys) : len(keys) + 2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            new[0] = True
+            for column in batch.columns[: len(keys)]:
+                # A null beside a null begins a run, too: the runs meet in the groups.
+                differs = pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, n - 1)), True)
+                new[1:] |= differs.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            number, text, first = batch.columns[len(keys) :]
+            # The place of the lowest number of each run; nulls come last and stay null.
+            order = pc.sort_indices(
+                pa.table({"run": np.cumsum(new), "number": number}), sort_keys=[("run", "ascending"), ("number", "ascending")]
+            ).take(pa.array(starts))
+            edges = pa.array(np.append(starts, n).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edges, c).cast(t) for c, t in zip((number, text), types)]
+            heads = [c.take(pa.array(starts)) for c in batch.columns[: len(keys)]]
+            yield pa.RecordBatch.from_arrays([*heads, *lists, number.take(order), first.take(order)], names=schema.names)
+
+    return held.mapInArrow(run, schema)
+
+
 def lines_from_spans(spans: DataFrame, keys: tuple[str, ...] = ("doc_id", "page", "block", "line")) -> DataFrame:
     """Text lines of the text blocks (type 0): trimmed spans joined by blanks, empty lines dropped.
 
-    Font, size and box are those of the first span of the line.
+    Font, size and box are those of the first span of the line. Runs of spans are put together before they are shuffled, and
+    dealt before they are grouped, so that no task sorts more than its share of the lines.
     """
-    parts = F.array_sort(F.collect_list(F.struct("span_no", tx.strip(F.col("text")).alias("t"))))
-    first = F.min_by(F.struct("size", "font", "x0", "y0", "x1", "y1"), "span_no")
+    trimmed = spans.filter(F.col("block_type") == 0).withColumn("text", tx.strip(F.col("text")))
+    parts = F.flatten(F.collect_list(F.arrays_zip("numbers", "texts")))
     return (
-        spans.filter(F.col("block_type") == 0)
+        _runs(trimmed, keys)
+        .repartition(*keys)
         .groupBy(*keys)
         .agg(
-            tx.strip(F.array_join(F.transform(parts, lambda s: s["t"]), " ")).alias("text"),
-            first.alias("_f"),
+            tx.strip(F.array_join(F.transform(F.array_sort(parts), lambda s: s["texts"]), " ")).alias("text"),
+            F.min_by("first", "lowest").alias("_f"),
         )
         .filter(F.col("text") != "")
         .select(

@@ -74,6 +74,31 @@ def test_spans_keep_text_blocks_and_first_style(spark):
     assert [(r["text"], r["font_name"]) for r in got] == [("hello world", "A")]
 
 
+def test_spans_in_any_order_give_the_same_lines(spark):
+    schema = "doc_id bigint, page int, block int, block_type int, line int, span_no int, text string, size double, font string, x0 double, y0 double, x1 double, y1 double"
+    words = [(d, 1, 0, 0, line, n, None if n == 3 else f" w{d}{line}{n} ", 9.0 + n, f"F{n}", 0.0, 1.0, 2.0, 3.0)
+             for d in (1, 2, None) for line in range(7) for n in range(5)]
+    words += [(3, 1, 0, 0, 0, None, "b", 1.0, "X", 0.0, 1.0, 2.0, 3.0), (3, 1, 0, 0, 0, None, "a", 1.0, "Y", 0.0, 1.0, 2.0, 3.0)]
+    want = {(d, line, " ".join(f"w{d}{line}{n}" for n in (0, 1, 2, 4)), 9.0, "F0") for d in (1, 2, None) for line in range(7)}
+    want.add((3, 0, "a b", None, None))
+    for rows in (words, words[::-1], sorted(words, key=lambda r: (str(r[5]), r[4], str(r[0])))):
+        got = sp.lines_from_spans(spark.createDataFrame(rows, schema).coalesce(2)).collect()
+        assert len(got) == len(want)
+        assert {(r["doc_id"], r["line"], r["text"], r["font_size"], r["font_name"]) for r in got} == want
+    assert sp.lines_from_spans(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_spans_are_put_together_before_the_shuffle(spark):
+    """One row a line is sorted and shuffled, not one a span."""
+    schema = "doc_id bigint, page int, block int, block_type int, line int, span_no int, text string, size double, font string, x0 double, y0 double, x1 double, y1 double"
+    rows = [(1, 1, 0, 0, i // 50, i % 50, "w", 9.0, "F", 0.0, 1.0, 2.0, 3.0) for i in range(1000)]
+    spans = spark.createDataFrame(rows, schema).coalesce(1)
+    assert sp._runs(spans, ("doc_id", "page", "block", "line")).count() == 20
+    plan = sp.lines_from_spans(spans)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Exchange") < plan.index("MapInArrow")
+    assert "Aggregate" not in plan[plan.index("Exchange") :]
+
+
 def read_words(name, content):
     if b"broken" in content:
         raise ValueError(name)
