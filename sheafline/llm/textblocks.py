@@ -81,7 +81,7 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end) of every word and, for each row, the index of its first word (one more at the end)."""
     n = len(data)
-    word = ~SPACE[data]
+    word = (data != 0x20) & (data - np.uint8(0x09) > 4)  # not SPACE, without a look-up of each byte
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     before = np.zeros(n, bool)

@@ -298,3 +298,46 @@ def test_suffix_tree_symbols_do_not_depend_on_the_size(spark):
     words = spark.createDataFrame([(1, 100), (2, 99), (3, 10**12)], "key bigint, n bigint")
     held = suffix_tree_lm._frequent(words, 100)
     assert held.keys.tolist() == [1, 3] and held.counts.tolist() == [100, 10**12]
+
+
+def test_suffix_tree_tables_and_orders():
+    rng = np.random.default_rng(3)
+    crowded = np.uint64(7 << 40) + np.arange(300, dtype=np.uint64)  # all at one place
+    top = np.uint64(2**64 - 3) - np.arange(50, dtype=np.uint64)  # beyond the last place
+    keys = np.unique(np.concatenate((rng.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2), crowded, top)))
+    for own in (keys, keys[:1], keys[:0]):
+        table = suffix_tree_lm.Table(own, np.arange(len(own), dtype=np.int32))
+        asked = np.concatenate((own, keys + np.uint64(1), np.zeros(1, np.uint64)))
+        held, at = table.find(asked)
+        assert held.tolist() == np.isin(asked, own).tolist()
+        assert (own[table.values[at[held]]] == asked[held]).all()
+    odd = pow(0x9E3779B97F4A7C15, -1, 2**64)
+    alike = np.array([(5 << 40) * odd % 2**64, ((5 << 40) + 1) * odd % 2**64], np.uint64)  # differ in the last bit when spread
+    for some in (np.tile(alike, 40), rng.choice(keys[:200], 3000), keys[:1]):
+        own = some[suffix_tree_lm.together(some)]
+        assert sorted(own.tolist()) == sorted(some.tolist())
+        assert (own[1:] != own[:-1]).sum() + 1 == len(np.unique(some))
+        at, n = suffix_tree_lm.grouped(some)
+        assert Counter(some.tolist()) == sum((Counter({k: c}) for k, c in zip(some[at].tolist(), n.tolist())), Counter())
+    many = rng.integers(0, 2**63, 70_000, dtype=np.uint64)
+    ctx, sym = np.concatenate((np.tile(alike, 40), many, many)), np.concatenate((np.arange(80) % 3, np.arange(140_000) % 5)).astype(np.int32)
+    for wide in (0, 2**30):  # symbols that fit beside the context's number and place in 64 bits, and such that do not
+        times = np.ones(len(ctx), np.int32)
+        got = suffix_tree_lm._sorted_pairs([(ctx, sym + wide, times, ctx, sym, np.ones(len(ctx), np.int8))])
+        found = list(zip(got[0].tolist(), got[1].tolist()))
+        assert dict(zip(found, got[2].tolist())) == Counter(zip(ctx.tolist(), (sym + wide).tolist())) and len(found) == len(set(found))
+        assert (got[0][1:] != got[0][:-1]).sum() + 1 == len(np.unique(ctx))
+
+
+def test_suffix_tree_words_meet_their_counts_unsorted(spark):
+    """Rare words are the most rows of the query: they are hashed, not sorted, and one that a text repeats is one row."""
+    docs = spark.createDataFrame([(1, "aa bb aa cc aa"), (2, None), (1, "bb"), (None, "zz zz")], "doc_id long, text string")
+    model = suffix_tree_lm.fit(docs.filter("doc_id is not null"))
+    scores = suffix_tree_lm.score(docs, model)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    got = {(r["doc_id"], r["n_tokens"], r["n_known"]): r["base_score"] for r in scores.collect()}
+    counts, total = {"aa": 3, "bb": 2, "cc": 1, "\n": 3}, 9
+    for (i, n, known), text in (((1, 6, 6), "aa bb aa cc aa"), ((2, 1, 1), ""), ((1, 2, 2), "bb"), ((None, 3, 1), "zz zz")):
+        expected = sum(math.log10((counts.get(w, 0) + 1) / (total + 4 + 1)) for w in [*text.split(), "\n"])
+        assert math.isclose(got[(i, n, known)], expected, rel_tol=1e-7)
