@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .collocations import bit_filter, summed
+from .collocations import BitFilter, bit_filter, summed
 from .frames import crc_fold, stored
 
 DEPTH = 3
@@ -50,7 +50,7 @@ PRIOR = 20.0
 SHARD_BYTES = 48 << 20
 SHARDS_A_PASS = 2
 PART_MASS = 1 << 19
-HELD = 1 << 17
+HELD = 1 << 18
 SLICE = 1 << 19
 END = 0  # symbol; class symbols follow, then frequent words
 CLASSES = 1 + (1 << 16)
@@ -101,19 +101,27 @@ def _tailed(hashes, tail, row, n_rows):
     return (hashes & ~np.int64(0xFFFF)) | tail
 
 
+@dataclass
 class Table:
-    """Sorted distinct hashes with their values, each at its place by its upper half or the next free one.
+    """Distinct hashes with their values, each at its place by its upper half or the next free one.
 
     The table rises but for free places, which end a search.
     """
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.size = int(ROOM * len(keys)) + 1
-        own = np.arange(len(keys))
-        place = own + np.maximum.accumulate(self._home(keys) - own) if len(keys) else own
-        n = max(self.size, int(place[-1]) + 1 if len(keys) else 0) + 1  # the last one stays free
-        self.keys, self.values = np.full(n, _NONE, _U), np.zeros(n, values.dtype)
-        self.keys[place], self.values[place] = keys, values
+    size: int
+    keys: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, values: np.ndarray) -> Table:
+        """Of sorted keys."""
+        size = int(ROOM * len(keys)) + 1
+        table, own = cls(size, keys, values), np.arange(len(keys))
+        place = own + np.maximum.accumulate(table._home(keys) - own) if len(keys) else own
+        n = max(size, int(place[-1]) + 1 if len(keys) else 0) + 1  # the last one stays free
+        table.keys, table.values = np.full(n, _NONE, _U), np.zeros(n, values.dtype)
+        table.keys[place], table.values[place] = keys, values
+        return table
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return (((keys >> _U(32)) * _U(self.size)) >> _U(32)).view(np.int64)
@@ -137,7 +145,7 @@ class Vocabulary:
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         self.keys, self.counts = keys, counts
         order = np.argsort(keys.view(_U))
-        self.table = Table(keys.view(_U)[order], order.astype(np.int32))
+        self.table = Table.of(keys.view(_U)[order], order.astype(np.int32))
 
     def look_up(self, keys: np.ndarray) -> np.ndarray:
         """The symbol of each word key, ``CLASSES`` or more if the word is one of its own."""
@@ -238,7 +246,7 @@ def _sorted_pairs(parts: list[tuple], exact: bool = True) -> tuple[np.ndarray, .
 def _followers(train: DataFrame, vocabulary: Vocabulary, levels: range, n_parts: int, least: int, pair_least: int, pairs_held=None) -> DataFrame:
     """``PAIRS``: what follows each context of these lengths that occurs ``least`` times; a null symbol stands for its existence."""
     sc = train.sparkSession.sparkContext
-    words, held = sc.broadcast((vocabulary.keys, vocabulary.counts)), sc.broadcast(pairs_held) if pairs_held is not None else None
+    words, held = sc.broadcast((vocabulary.keys, vocabulary.counts)), sc.broadcast((int(pairs_held.mask) + 1, pairs_held.table)) if pairs_held is not None else None
     kinds = (pa.int32(), pa.binary(), pa.binary())
 
     def blocks(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
@@ -255,7 +263,7 @@ def _followers(train: DataFrame, vocabulary: Vocabulary, levels: range, n_parts:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "heads", "pairs"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, filter_ = Vocabulary(*words.value), held.value if held else None
+        own, filter_ = Vocabulary(*words.value), BitFilter(*held.value) if held else None
         parts: list[tuple] = []
         n = 0
         for batch in batches:
@@ -458,6 +466,14 @@ class Shard:
     shards: int
     depth: int
 
+    def plain(self) -> dict:
+        """What is broadcast: objects of this package could only be read where it is installed."""
+        return {**vars(self), "contexts": vars(self.contexts), "pairs": vars(self.pairs)}
+
+    @classmethod
+    def of(cls, plain: dict) -> Shard:
+        return cls(**{**plain, "contexts": Table(**plain["contexts"]), "pairs": Table(**plain["pairs"])})
+
     def add_logs(self, out: np.ndarray, sequence: np.ndarray, last: np.ndarray, contexts: list[tuple]) -> None:
         """Put the log10 probabilities after the longest kept suffix in place of the root's, for the tokens of this shard."""
         mine = last % self.shards == self.number
@@ -487,7 +503,7 @@ def _shards(model: Model) -> Iterator[Shard]:
         rows = rows.select("key", F.col("log").cast("float").alias("log"), "pair").toArrow()  # about SHARD_BYTES
         keys, logs, pair = np.asarray(rows["key"], np.int64).view(_U), np.asarray(rows["log"], np.float32), np.asarray(rows["pair"], bool)
         order = np.argsort(keys)
-        contexts, pairs = (Table(keys[at], logs[at]) for at in (order[~pair[order]], order[pair[order]]))
+        contexts, pairs = (Table.of(keys[at], logs[at]) for at in (order[~pair[order]], order[pair[order]]))
         rests = np.full(len(model.root), np.nan, np.float32)
         symbols = np.arange(number, len(rests), shards)
         held, place = contexts.find(extended(np.zeros(len(symbols), _U), symbols))
@@ -514,7 +530,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, (root, of_class, of_word) = Vocabulary(*held_words.value), plain.value
-            trees = [held.value for held, _ in parts]
+            trees = [Shard.of(held.value) for held, _ in parts]
             tb.give_back()
             numbers = np.zeros(n_shards, bool)
             numbers[[tree.number for tree in trees]] = True
@@ -554,7 +570,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
 
         return rows.mapInArrow(run, f"n bigint, id {kind}, key bigint, times bigint, known bigint, log double, score double")
 
-    held = [(sc.broadcast(shard), (shard.number, shard.shards)) for shard in _shards(model)]
+    held = [(sc.broadcast(shard.plain()), (shard.number, shard.shards)) for shard in _shards(model)]
     passes = [held[k : k + SHARDS_A_PASS] for k in range(0, len(held), SHARDS_A_PASS)]
     scored = reduce(DataFrame.unionByName, [passed(parts) for parts in passes])
     # A text's own row has no word: a key of its own spreads these rows, and the flag keeps them from counting.

@@ -1,6 +1,7 @@
 """Operators that learn: slopes, held-out accuracy, defined results."""
 
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -306,7 +307,7 @@ def test_suffix_tree_tables_and_orders():
     top = np.uint64(2**64 - 3) - np.arange(50, dtype=np.uint64)  # beyond the last place
     keys = np.unique(np.concatenate((rng.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2), crowded, top)))
     for own in (keys, keys[:1], keys[:0]):
-        table = suffix_tree_lm.Table(own, np.arange(len(own), dtype=np.int32))
+        table = suffix_tree_lm.Table.of(own, np.arange(len(own), dtype=np.int32))
         asked = np.concatenate((own, keys + np.uint64(1), np.zeros(1, np.uint64)))
         held, at = table.find(asked)
         assert held.tolist() == np.isin(asked, own).tolist()
@@ -334,6 +335,7 @@ def test_suffix_tree_words_meet_their_counts_unsorted(spark):
     docs = spark.createDataFrame([(1, "aa bb aa cc aa"), (2, None), (1, "bb"), (None, "zz zz")], "doc_id long, text string")
     model = suffix_tree_lm.fit(docs.filter("doc_id is not null"))
     scores = suffix_tree_lm.score(docs, model)
+    assert all(b"sheafline" not in pickle.dumps(x.plain()) for x in suffix_tree_lm._shards(model))  # broadcasts need no package
     plan = scores._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
     got = {(r["doc_id"], r["n_tokens"], r["n_known"]): r["base_score"] for r in scores.collect()}
