@@ -9,7 +9,7 @@ from ..operators import features as ft
 from ..operators import labels as lb
 from ..operators import outline as ol
 from ..operators import schemaless as sl
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import blocks_json as bj
 from ..sources import documents as dc
 from ..sources import pages as pg
@@ -379,6 +379,7 @@ def documents_in_pieces(spark, sf):
     b = fx.blocks(spark, sf)
     counts = b.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.min("line_no").alias("_first"))
     whole = b.join(counts, "doc_id").withColumn("n_blocks", F.when(F.col("line_no") == F.col("_first"), F.col("n_blocks")))
+    whole = cut_lineage(whole)  # made once for the three pieces
     for k in range(3):
         piece = whole.filter(F.pmod(F.col("line_no") + F.col("doc_id"), F.lit(3)) == k)
         arrays = bj.block_arrays(piece, bj.nested_block(("doc_id", "line_no", "n_blocks")))

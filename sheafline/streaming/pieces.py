@@ -6,13 +6,15 @@ Blocks are kept in the state of their document (RocksDB, checkpointed) until it
 too old to be read, and a run that only reads what is there (``availableNow``) ends. Then the ordinary job runs on the documents that
 ended in the micro-batch. What comes after a document was given out is kept apart as ``late``.
 
-A line number that comes again is ignored. Of a document's lines only the numbers seen are held in memory, as intervals; its
-blocks are read from the state as a stream. Lines without a document, and what is no array, go to ``broken``; a line
-without a number has its place in its array.
+A line number that comes again is ignored. Documents are dealt into ``BUCKETS`` by a hash, and the state is called for a bucket:
+what a micro-batch brings of its documents is gone through together, and a document's new blocks are one value of the state. Of a
+document's lines only the numbers seen are held in memory, as intervals, and at most ``HELD`` blocks of a bucket that are not
+stored yet. Lines without a document, and what is no array, go to ``broken``; a line without a number has its place in its array.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,9 +31,13 @@ from ..sources import blocks_json as bj
 LINE = "line_no bigint, page int, text string, font_size double, font_name string, weight int, x0 double, y0 double, x1 double, y1 double, x_center double, y_center double"
 _TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType()}
 LINE_TYPE = T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (part.split() for part in LINE.split(", "))])
-META = "seen string, total bigint, done string"
+# Documents that wait for lines: the numbers seen, how many there are to be, when patience ends, and values of blocks stored.
+WAITING = "seen string, total bigint, due bigint, parts int"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ROWS = 10_000
+# Groups of documents whose state is called together, and blocks of a group that are held at once.
+BUCKETS = 1024
+HELD = 50_000
 
 
 class Numbers:
@@ -66,78 +72,126 @@ class Numbers:
 
 
 class Gather(StatefulProcessor):
-    """Rows of a document in, all its rows out when it ends; ``status`` tells how it did."""
+    """Rows of a bucket's documents in, all rows of a document out when it ends; ``status`` tells how it did."""
 
-    def __init__(self, patience: float):
+    def __init__(self, patience: float, numeric: bool):
         self.patience = int(patience * 1000)
+        self.numeric = numeric
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.meta = handle.getValueState("meta", META)
-        self.lines = handle.getListState("lines", LINE_TYPE)
+        self.waiting = handle.getMapState("waiting", "doc string", WAITING)
+        self.done = handle.getMapState("done", "doc string", "status string")
+        self.blocks = handle.getMapState("blocks", "doc string, part int", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.meta.get()
-        seen, total, done = (Numbers(held[0]), held[1], held[2]) if held else (Numbers(), None, None)
-        came = 0
+        out = _Out(self.numeric)
+        known: dict[str, list | None] = {}  # [seen, total, due, parts], None once done
+        fresh: dict[str, list[tuple]] = {}
+        held = 0
         for frame in rows:
-            came = max(came, int(frame["came"].max()))
-            own = frame[LINE_TYPE.names]
-            if done:
-                yield self._out(key, own, "late")
+            for doc, lines, total, came in _by_document(frame):
+                if doc not in known:
+                    known[doc] = self._state(doc)
+                state = known[doc]
+                if state is None:
+                    yield from out.add(doc, lines, "late")
+                    continue
+                state[1] = total if state[1] is None else state[1]
+                state[2] = max(state[2], came + self.patience)
+                first = {line[0]: line for line in reversed(lines)}
+                new = [first[n] for n in state[0].add(list(first))]
+                fresh.setdefault(doc, []).extend(new)
+                held += len(new)
+            if held >= HELD:
+                for doc, lines in fresh.items():
+                    self._store(doc, known[doc], lines)
+                fresh, held = {}, 0
+        dues = set()
+        for doc, state in known.items():
+            if state is None:
                 continue
-            counts = frame["n_blocks"].dropna()
-            total = int(counts.iloc[0]) if total is None and len(counts) else total
-            own = own.drop_duplicates("line_no")
-            new = set(seen.add([int(n) for n in own["line_no"]]))
-            fresh = own[own["line_no"].isin(new)]
-            if len(fresh):
-                self.lines.appendList([tuple(_plain(v) for v in row) for row in fresh.itertuples(index=False)])
-        if not done:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if total is not None and len(seen) >= total:
-                yield from self._end(key, "whole")
-                done, seen = "whole", Numbers()
+            if state[1] is not None and len(state[0]) >= state[1]:
+                yield from self._end(out, doc, state[3], "whole", fresh.get(doc, []))
             else:
-                self.handle.registerTimer(came + self.patience)
-        self.meta.update((str(seen), total, done))
+                self._store(doc, state, fresh.get(doc, []))
+                self.waiting.updateValue((doc,), (str(state[0]), *state[1:]))
+                dues.add(state[2])
+        for due in dues:
+            self.handle.registerTimer(due)
+        yield from out.rest()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.meta.get()
-        if held and not held[2]:
-            yield from self._end(key, "timeout")
-            self.meta.update(("", held[1], "timeout"))
-
-    def _end(self, key, status: str) -> Iterator[pd.DataFrame]:
-        part = []
-        for row in self.lines.get():
-            part.append(row)
-            if len(part) >= ROWS:
-                yield self._out(key, pd.DataFrame(part, columns=LINE_TYPE.names), status)
-                part = []
-        if part:
-            yield self._out(key, pd.DataFrame(part, columns=LINE_TYPE.names), status)
-        self.lines.clear()
-
-    @staticmethod
-    def _out(key, frame: pd.DataFrame, status: str) -> pd.DataFrame:
-        frame = frame.copy()
-        for name in ("line_no", "page", "weight"):
-            frame[name] = frame[name].astype("Int64")
-        frame.insert(0, "doc_id", key[0])
-        frame["status"] = status
-        return frame
+        out = _Out(self.numeric)
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        ended = [(doc[0], held[3]) for doc, held in self.waiting.iterator() if held[2] <= now]
+        for doc, parts in ended:
+            yield from self._end(out, doc, parts, "timeout", [])
+        yield from out.rest()
+
+    def _state(self, doc: str) -> list | None:
+        held = self.waiting.getValue((doc,)) if self.waiting.exists() else None
+        if held:
+            return [Numbers(held[0]), held[1], held[2], held[3]]
+        return None if self.done.exists() and self.done.getValue((doc,)) else [Numbers(), None, 0, 0]
+
+    def _store(self, doc: str, state: list, lines: list[tuple]) -> None:
+        for lo in range(0, len(lines), ROWS):
+            self.blocks.updateValue((doc, state[3]), (pickle.dumps(lines[lo : lo + ROWS]),))
+            state[3] += 1
+
+    def _end(self, out: _Out, doc: str, parts: int, status: str, lines: list[tuple]) -> Iterator[pd.DataFrame]:
+        for part in range(parts):
+            yield from out.add(doc, pickle.loads(self.blocks.getValue((doc, part))[0]), status)
+            self.blocks.removeKey((doc, part))
+        yield from out.add(doc, lines, status)
+        if self.waiting.exists():
+            self.waiting.removeKey((doc,))
+        self.done.updateValue((doc,), (status,))
 
     def close(self) -> None:
         pass
 
 
+def _by_document(frame: pd.DataFrame) -> Iterator[tuple[str, list[tuple], int | None, int]]:
+    """(document, its lines, its number of blocks if one tells it, time) of a frame, lines in the order they came."""
+    columns = [[_plain(v) for v in frame[name].tolist()] for name in LINE_TYPE.names]
+    counts = [_plain(v) for v in frame["n_blocks"].tolist()]
+    lines: dict[str, list[tuple]] = {}
+    totals: dict[str, int] = {}
+    for doc, total, line in zip(frame["doc_id"].astype(str).tolist(), counts, zip(*columns)):
+        lines.setdefault(doc, []).append((int(line[0]), *line[1:]))
+        if total is not None:
+            totals.setdefault(doc, int(total))
+    came = int(frame["came"].max())
+    for doc, own in lines.items():
+        yield doc, own, totals.get(doc), came
+
+
+class _Out:
+    """Rows given out, in frames of bounded size whatever their documents."""
+
+    def __init__(self, numeric: bool):
+        self.numeric = numeric
+        self.rows: list[tuple] = []
+
+    def add(self, doc: str, lines: list[tuple], status: str) -> Iterator[pd.DataFrame]:
+        self.rows.extend((int(doc) if self.numeric else doc, *line, status) for line in lines)
+        if len(self.rows) >= ROWS:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        if self.rows:
+            frame = pd.DataFrame(self.rows, columns=["doc_id", *LINE_TYPE.names, "status"])
+            for name in ("line_no", "page", "weight"):
+                frame[name] = frame[name].astype("Int64")
+            self.rows = []
+            yield frame
+
+
 def _plain(v):
     """A value of a frame as the state holds it."""
-    if v is None or v is pd.NA or (isinstance(v, float) and v != v):
-        return None
-    return v.item() if hasattr(v, "item") else v
+    return None if v is None or v is pd.NA or v != v else v
 
 
 def whole_documents(blocks: DataFrame, patience: float) -> DataFrame:
@@ -146,8 +200,9 @@ def whole_documents(blocks: DataFrame, patience: float) -> DataFrame:
     kind = blocks.schema["doc_id"].dataType.simpleString()
     rows = blocks.select("doc_id", *LINE_TYPE.names, "n_blocks", F.current_timestamp().alias("_read")).withWatermark("_read", "0 seconds")
     rows = rows.withColumn("came", F.unix_millis("_read"))
-    return rows.groupBy("doc_id").transformWithStateInPandas(
-        statefulProcessor=Gather(patience),
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
+    return rows.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=Gather(patience, kind != "string"),
         outputStructType=f"doc_id {kind}, {LINE}, status string",
         outputMode="Append",
         timeMode="EventTime",

@@ -86,3 +86,21 @@ def test_arriving_files_are_made_by_all_tasks(spark, monkeypatch):
     monkeypatch.setattr(bj, "block_arrays", watched)
     io.incremental_classify(spark, "/root/testdata/sf0.001")
     assert len(seen) == 1 and "RepartitionByExpression [doc_id" not in seen[0]
+
+
+def test_documents_of_a_bucket_share_the_state(spark, folders, monkeypatch):
+    """All documents in one bucket, blocks stored in small values: the same documents come out whole, late or by patience."""
+    from sheafline.streaming import pieces
+
+    monkeypatch.setattr(pieces, "BUCKETS", 1)
+    arrive(folders, "a.txt", *(block(d, n, 6 if n == 1 else None) for d in (1, 2, 3) for n in (1, 3, 5)))
+    run(spark, folders, 1)
+    arrive(folders, "b.txt", *(block(d, n) for d in (1, 2) for n in (2, 4, 6, 6)), block(4, 1, 1), block(7, 2, 2))
+    run(spark, folders, 3600)
+    time.sleep(2)
+    arrive(folders, "c.txt", block(1, 9), block(8, 1, 1), block(4, 2))
+    run(spark, folders, 3600)
+    got = sorted((r["doc_id"], r["line_no"], r["text"], r["status"]) for r in table(spark, folders, "ended").collect())
+    want = [(d, n, f"Line {n}", "whole") for d in (1, 2) for n in range(1, 7)] + [(4, 1, "Line 1", "whole"), (8, 1, "Line 1", "whole")]
+    want += [(3, n, f"Line {n}", "timeout") for n in (1, 3, 5)] + [(1, 9, "Line 9", "late"), (4, 2, "Line 2", "late")]
+    assert got == sorted(want)
